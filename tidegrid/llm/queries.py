@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import exact_dedup, sharding, url_filter, warc
+from tidegrid.llm import exact_dedup, near_dedup, sharding, url_filter, warc
 from tidegrid.llm.common import scratch_path, table
 
 #: The rules that op1 applies, block or allow.
@@ -67,3 +67,10 @@ select doc_id, max(doc_id) over (partition by text) as keep_id, count(*) over (p
        doc_id = max(doc_id) over (partition by text) as kept, sha256(text) as text_sha256
 from d""",
 }
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_near_dedup"] = op4_near_dedup
