@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import exact_dedup, near_dedup, sharding, url_filter, warc
+from tidegrid.llm import exact_dedup, language, near_dedup, sharding, toxicity, url_filter, warc
 from tidegrid.llm.common import scratch_path, table
 
 #: The rules that op1 applies, block or allow.
@@ -74,3 +74,14 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_near_dedup"] = op4_near_dedup
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op9_toxicity, op10_language)}
