@@ -40,8 +40,10 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     address = F.unhex(F.sha2("payload", 256)).alias("address")
 
     firsts = materialize(rows.select(address, "id").groupBy("address").agg(F.min("id").alias("first_id")), "warc-firsts")
-    owners = rows.select("id", "payload", address).alias("r").join(firsts.alias("f"), (F.col("r.address") == F.col("f.address")) & F.col("r.id").eqNullSafe(F.col("f.first_id")), "left_semi")
-    owners.groupBy("address").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    # Dealt by digest and id, no key is hot, and repeats of one row meet without another exchange.
+    owner = lambda c: F.coalesce(c, F.lit(-(2**63)))
+    owners = rows.select("payload", address, owner(F.col("id")).alias("owner")).join(firsts.select("address", owner(F.col("first_id")).alias("owner")), ["address", "owner"], "left_semi")
+    owners.groupBy("address", "owner").agg(F.first("payload").alias("payload")).select("address", "payload").write.parquet(f"{path}/payloads")
 
     facts = rows.select("id", "url", address, F.octet_length("payload").cast("long").alias("bytes"), sha1_base32(F.col("payload")).alias("sha1"))
     revisit = (F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first_id"))
