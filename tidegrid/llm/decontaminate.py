@@ -128,6 +128,15 @@ def align(item: np.ndarray, text: np.ndarray, lo: int, width: int) -> tuple[int,
     return int(row[k]), m + lo + k
 
 
+def _find(code: np.ndarray, text: np.ndarray) -> int:
+    """Where ``code`` first occurs in ``text`` as it is, or -1."""
+    want, have = code.astype(np.uint32).tobytes(), text.astype(np.uint32).tobytes()
+    at = have.find(want)
+    while at % 4 and at >= 0:
+        at = have.find(want, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
 def matches(index: ItemIndex, rows: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(row, item, begin, end, edits) of the best occurrence of each item in each row."""
     if not len(index.grams) or not rows:
@@ -155,7 +164,18 @@ def matches(index: ItemIndex, rows: list[str]) -> list[tuple[int, int, int, int,
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     span = np.int64(1) << 40
     keys = np.concatenate([item * span + band, item * span + band - 1])
-    keys, counts = np.unique(keys, return_counts=True)
+    # A hashed count first: it is never below the true one, and nearly all shared q-grams end here.
+    size = 1 << int(4 * len(keys)).bit_length()
+    slot = ((keys.view(np.uint64) * _MUL) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+    many = np.bincount(slot, minlength=size)[slot] >= need[keys >> 40]
+    offsets = np.concatenate([index.offset[entry]] * 2)[many]
+    keys = keys[many]
+    # Then the exact count; the q-grams of an item that an occurrence keeps differ in their place in it.
+    order = np.lexsort((offsets, keys))
+    keys, offsets = keys[order], offsets[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (offsets[1:] != offsets[:-1])
+    keys, counts = np.unique(keys[fresh], return_counts=True)
     keep = counts >= need[keys >> 40]
     for key in keys[keep].tolist():
         k, b = key >> 40, key & (span - 1)
@@ -169,15 +189,18 @@ def matches(index: ItemIndex, rows: list[str]) -> list[tuple[int, int, int, int,
             if high - low < m - e:
                 continue
             best = found.get((r, k))
-            if best and best[2] == 0 and best[0] <= low:
+            if best and best[2] == 0:  # bands come in order, so a later one begins later
                 continue
             region = flat[low:high]
-            edits, end = align(code, region, lo - low, width)
-            if edits > e:
-                continue
-            back, length = align(code[::-1], region[:end][::-1], -e, 2 * e + 1)
-            got = (low + end - length, low + end, edits)
-            if best is None or (edits, got[0]) < (best[2], best[0]):
+            if (same := _find(code, region)) >= 0:
+                got = (low + same, low + same + m, 0)
+            else:
+                edits, end = align(code, region, lo - low, width)
+                if edits > e:
+                    continue
+                _, length = align(code[::-1], region[:end][::-1], -e, 2 * e + 1)
+                got = (low + end - length, low + end, edits)
+            if best is None or (got[2], got[0]) < (best[2], best[0]):
                 found[r, k] = got
     out = []
     origin = at[begins[:-1]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import exact_dedup, language, near_dedup, sharding, toxicity, url_filter, warc
+from tidegrid.llm import decontaminate, exact_dedup, language, near_dedup, sharding, toxicity, url_filter, warc
 from tidegrid.llm.common import scratch_path, table
 
 #: The rules that op1 applies, block or allow.
@@ -85,3 +85,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op9_toxicity, op10_language)}
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op3_decontaminate"] = op3_decontaminate
