@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontaminate, exact_dedup, language, near_dedup, sharding, toxicity, url_filter, warc
+from tidegrid.llm import decontaminate, exact_dedup, language, near_dedup, packing, sharding, token_files, toxicity, url_filter, warc
 from tidegrid.llm.common import scratch_path, table
 
 #: The rules that op1 applies, block or allow.
@@ -92,3 +92,20 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_decontaminate"] = op3_decontaminate
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+
+
+QUERIES |= {f.__name__: f for f in (op6_token_files, op7_packing)}
