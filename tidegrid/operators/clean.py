@@ -56,7 +56,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], accuracy
     if not n:
         return [None] * len(probs)
     at = dict(zip(asked, row["q"], strict=True))
-    spans = {p: (row["lo"] if p <= eps else at[max(0.0, p - eps)], row["hi"] if p >= 1 - eps else at[min(1.0, p + eps)]) for p in probs}
+    few = n <= accuracy  # then the bracket is everything
+    spans = {p: (row["lo"] if few or p <= eps else at[max(0.0, p - eps)], row["hi"] if few or p >= 1 - eps else at[min(1.0, p + eps)]) for p in probs}
     below = values.agg(*[F.count_if(F.col("v") < lo).alias(f"b{i}") for i, (lo, _) in enumerate(spans.values())]).first()
     out: dict[float, float] = {}
     for i, (p, (lo, hi)) in enumerate(spans.items()):
