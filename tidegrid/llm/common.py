@@ -45,6 +45,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores as it takes for none of them to be a column, in any case."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import materialize, scratch_path
+from tidegrid.llm.common import fresh_names, materialize, scratch_path
 
 
 class DigestIndex:
@@ -78,10 +78,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     index = index or DigestIndex(docs.sparkSession)
-    stays = index.add(docs, id_col, text_col).where("is_new").select("digest", "keep_id")
-    rows = docs.withColumns({"__digest": digest(text_col), "__id": F.col(id_col).cast("long")})
-    same = F.col("__digest").eqNullSafe(F.col("digest")) & F.col("__id").eqNullSafe(F.col("keep_id"))
-    clash = {c: f"__{c}__" for c in docs.columns if c in ("digest", "keep_id")}
-    rows = rows.withColumnsRenamed(clash)
-    kept = rows.join(stays, same, "left_semi").withColumnsRenamed({v: k for k, v in clash.items()})
-    return kept.drop("__digest", "__id")
+    d, i, own, keep = fresh_names(docs, "digest", "id", "own", "keep")
+    stays = index.add(docs, id_col, text_col).where("is_new").select(F.col("digest").alias(d), F.col("keep_id").alias(keep))
+    rows = docs.withColumns({own: digest(text_col), i: F.col(id_col).cast("long")})
+    return rows.join(stays, (F.col(own) == F.col(d)) & F.col(i).eqNullSafe(F.col(keep)), "left_semi").drop(own, i)

@@ -219,7 +219,10 @@ def encode_checked(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[bytes, list
 
 
 def decode_checked(table: bytes, codes: list[bytes], sums: list[int], n_ids: int, block: int = BLOCK_IDS) -> np.ndarray:
-    ids = decode(codes, n_ids, unpack_order0(table), block)
+    try:
+        ids = decode(codes, n_ids, unpack_order0(table), block)
+    except (IndexError, ValueError) as e:  # a wrong code may lead past its end
+        raise CorruptBlock("unreadable") from e
     for k, want in enumerate(sums):
         if checksum(ids[k * block : (k + 1) * block]) != want:
             raise CorruptBlock(f"block {k}")
