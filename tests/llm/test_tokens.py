@@ -47,11 +47,11 @@ def test_coder_round_trip(n, kind):
 
 def test_coder_adapts_and_checks():
     ids = np.tile(np.arange(50, dtype=np.uint32), 200)
-    table, codes, sums = range_coder.encode_checked(ids)
+    table, codes, sums = range_coder.encode_checked(ids, block=4096)
     assert 8 * sum(map(len, codes)) / len(ids) < 0.6  # order 0 alone would need 5.6 bits
     bad = [codes[0][:10] + bytes([codes[0][10] ^ 1]) + codes[0][11:], *codes[1:]]
     with pytest.raises(range_coder.CorruptBlock):
-        range_coder.decode_checked(table, bad, sums, len(ids))
+        range_coder.decode_checked(table, bad, sums, len(ids), block=4096)
 
 
 def test_token_files(spark, odd_docs, no_docs, tmp_path, monkeypatch):

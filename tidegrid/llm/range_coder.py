@@ -17,16 +17,19 @@ import zlib
 import numpy as np
 
 #: Ids in a block.
-BLOCK_IDS = 4096
+BLOCK_IDS = 1024
 #: Ids that are coded at a time; a segment is made of whole documents of about so many ids.
 SEGMENT_IDS = 4_000_000
 #: No id above this.
 MAX_ID = 65_535
 
-_SLOT_BITS = 12
+_SLOT_BITS = 10
 _TOP = np.uint64(1 << 48)
 _BOTTOM = np.uint64(1 << 40)
 _U = np.uint64
+_U0, _U16, _U32, _U48, _ALL = _U(0), _U(16), _U(32), _U(48), _U(65_536)
+_SEVEN, _ONE, _THREE, _ID = np.uint32(7), np.uint32(1), np.uint32(3), np.uint32(0xFFFFFFF8)
+_MASK = _BOTTOM - _U(1)
 
 
 class CorruptBlock(ValueError):
@@ -77,14 +80,14 @@ class _Model:
         self.s1 = self.base[:n] + (h1 >> np.uint32(32 - _SLOT_BITS))
         self.s2 = self.base[:n] + (h2 >> np.uint32(32 - _SLOT_BITS))
         self.e1, self.e2 = self.t1[self.s1], self.t2[self.s2]
-        self.k1, self.k2 = self.base8[:n] + (self.e1 & np.uint32(7)), self.base8[:n] + (self.e2 & np.uint32(7))
-        self.p1, self.p2 = self.e1 >> np.uint32(3), self.e2 >> np.uint32(3)
+        self.k1, self.k2 = self.base8[:n] + (self.e1 & _SEVEN), self.base8[:n] + (self.e2 & _SEVEN)
+        self.p1, self.p2 = self.e1 >> _THREE, self.e2 >> _THREE
         self.v1, self.v2 = f1, f2 = self.a1[self.k1], self.a2[self.k2]
         agree = self.p1 == self.p2
         # Where both orders say the same id, their doubts are multiplied and order 1 has no interval of its own.
         f2 = np.where(agree, 65_536 - ((65_536 - f2) * (65_536 - f1) >> 16), f2)
-        f2 = np.clip(f2, 32, 64_000)
-        f1 = np.where(agree, 0, np.clip((65_536 - f2) * f1 >> 16, 32, None))
+        f2 = np.minimum(np.maximum(f2, 32), 64_000)
+        f1 = np.where(agree, 0, np.maximum((65_536 - f2) * f1 >> 16, 32))
         return f2, f1
 
     def update(self, n: int, s: np.ndarray) -> None:
@@ -92,9 +95,9 @@ class _Model:
         for a, k, v, hit in ((self.a1, self.k1, self.v1, hit1), (self.a2, self.k2, self.v2, hit2)):
             a[k] = v + (((hit.astype(np.int64) << 16) - v) >> 5)
         for t, at, e, hit in ((self.t1, self.s1, self.e1, hit1), (self.t2, self.s2, self.e2, hit2)):
-            run = e & np.uint32(7)
-            held = (e & ~np.uint32(7)) | np.where(hit, np.minimum(run + np.uint32(1), np.uint32(7)), run >> np.uint32(1))
-            t[at] = np.where(hit | (run > 1), held, s << np.uint32(3))
+            run = e & _SEVEN
+            held = (e & _ID) | np.where(hit, np.minimum(run + _ONE, _SEVEN), run >> _ONE)
+            t[at] = np.where(hit | (run > 1), held, s << _THREE)
         self.c2[:n] = self.c1[:n]
         self.c1[:n] = s
 
@@ -127,25 +130,25 @@ def encode(ids: np.ndarray, freq: np.ndarray, block: int = BLOCK_IDS) -> list[by
         f2u, both = f2.astype(np.uint64), (f2 + f1).astype(np.uint64)
         hit2 = model.p2 == s
         hit1 = (model.p1 == s) & ~hit2
-        rest = _U(65_536) - both
-        start = np.where(hit2, _U(0), np.where(hit1, f2u << _U(16), (both << _U(16)) + rest * cum[s]))
-        size = np.where(hit2, f2u << _U(16), np.where(hit1, (both - f2u) << _U(16), rest * freq[s]))
+        rest = _ALL - both
+        start = np.where(hit2, _U0, np.where(hit1, f2u << _U16, (both << _U16) + rest * cum[s]))
+        size = np.where(hit2, f2u << _U16, np.where(hit1, (both - f2u) << _U16, rest * freq[s]))
         model.update(n, s)
-        r = rng[:n] >> _U(32)
+        r = rng[:n] >> _U32
         low[:n] += r * start
         rng[:n] = r * size
         at = None
         while True:
             lo, ra = (low[:n], rng[:n]) if at is None else (low[at], rng[at])
             settled = (lo ^ (lo + ra)) < _TOP
-            m = np.flatnonzero(settled | (ra < _BOTTOM))
+            m = (settled | (ra < _BOTTOM)).nonzero()[0]
             if not len(m):
                 break
             at = m if at is None else at[m]
-            lo, ra = lo[m], np.where(settled[m], ra[m], (_U(0) - lo[m]) & (_BOTTOM - _U(1)))
-            out[at, used[at]] = lo >> _U(48)
+            lo, ra = lo[m], np.where(settled[m], ra[m], (_U0 - lo[m]) & _MASK)
+            out[at, used[at]] = lo >> _U48
             used[at] += 1
-            low[at], rng[at] = lo << _U(16), ra << _U(16)
+            low[at], rng[at] = lo << _U16, ra << _U16
     for i in range(4):
         out[np.arange(lanes), used + i] = (low >> _U(48 - 16 * i)).astype(np.uint16)
     return [out[i, : used[i] + 4].astype(">u2").tobytes() for i in range(lanes)]
@@ -170,7 +173,7 @@ def decode(codes: list[bytes], n_ids: int, freq: np.ndarray, block: int = BLOCK_
     read = np.arange(lanes, dtype=np.int64) * width
     code = np.zeros(lanes, np.uint64)
     for i in range(4):
-        code = (code << _U(16)) | data[read + i]
+        code = (code << _U16) | data[read + i]
     read += 4
     grid = np.zeros((block, lanes), np.uint32)
     for t in range(block):
@@ -179,15 +182,15 @@ def decode(codes: list[bytes], n_ids: int, freq: np.ndarray, block: int = BLOCK_
             break
         f2, f1 = model.predict(n)
         f2u, both = f2.astype(np.uint64), (f2 + f1).astype(np.uint64)
-        r = rng[:n] >> _U(32)
+        r = rng[:n] >> _U32
         v = np.minimum((code[:n] - low[:n]) // r, _U(2**32 - 1))
-        rest = _U(65_536) - both
-        is2, not_rest = v < (f2u << _U(16)), v < (both << _U(16))
-        slot = np.where(not_rest, _U(0), v - (both << _U(16))) // rest
+        rest = _ALL - both
+        is2, not_rest = v < (f2u << _U16), v < (both << _U16)
+        slot = np.where(not_rest, _U0, v - (both << _U16)) // rest
         literal = at_slot[np.minimum(slot, _U(65_535)).astype(np.int64)]
         s = np.where(is2, model.p2, np.where(not_rest, model.p1, literal))
-        start = np.where(is2, _U(0), np.where(not_rest, f2u << _U(16), (both << _U(16)) + rest * cum[s]))
-        size = np.where(is2, f2u << _U(16), np.where(not_rest, (both - f2u) << _U(16), rest * freq[s]))
+        start = np.where(is2, _U0, np.where(not_rest, f2u << _U16, (both << _U16) + rest * cum[s]))
+        size = np.where(is2, f2u << _U16, np.where(not_rest, (both - f2u) << _U16, rest * freq[s]))
         grid[t, :n] = s
         model.update(n, s)
         low[:n] += r * start
@@ -196,14 +199,14 @@ def decode(codes: list[bytes], n_ids: int, freq: np.ndarray, block: int = BLOCK_
         while True:
             lo, ra = (low[:n], rng[:n]) if at is None else (low[at], rng[at])
             settled = (lo ^ (lo + ra)) < _TOP
-            m = np.flatnonzero(settled | (ra < _BOTTOM))
+            m = (settled | (ra < _BOTTOM)).nonzero()[0]
             if not len(m):
                 break
             at = m if at is None else at[m]
-            lo, ra = lo[m], np.where(settled[m], ra[m], (_U(0) - lo[m]) & (_BOTTOM - _U(1)))
-            code[at] = (code[at] << _U(16)) | data[read[at]]
+            lo, ra = lo[m], np.where(settled[m], ra[m], (_U0 - lo[m]) & _MASK)
+            code[at] = (code[at] << _U16) | data[read[at]]
             read[at] += 1
-            low[at], rng[at] = lo << _U(16), ra << _U(16)
+            low[at], rng[at] = lo << _U16, ra << _U16
     return grid.T.reshape(-1)[:n_ids].copy()
 
 

@@ -2,7 +2,7 @@
 
 Byte-level and word BPE never merge across the start of a run of white space, so a text's ids are those
 of its pieces one after the other. Pieces repeat, so each is encoded by the ``tokenizers`` library once
-and remembered; the memo is emptied when it is full, which bounds a worker's memory. A new piece of plain
+and remembered; when the memo is full, pieces met once are forgotten, which bounds a worker's memory. A new piece of plain
 letters, digits and signs is cut by the tokenizer's own pattern and handed to the library's BPE model, which
 leaves out the library's slow cutting; every other piece goes through the library as it is.
 """
@@ -16,11 +16,13 @@ from itertools import chain
 import numpy as np
 import regex
 
-MEMO_PIECES = 300_000
+MEMO_PIECES = 400_000
 
 _PIECE = re.compile(r"\s*[^ \t\n\r]+|\s+")
 #: White space other than the four characters that pieces are cut at.
-_OTHER_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f]")
+_OTHER_SPACE = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space that isn't a single space or line end between words.
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 #: Pieces that every Unicode version and normal form takes alike.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00c0-\u00ff]*")
 #: The patterns that the two kinds of tokenizer cut texts by.
@@ -69,19 +71,50 @@ class PieceTokenizer:
         self._starts = np.zeros(1 << 16, np.int64)
         self._counts = np.zeros(1 << 16, np.int64)
         self._used = 0
+        self._met = np.zeros(1 << 16, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces met most, at most half of what fits, with their ids."""
+        memo, met = self._memo, self._met[: len(self._memo)]
+        least = 2
+        while (met >= least).sum() > MEMO_PIECES // 2:
+            least *= 2
+        kept = [(p, i) for p, i in memo.items() if met[i] >= least]
+        ids, starts, counts = self._ids, self._starts, self._counts
+        self._reset()
+        if not kept:
+            return
+        old = np.array([i for _, i in kept], np.int64)
+        n = counts[old]
+        ends = np.cumsum(n)
+        self._used = int(ends[-1])
+        self._ids = ids[np.repeat(starts[old] - (ends - n), n) + np.arange(self._used)]
+        self._starts, self._counts, self._met = ends - n, n, met[old] // 2
+        for k, (p, _) in enumerate(kept):
+            self._memo[p] = k
 
     def _pieces(self, text: str) -> list[str]:
         if self._words:
             return text.replace("\n", " ").split(" ")
         if _OTHER_SPACE.search(text):
-            return [text]
-        return _PIECE.findall(text)
+            return [f"\0{text}"]
+        if any(r in text for r in _RUNS) or text[:1] in ("", " ", "\n") or text[-1] in " \n":
+            return [f"\0{p}" for p in _PIECE.findall(text)]
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = f"\0{pieces[0]}"
+        return pieces
+
+    def _text_of(self, piece: str) -> str:
+        """A byte-level piece has a space before it, unless it is marked as it stands or begins with a line end."""
+        if self._words or piece[:1] == "\n":
+            return piece
+        return piece[1:] if piece[:1] == "\0" else f" {piece}"
 
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = []
         odd: list[str] = []
         cuts = self._cuts
-        for p in pieces:
+        for p in map(self._text_of, pieces):
             if "<|" in p or not _PLAIN.fullmatch(p):
                 odd.append(p)
                 out.append(None)
@@ -114,12 +147,14 @@ class PieceTokenizer:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (uint32), and how many each has."""
         if len(self._memo) > MEMO_PIECES:
-            self._reset()
+            self._forget()
         pieces = [self._pieces(t) for t in texts]
         n = np.array([len(p) for p in pieces], np.int64)
         number = np.fromiter(map(self._memo.__getitem__, chain.from_iterable(pieces)), np.int64, int(n.sum()))
         if self._memo.fresh:
             self._learn()
+        self._met = _room(self._met, len(self._memo))
+        self._met += np.bincount(number, minlength=len(self._met))
         counts = self._counts[number]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
