@@ -3,12 +3,14 @@
 Byte-level and word BPE never merge across the start of a run of white space, so a text's ids are those
 of its pieces one after the other. Pieces repeat, so each is encoded by the ``tokenizers`` library once
 and remembered; when the memo is full, pieces met once are forgotten, which bounds a worker's memory. A new piece of plain
-letters, digits and signs is cut by the tokenizer's own pattern and handed to the library's BPE model, which
-leaves out the library's slow cutting; every other piece goes through the library as it is.
+letters, digits and signs is cut by the tokenizer's own pattern, and new cuts are encoded many at a time by a
+tokenizer of the same vocabulary and merges that only splits at spaces, which leaves out the library's slow
+cutting; every other piece goes through the library as it is.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
@@ -50,6 +52,28 @@ class _Memo(dict):
         return n
 
 
+class _Ragged:
+    """Arrays of ids one after the other, by number."""
+
+    def __init__(self):
+        self._ids, self._used = np.zeros(1 << 16, np.uint32), 0
+        self._starts, self._counts, self._n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def extend(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        n, used = self._n + len(counts), self._used + len(ids)
+        self._ids, self._starts, self._counts = _room(self._ids, used), _room(self._starts, n), _room(self._counts, n)
+        self._ids[self._used : used] = ids
+        self._counts[self._n : n] = counts
+        self._starts[self._n : n] = self._used + np.cumsum(counts) - counts
+        self._n, self._used = n, used
+
+    def take(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = self._counts[number]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self._ids[np.repeat(self._starts[number] - (ends - counts), counts) + np.arange(total)], counts
+
+
 class PieceTokenizer:
     """``words``: white space is dropped by the tokenizer, so texts are cut at spaces and line ends."""
 
@@ -58,7 +82,8 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._model = self._tokenizer.model
+        plain = json.loads(self._tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}
+        self._plain = Tokenizer.from_str(json.dumps(plain))
         self._words = words
         self._cut = (_CUT_WORDS if words else _CUT_BYTES).findall
         self._letters = _byte_letters()
@@ -66,11 +91,9 @@ class PieceTokenizer:
 
     def _reset(self) -> None:
         self._memo = _Memo()
-        self._cuts: dict[str, list[int]] = {}
-        self._ids = np.zeros(1 << 16, np.uint32)
-        self._starts = np.zeros(1 << 16, np.int64)
-        self._counts = np.zeros(1 << 16, np.int64)
-        self._used = 0
+        if len(getattr(self, "_cuts", ())) > MEMO_PIECES or not hasattr(self, "_cuts"):
+            self._cuts, self._cut_ids = _Memo(), _Ragged()
+        self._known = _Ragged()
         self._met = np.zeros(1 << 16, np.int64)
 
     def _forget(self) -> None:
@@ -80,16 +103,13 @@ class PieceTokenizer:
         while (met >= least).sum() > MEMO_PIECES // 2:
             least *= 2
         kept = [(p, i) for p, i in memo.items() if met[i] >= least]
-        ids, starts, counts = self._ids, self._starts, self._counts
+        known = self._known
         self._reset()
         if not kept:
             return
         old = np.array([i for _, i in kept], np.int64)
-        n = counts[old]
-        ends = np.cumsum(n)
-        self._used = int(ends[-1])
-        self._ids = ids[np.repeat(starts[old] - (ends - n), n) + np.arange(self._used)]
-        self._starts, self._counts, self._met = ends - n, n, met[old] // 2
+        self._known.extend(*known.take(old))
+        self._met = met[old] // 2
         for k, (p, _) in enumerate(kept):
             self._memo[p] = k
 
@@ -110,39 +130,44 @@ class PieceTokenizer:
             return piece
         return piece[1:] if piece[:1] == "\0" else f" {piece}"
 
-    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = []
-        odd: list[str] = []
-        cuts = self._cuts
-        for p in map(self._text_of, pieces):
-            if "<|" in p or not _PLAIN.fullmatch(p):
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after the other, and how many each has."""
+        number, odd, per_piece = self._cuts.__getitem__, [], []
+        cuts: list[int] = []
+        for at, p in enumerate(map(self._text_of, pieces)):
+            if p.isascii() and (p.isalpha() or p[:1] == " " and p[1:].isalpha()):
+                cuts.append(number(p.lower() if self._words else p))
+                per_piece.append(1)
+            elif "<|" in p or not _PLAIN.fullmatch(p):
+                cuts.append(number(f"\0{at}\0{p}"))  # encoded as it is, and never met again under this name
                 odd.append(p)
-                out.append(None)
-                continue
-            ids: list[int] = []
-            for c in self._cut(p.lower() if self._words else p):
-                got = cuts.get(c)
-                if got is None:
-                    got = cuts[c] = [t.id for t in self._model.tokenize(c.translate(self._letters))]
-                ids += got
-            out.append(ids)
+                per_piece.append(1)
+            else:
+                own = self._cut(p.lower() if self._words else p)
+                cuts += map(number, own)
+                per_piece.append(len(own))
+        fresh, self._cuts.fresh = self._cuts.fresh, []
         whole = iter(self._tokenizer.encode_batch(odd, add_special_tokens=False)) if odd else iter(())
-        return [next(whole).ids if x is None else x for x in out]
+        plain = [c for c in fresh if c[:1] != "\0"]
+        e = self._plain.encode(" ".join([c.translate(self._letters) for c in plain]), add_special_tokens=False)
+        ids, n = np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(plain)) if plain else np.zeros(0, np.int64)
+        if len(plain) < len(fresh):
+            parts, at, k = [], 0, 0
+            for c in fresh:
+                if c[:1] == "\0":
+                    parts.append(np.array(next(whole).ids, np.uint32))
+                else:
+                    parts.append(ids[at : at + n[k]])
+                    at, k = at + int(n[k]), k + 1
+            ids, n = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        self._cut_ids.extend(ids, n)
+        flat, counts = self._cut_ids.take(np.array(cuts, np.int64))
+        return flat, np.add.reduceat(np.append(counts, 0), np.cumsum([0, *per_piece[:-1]])) * (np.array(per_piece) > 0)
 
     def _learn(self) -> None:
         fresh, self._memo.fresh = self._memo.fresh, []
-        at = len(self._memo) - len(fresh)
-        for i in range(0, len(fresh), 20_000):
-            part = self._encode_pieces(fresh[i : i + 20_000])
-            counts = np.array([len(x) for x in part], np.int64)
-            flat = np.fromiter(chain.from_iterable(part), np.uint32, int(counts.sum()))
-            self._ids = _room(self._ids, self._used + len(flat))
-            self._starts, self._counts = _room(self._starts, at + len(part)), _room(self._counts, at + len(part))
-            self._ids[self._used : self._used + len(flat)] = flat
-            self._counts[at : at + len(part)] = counts
-            self._starts[at : at + len(part)] = self._used + np.cumsum(counts) - counts
-            self._used += len(flat)
-            at += len(part)
+        for i in range(0, len(fresh), 50_000):
+            self._known.extend(*self._encode_pieces(fresh[i : i + 50_000]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (uint32), and how many each has."""
@@ -155,10 +180,8 @@ class PieceTokenizer:
             self._learn()
         self._met = _room(self._met, len(self._memo))
         self._met += np.bincount(number, minlength=len(self._met))
-        counts = self._counts[number]
+        ids, counts = self._known.take(number)
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self._ids[np.repeat(self._starts[number] - (ends - counts), counts) + np.arange(total)]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
         return ids, np.diff(upto)
 
