@@ -94,3 +94,15 @@ def ks_normal(df: DataFrame, column: str) -> DataFrame:
     cdf = 0.5 * (1 + F.signum(z) * (1 - poly * F.exp(-z * z)))
     gap = F.greatest(F.abs(F.col("upto") / s["n"] - cdf), F.abs(cdf - (F.col("upto") - F.col("count")) / s["n"]))
     return upto.agg(F.sum("count").alias("n"), F.max(gap).alias("ks"))
+
+
+def qq_points(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
+    """(p, sample_q, normal_q): the column's quantiles beside those of the normal distribution of the same mean and deviation."""
+    from statistics import NormalDist
+
+    from tidegrid.operators.clean import exact_quantiles
+
+    s = df.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("sd")).first()
+    q = exact_quantiles(df, column, probs)
+    rows = [(p, v, None if s["sd"] is None else s["m"] + s["sd"] * NormalDist().inv_cdf(p)) for p, v in zip(probs, q, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "p double, sample_q double, normal_q double")

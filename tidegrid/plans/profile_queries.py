@@ -304,3 +304,28 @@ def partitioned_sink(spark, sf_dir):
 @query("select 'events.parquet' as file_name, count(*) as n_rows from events")
 def file_profile(spark, sf_dir):
     return io.file_profile(table(spark, sf_dir, "events")).select("file_name", "n_rows")
+
+
+@query("with s as (select avg(o_totalprice) as m, stddev_samp(o_totalprice) as sd from orders) select p, round(q, 4) as sample_q, round(m + sd * z, 3) as normal_q from s, (select unnest([0.1, 0.5, 0.9])::double as p, unnest(quantile_cont(o_totalprice, [0.1, 0.5, 0.9])) as q, unnest([-1.2815515655446004, 0.0, 1.2815515655446004])::double as z from orders)")
+def qq_points(spark, sf_dir):
+    return pr.qq_points(table(spark, sf_dir, "orders"), "o_totalprice", [0.1, 0.5, 0.9]).select("p", r("sample_q", 4).alias("sample_q"), r("normal_q", 3).alias("normal_q"))
+
+
+@query("select event_type, count(*) as n, min(ts) as first_ts, max(ts) as last_ts from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' group by 1")
+def half_open_range(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where(cl.half_open("ts", "2024-01-05", "2024-01-20"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query()
+def hashed_sample(spark, sf_dir):
+    """A sampling operator: one per cent of the rows, the same ones however they are partitioned."""
+    from tidegrid.operators.splits import hashed_fraction
+
+    return table(spark, sf_dir, "orders").where(hashed_fraction(F.col("o_orderkey"), 0.01)).select("o_orderkey", "o_totalprice")
+
+
+@query("select year(l_shipdate)::int as year, month(l_shipdate)::int as month, round(sum(l_extendedprice) / count(distinct l_shipdate::date), 4) as per_day from lineitem group by 1, 2")
+def per_day_average(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), F.to_date("l_shipdate").alias("d")).agg(F.sum("l_extendedprice").alias("v"))
+    return rows.groupBy("year", "month").agg(r(F.sum("v") / F.count("d"), 4).alias("per_day"))
