@@ -19,7 +19,9 @@ rows each get a row; an empty table gives an empty result; other columns aren't
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import held_out, texts
 
 FEATURE_BITS = 18
-MAX_PER_CLASS = 4_000
+MAX_PER_CLASS = 2_000
 MAX_TRAIN_BYTES = 100_000
 MIN_CONTEXTS = 8
 #: A feature is toxic if of its documents, at even classes, this share is toxic.
@@ -41,6 +43,8 @@ THRESHOLD = 0.3
 #: A token is reported at this marginal.
 SPAN_MARGINAL = 0.5
 BLOCK = 64
+#: Windows with toxic tokens that the chain is fitted on, besides about as many without.
+MAX_WINDOWS = 5_000
 #: Words whose score a worker remembers, and tokens that one numpy step takes.
 MEMO_WORDS = 300_000
 STEP_TOKENS = 400_000
@@ -139,25 +143,33 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -
 
 def token_labels(docs: list[tuple[list[str], int]]) -> list[np.ndarray]:
     """Toxic tokens of each (words, toxic) document, from the documents' labels alone."""
-    contexts: dict[str, set] = {}
-    clean: dict[str, int] = {}
-    named = {w: features(w)[:-1] for words, _ in docs for w in words}
-    n_toxic = sum(t for _, t in docs) or 1
+    df = [Counter(), Counter()]
     for words, toxic in docs:
-        if toxic:
-            for i, w in enumerate(words):
-                around = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-                for f in named[w]:
-                    seen = contexts.setdefault(f, set())
-                    if len(seen) < 4096:
-                        seen.add(around)
-        else:
-            for f in {f for w in set(words) for f in named[w]}:
-                clean[f] = clean.get(f, 0) + 1
+        df[toxic].update(set(words))
+    n_toxic = sum(t for _, t in docs) or 1
     even = n_toxic / max(1, len(docs) - n_toxic)
-    bad = {f for f, s in contexts.items() if len(s) >= MIN_CONTEXTS and clean.get(f, 0) * even <= (1 - MIN_PURITY) * len(s)}
-    toxic_words = {w for w, names in named.items() if any(f in bad for f in names)}
-    return [np.array([toxic and w in toxic_words for w in words], bool) for words, toxic in docs]
+    pure = lambda toxic, clean: toxic >= MIN_CONTEXTS and clean * even <= (1 - MIN_PURITY) * toxic
+    counts: dict[str, int] = Counter()
+    for w, n in df[1].items():
+        for f in features(w)[:-1]:
+            counts[f] += n
+    likely = {f for f, n in counts.items() if n >= MIN_CONTEXTS}
+    clean: dict[str, int] = Counter()
+    for w, n in df[0].items():
+        for f in features(w)[:-1]:
+            if f in likely:
+                clean[f] += n
+    likely = {f for f in likely if pure(counts[f], clean[f])}
+    # Contexts are gathered only for the few features that pass by their counts.
+    of = {w: [f for f in features(w)[:-1] if f in likely] for w in df[1]}
+    contexts: dict[str, set] = {f: set() for f in likely}
+    for words, toxic in docs:
+        for i, w in enumerate(words if toxic else ()):
+            for f in of[w]:
+                contexts[f].add(hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")))
+    bad = {f for f, seen in contexts.items() if pure(len(seen), clean[f])}
+    toxic_words = {w for w, names in of.items() if any(f in bad for f in names)}
+    return [np.array([bool(toxic) and w in toxic_words for w in words], bool) for words, toxic in docs]
 
 
 def fit_chain(docs: list[tuple[list[str], int]], rounds: int = 40, rate: float = 0.2, l2: float = 1e-5) -> ToxicModel:
@@ -166,9 +178,9 @@ def fit_chain(docs: list[tuple[list[str], int]], rounds: int = 40, rate: float =
     windows: list[tuple[list[str], np.ndarray]] = []
     for (words, _), y in zip(docs, labels, strict=True):
         windows += [(words[i : i + BLOCK], y[i : i + BLOCK]) for i in range(0, len(words), BLOCK)]
-    hot = [x for x in windows if x[1].any()][:12_000]
+    hot = [x for x in windows if x[1].any()][:MAX_WINDOWS]
     rest = [x for x in windows if not x[1].any()]
-    rest = rest[:: max(1, len(rest) // (len(hot) + 4_000))]
+    rest = rest[:: max(1, len(rest) // (len(hot) + 2_000))]
     windows = hot + rest
     vocab: dict[str, int] = {}
     ids = np.array([vocab.setdefault(w, len(vocab)) for words, _ in windows for w in words], np.int64)
@@ -236,7 +248,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1_000_003)) < share * 1_000_003)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(chosen, "id").select("id", "text", "y").toArrow()
     rows = sorted(zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), rows.column("y").to_pylist(), strict=True))
-    tokens = [(_WORD.findall(lowered(t)), y) for _, t, y in rows]
+    tokens = [(list(map(sys.intern, _WORD.findall(lowered(t)))), y) for _, t, y in rows]
+    del rows
     if len({y for _, y in tokens}) < 2:
         return ToxicModel(np.zeros(1 << FEATURE_BITS), 0.0, np.log(np.full((2, 2), 0.5)), None)
     model = fit_chain(tokens)
