@@ -6,11 +6,17 @@
    values that both sketches retain, so it shares one of the rarest of them: only the rarest
    ``prefix(n)`` values of a sketch are listed. Rarity is counted over all classes in a table of fixed
    size, so a passage that a third of all texts share isn't listed unless a text is little else.
+   A pair counts only where the values from the shared one on, in order of rarity, suffice for the overlap
+   that its two set sizes ask for; texts that share a passage and little else fail this before they are
+   paired.
 3. The list's smallest member is paired with each other member. Pairs that the union sketch puts clearly
-   below the threshold are dropped, the rest is verified on full sets; links make components. Only lists
-   that still hold two components or more then give the pairs between different components. So a group of
-   m copies costs m - 1 pairs a list, and no link between different texts is lost to a cap.
-4. A document's component is its class's.
+   below the threshold are dropped, the rest is verified on full sets; links make components. So a group of
+   m copies costs m - 1 pairs a list.
+4. Lists that still hold two components or more may hide links between them. Their members are listed anew
+   by the rarest values of their full sets, where both the prefix and the place of the shared value are
+   exact, and give the pairs between different components that can still be links. So no link is lost to a
+   cap, and variants of one text that are too far from each other aren't paired because they share its base.
+5. A document's component is its class's.
 
 The chance that a pair of similarity 0.75 or more isn't listed, or dropped by its union sketch, is that of
 a deviation of ``Z`` standard deviations, about 3e-5 at the threshold itself and less above; sets of up to
@@ -29,15 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import chunks, long_lists, materialize, texts, utf8
+from tidegrid.llm.common import chunks, fresh_names, long_lists, materialize, texts, utf8
 from tidegrid.llm.components import components
 from tidegrid.llm.shingles import shingle_sets
 
 #: Values in a sketch.
-K = 64
+K = 128
 #: Per cent of the union that a link needs.
 PERCENT = 75
 #: Standard deviations that an estimate may lie below.
@@ -59,6 +65,20 @@ def prefix(n: int) -> int:
     return min(n, K) - math.floor(least_overlap(K)) + 1
 
 
+def needed(n: Column, m: Column) -> Column:
+    """Least number of values that the sketches of linked sets of ``n`` and ``m`` values share.
+
+    A link needs 75/175 of both sizes together in common. Where both sketches are whole that is exact; else
+    each of the larger set's ``K`` values is shared with that number's share of the larger size, less ``Z``
+    deviations and three values for where the sketches end.
+    """
+    common = F.lit(PERCENT) * (n + m)
+    whole = F.ceil(common / (100 + PERCENT))
+    q = common / ((100 + PERCENT) * F.greatest(n, m))
+    part = F.greatest(K * q - Z * F.sqrt(K * q * (1 - q)) - 3, F.lit(least_overlap(K)))
+    return F.when(F.greatest(n, m) <= K, whole.cast("double")).otherwise(part)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = utf8(texts(batch.column(1)))
@@ -83,25 +103,32 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), long_lists(sets)], ["doc_id", "class", "shingles"])
 
 
-def _postings(rarity: np.ndarray):
+def whole_prefix(n: int) -> int:
+    """How many of the rarest values of a full set of ``n`` a linked set has one of."""
+    return n - (n * PERCENT + 99) // 100 + 1
+
+
+def _postings(rarity: np.ndarray, prefix=prefix):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(2)
             offs, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            out = []
+            out, left = [], []
             for i, n in enumerate(sizes.tolist()):
                 v = values[offs[i] : offs[i + 1]]
                 out.append(v[np.lexsort((v, rarity[v & (RARITY_SLOTS - 1)]))[: prefix(n)]])
+                left.append(np.arange(len(v), len(v) - len(out[-1]), -1))
             counts = [len(v) for v in out]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(sizes, counts))], ["value", "rep", "n"])
+            joined = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([joined(out), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(sizes, counts)), joined(left)], ["value", "rep", "n", "left"])
 
     return run
 
 
-def _rarity(classes: DataFrame) -> np.ndarray:
+def _rarity(sets: DataFrame, column: str) -> np.ndarray:
     slot = F.col("v").bitwiseAND(RARITY_SLOTS - 1)
-    found = classes.select(F.explode("sketch").alias("v")).groupBy(slot.cast("int").alias("slot")).count().toArrow()
+    found = sets.select(F.explode(column).alias("v")).groupBy(slot.cast("int").alias("slot")).count().toArrow()
     counts = np.zeros(RARITY_SLOTS, np.int64)
     counts[found.column("slot").to_numpy()] = found.column("count").to_numpy()
     return np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
@@ -116,16 +143,26 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     both = F.when((F.col("na") <= K) & (F.col("nb") <= K), F.size(F.array_intersect("sa", "sb"))).otherwise(F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u")))
     likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("u", union).where(both >= need).select("a", "b"), "near-likely")
 
-    involved = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    involved = materialize(involved.join(classes.select(F.col("rep").alias("doc_id"), F.col("class").alias("own")), "doc_id"), "near-involved")
-    whole = docs.join(involved.select("doc_id"), "doc_id", "left_semi").mapInArrow(_whole, "doc_id long, class binary, shingles array<long>")
-    whole = materialize(whole.join(involved.select("doc_id", F.col("own").alias("class")), ["doc_id", "class"], "left_semi"), "near-whole")
-    # Rows repeated with one id and set are one class; a repeat only makes a link twice.
-    left = whole.select(F.col("doc_id").alias("a"), F.col("shingles").alias("ha"))
-    right = whole.select(F.col("doc_id").alias("b"), F.col("shingles").alias("hb"))
+    involved = likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct()
+    return _linked(likely, _whole_sets(involved, classes, docs))
+
+
+def _whole_sets(reps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, shingles) of the full sets of class representatives."""
+    known = materialize(reps.join(classes.select("rep", F.col("class").alias("own")), "rep").select(F.col("rep").alias("doc_id"), "own"), "near-involved")
+    whole = docs.join(known.select("doc_id"), "doc_id", "left_semi").mapInArrow(_whole, "doc_id long, class binary, shingles array<long>")
+    # A repeated id may also stand for another text; only the set of the class counts.
+    whole = whole.join(known.select("doc_id", F.col("own").alias("class")), ["doc_id", "class"], "left_semi")
+    return materialize(whole.select(F.col("doc_id").alias("rep"), "shingles"), "near-whole")
+
+
+def _linked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough; a repeated row only makes a link twice."""
+    left = whole.select(F.col("rep").alias("a"), F.col("shingles").alias("ha"))
+    right = whole.select(F.col("rep").alias("b"), F.col("shingles").alias("hb"))
     inter = F.size(F.array_intersect("ha", "hb"))
     linked = 100 * inter.cast("long") >= PERCENT * (F.size("ha") + F.size("hb") - inter).cast("long")
-    return materialize(likely.join(left, "a").join(right, "b").where(linked).select("a", "b"), "near-links")
+    return materialize(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b"), "near-links")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,26 +174,34 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = members.join(least.select(F.col("class").alias("c"), "rep"), (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("rep")), "left_semi")
     classes = materialize(classes.select(F.col("doc_id").alias("rep"), "n_shingles", "class", "sketch"), "near-classes")
 
-    rarity = _rarity(classes)
-    postings = materialize(classes.select("rep", "n_shingles", "sketch").mapInArrow(_postings(rarity), "value long, rep long, n long"), "near-postings")
-    lists = postings.groupBy("value").agg(F.min("rep").alias("lead"), F.min_by("n", "rep").alias("lead_n"), F.count(F.lit(1)).alias("size"))
+    rarity = _rarity(classes, "sketch")
+    postings = materialize(classes.select("rep", "n_shingles", "sketch").mapInArrow(_postings(rarity), "value long, rep long, n long, left long"), "near-postings")
+    lists = postings.groupBy("value").agg(F.min("rep").alias("lead"), F.min_by(F.struct("n", "left"), "rep").alias("l"), F.count(F.lit(1)).alias("size"))
     lists = materialize(lists.where("size > 1"), "near-lists")
-    alike = lambda x, y: (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
-    stars = postings.join(lists, "value").where((F.col("rep") > F.col("lead")) & alike(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    enough = lambda n, m, x, y: (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (F.least(x, y) >= needed(n, m))
+    stars = postings.join(lists, "value").where((F.col("rep") > F.col("lead")) & enough(F.col("n"), F.col("l.n"), F.col("left"), F.col("l.left"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     stars = materialize(stars, "near-stars")
     links = _verified(stars, classes, docs)
     parts = materialize(components(links), "near-parts")
 
-    # Lists that hold more than one component: pairs between different ones, but those tried already.
-    placed = postings.join(lists.select("value"), "value", "left_semi").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).select("value", "rep", "n", "part")
+    # Lists that hold more than one component: their members anew, by their full sets.
+    part = F.coalesce("component", "rep").alias("part")
+    placed = postings.join(lists.select("value"), "value", "left_semi").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", part)
     placed = materialize(placed, "near-placed")
     mixed = materialize(placed.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value"), "near-mixed")
-    open_rows = materialize(placed.join(mixed, "value", "left_semi"), "near-open")
-    x = open_rows.select("value", F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("part").alias("p1"))
-    y = open_rows.select("value", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("part").alias("p2"))
-    cross = x.join(y, (x["value"] == y["value"]) & (F.col("a") < F.col("b")) & (F.col("p1") != F.col("p2")) & alike(F.col("n1"), F.col("n2"))).select("a", "b").distinct()
+    members = materialize(placed.join(mixed, "value", "left_semi").select("rep", "part").distinct(), "near-members")
+    whole = _whole_sets(members.select("rep"), classes, docs)
+    again = whole.select("rep", F.size("shingles").cast("long").alias("n"), "shingles").mapInArrow(_postings(_rarity(whole, "shingles"), whole_prefix), "value long, rep long, n long, left long")
+    again = materialize(again.join(members, "rep"), "near-again")
+    mixed = materialize(again.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value"), "near-mixed")
+    open_rows = materialize(again.join(mixed, "value", "left_semi"), "near-open")
+    side = lambda i, name: open_rows.select("value", F.col("rep").alias(name), *[F.col(c).alias(f"{c}{i}") for c in ("n", "left", "part")])
+    x, y = side(1, "a"), side(2, "b")
+    shared = F.ceil(F.lit(PERCENT) * (F.col("n1") + F.col("n2")) / (100 + PERCENT))
+    possible = (100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2")) & (F.least("left1", "left2") >= shared)
+    cross = x.join(y, (x["value"] == y["value"]) & (F.col("a") < F.col("b")) & (F.col("part1") != F.col("part2")) & possible).select("a", "b").distinct()
     cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "near-cross")
-    more = _verified(cross, classes, docs)
+    more = _linked(cross, whole)
     final = materialize(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-components")
 
     named = least.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("class_component"))
@@ -168,5 +213,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    kept = near_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    (name,) = fresh_names(docs, "kept")
+    kept = near_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(name))
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_semi")
