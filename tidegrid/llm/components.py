@@ -22,6 +22,14 @@ def _star(links: DataFrame, label: str, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _is_stars(links: DataFrame) -> bool:
+    """Whether every node that has a smaller one has only that one, which has none itself."""
+    facts = links.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("distinct")).first()
+    if facts["n"] != facts["distinct"]:
+        return False
+    return links.select(F.col("v").alias("u")).distinct().join(links.select("u"), "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b); component is the smallest node reachable.
 
@@ -31,12 +39,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     canon = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(canon, "links")
-    seen = None
     for _ in range(MAX_ROUNDS):
-        facts = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        if not facts["n"] or facts == seen:
+        if _is_stars(now):
             break
-        seen = facts
         now = materialize(_star(_star(now, "large", True), "small", False), "links")
     else:
         raise RuntimeError(f"links haven't settled in {MAX_ROUNDS} rounds")
