@@ -246,7 +246,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return ToxicModel(np.zeros(1 << FEATURE_BITS), 0.0, np.log(np.full((2, 2), 0.5)), None)
     share = F.when(F.col("y") == 1, min(1.0, max_per_class / sizes[1])).otherwise(min(1.0, max_per_class / sizes[0]))
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1_000_003)) < share * 1_000_003)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(chosen, "id").select("id", "text", "y").toArrow()
+    # About 2 * max_per_class ids, whatever the input: sent to the texts, which then stay where they are.
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "id").select("id", "text", "y").toArrow()
     rows = sorted(zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), rows.column("y").to_pylist(), strict=True))
     tokens = [(list(map(sys.intern, _WORD.findall(lowered(t)))), y) for _, t, y in rows]
     del rows
