@@ -9,13 +9,13 @@
    A pair counts only where the values from the shared one on, in order of rarity, suffice for the overlap
    that its two set sizes ask for; texts that share a passage and little else fail this before they are
    paired.
-3. The list's smallest member is paired with each other member. Pairs that the union sketch puts clearly
+3. The list's leading member is paired with each other member. Pairs that the union sketch puts clearly
    below the threshold are dropped, the rest is verified on full sets; links make components. So a group of
    m copies costs m - 1 pairs a list.
 4. Lists that still hold two components or more may hide links between them. Their members are listed anew
    by the rarest values of their full sets, where both the prefix and the place of the shared value are
    exact, and give the pairs between different components that can still be links. So no link is lost to a
-   cap, and variants of one text that are too far from each other aren't paired because they share its base.
+   cap (a leading member is paired first, as before), and variants of one text that are too far from each other aren't paired because they share its base.
 5. A document's component is its class's.
 
 The chance that a pair of similarity 0.75 or more isn't listed, or dropped by its union sketch, is that of
@@ -165,6 +165,19 @@ def _linked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return materialize(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b"), "near-links")
 
 
+def _stars(postings: DataFrame, possible) -> tuple[DataFrame, DataFrame]:
+    """Lists of two members or more, and their pairs (a, b) of the leading member with each other that can be linked.
+
+    The member with the least before the shared value leads: it holds least of its own, so most are like it.
+    """
+    lead = F.max(F.struct("left", (-F.col("rep")).alias("order"), "rep", "n")).alias("l")
+    lists = postings.groupBy("value").agg(lead, F.count(F.lit(1)).alias("size")).where("size > 1")
+    lists = materialize(lists.select("value", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.left").alias("lead_left")), "near-lists")
+    pairs = postings.join(lists, "value").where((F.col("rep") != F.col("lead")) & possible(F.col("n"), F.col("lead_n"), F.col("left"), F.col("lead_left")))
+    pairs = pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    return lists, materialize(pairs, "near-stars")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -176,11 +189,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rarity = _rarity(classes, "sketch")
     postings = materialize(classes.select("rep", "n_shingles", "sketch").mapInArrow(_postings(rarity), "value long, rep long, n long, left long"), "near-postings")
-    lists = postings.groupBy("value").agg(F.min("rep").alias("lead"), F.min_by(F.struct("n", "left"), "rep").alias("l"), F.count(F.lit(1)).alias("size"))
-    lists = materialize(lists.where("size > 1"), "near-lists")
-    enough = lambda n, m, x, y: (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (F.least(x, y) >= needed(n, m))
-    stars = postings.join(lists, "value").where((F.col("rep") > F.col("lead")) & enough(F.col("n"), F.col("l.n"), F.col("left"), F.col("l.left"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = materialize(stars, "near-stars")
+    alike = lambda n, m: 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    lists, stars = _stars(postings, lambda n, m, x, y: alike(n, m) & (F.least(x, y) >= needed(n, m)))
     links = _verified(stars, classes, docs)
     parts = materialize(components(links), "near-parts")
 
@@ -192,15 +202,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = materialize(placed.join(mixed, "value", "left_semi").select("rep", "part").distinct(), "near-members")
     whole = _whole_sets(members.select("rep"), classes, docs)
     again = whole.select("rep", F.size("shingles").cast("long").alias("n"), "shingles").mapInArrow(_postings(_rarity(whole, "shingles"), whole_prefix), "value long, rep long, n long, left long")
-    again = materialize(again.join(members, "rep"), "near-again")
+    again = materialize(again, "near-again")
+    shared = lambda n, m: F.ceil(F.lit(PERCENT) * (n + m) / (100 + PERCENT))
+    possible = lambda n, m, x, y: alike(n, m) & (F.least(x, y) >= shared(n, m))
+    _, more_stars = _stars(again, possible)
+    more_stars = materialize(more_stars.join(stars, ["a", "b"], "left_anti"), "near-stars")
+    links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_linked(more_stars, whole))
+    parts = materialize(components(links), "near-parts")
+    again = again.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", "left", part)
+    again = materialize(again, "near-again")
     mixed = materialize(again.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value"), "near-mixed")
     open_rows = materialize(again.join(mixed, "value", "left_semi"), "near-open")
     side = lambda i, name: open_rows.select("value", F.col("rep").alias(name), *[F.col(c).alias(f"{c}{i}") for c in ("n", "left", "part")])
     x, y = side(1, "a"), side(2, "b")
-    shared = F.ceil(F.lit(PERCENT) * (F.col("n1") + F.col("n2")) / (100 + PERCENT))
-    possible = (100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2")) & (F.least("left1", "left2") >= shared)
-    cross = x.join(y, (x["value"] == y["value"]) & (F.col("a") < F.col("b")) & (F.col("part1") != F.col("part2")) & possible).select("a", "b").distinct()
-    cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "near-cross")
+    apart = (F.col("a") < F.col("b")) & (F.col("part1") != F.col("part2")) & possible(F.col("n1"), F.col("n2"), F.col("left1"), F.col("left2"))
+    cross = x.join(y, (x["value"] == y["value"]) & apart).select("a", "b").distinct()
+    cross = materialize(cross.join(stars, ["a", "b"], "left_anti").join(more_stars, ["a", "b"], "left_anti"), "near-cross")
     more = _linked(cross, whole)
     final = materialize(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-components")
 
