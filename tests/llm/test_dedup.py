@@ -104,6 +104,24 @@ def test_threshold_is_exact(spark):
     check_near(spark, [(1, " ".join(a)), (2, " ".join(close)), (3, " ".join(far))])
 
 
+def test_prefix_reaches_every_link_of_whole_sketches():
+    for n in range(1, near_dedup.K + 1):
+        for m in range(-(-75 * n // 100), n + 1):
+            common = -(-75 * (n + m) // 175)  # least of a link
+            if common <= m:
+                assert near_dedup.prefix(n) >= n - common + 1 and near_dedup.prefix(m) >= m - common + 1, (n, m)
+
+
+def test_copies_at_the_threshold(spark):
+    rows = []
+    for n in range(95, 136):
+        least = -(-75 * n // 100)
+        for k, m in enumerate((least, least + 1, least - 1)):  # the longer text's own shingles are the rarest
+            w = [f"n{n}k{k}w{i}" for i in range(n + 4)]
+            rows += [(10 * n + 2 * k, " ".join(w[: m + 4])), (10 * n + 2 * k + 1, " ".join(w))]
+    check_near(spark, rows)
+
+
 def test_shingle_kernel_matches_words():
     import numpy as np
 

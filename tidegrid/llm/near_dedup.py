@@ -19,8 +19,8 @@
 5. A document's component is its class's.
 
 The chance that a pair of similarity 0.75 or more isn't listed, or dropped by its union sketch, is that of
-a deviation of ``Z`` standard deviations, about 3e-5 at the threshold itself and less above; sets of up to
-``K`` shingles are handled exactly. Verified links are exact.
+a deviation of ``Z`` standard deviations, about 3e-5 at the threshold itself and less above; pairs of sets of
+up to ``K`` shingles are handled exactly. Verified links are exact.
 
 Defined results: null or wordless text has an empty set, is linked with nothing and is its own component;
 rows repeated with one doc_id are one document; an empty table gives an empty result; other columns
@@ -61,8 +61,10 @@ def least_overlap(union: int) -> float:
 def prefix(n: int) -> int:
     """How many of the rarest values of a set of ``n`` are listed."""
     if n <= K * PERCENT // 100:  # a linked set then has K values at most: both sketches are whole
-        return n - (n * PERCENT + 99) // 100 + 1
-    return min(n, K) - math.floor(least_overlap(K)) + 1
+        return whole_prefix(n)
+    sampled = min(n, K) - math.floor(least_overlap(K)) + 1
+    # A set that is whole in its sketch may be linked to another such set, or to one whose sketch is a sample.
+    return max(whole_prefix(n), sampled) if n <= K else sampled
 
 
 def needed(n: Column, m: Column) -> Column:
