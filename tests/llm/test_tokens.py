@@ -1,4 +1,5 @@
 import zlib
+from itertools import product
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidegrid.llm import packing, range_coder, token_files
+from tidegrid.llm import packing, range_coder, token_files, tokens
 from tidegrid.llm.queries import tokenizer_file
 from tidegrid.llm.tokens import PieceTokenizer
 
@@ -26,6 +27,16 @@ def test_ids_are_the_librarys(pair):
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
 
+@pytest.mark.parametrize("name", sorted(FILES))
+def test_forgotten_pieces_met_again(name, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 12)
+    path = tokenizer_file(name)
+    own, library = PieceTokenizer(path, FILES[name]), Tokenizer.from_file(path)
+    many = " ".join(",".join(x) for x in product("ab", repeat=4))  # more pieces than are remembered, of few cuts
+    for text in (f"“один” {many}", "“один” „два“ три", "„два“ 四 “один”", "три “один”"):
+        assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=40))
 def test_any_text(pair, text):

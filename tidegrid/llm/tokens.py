@@ -134,13 +134,15 @@ class PieceTokenizer:
         """Ids of all pieces one after the other, and how many each has."""
         number, odd, per_piece = self._cuts.__getitem__, [], []
         cuts: list[int] = []
-        for at, p in enumerate(map(self._text_of, pieces)):
+        for p in map(self._text_of, pieces):
             if p.isascii() and (p.isalpha() or p[:1] == " " and p[1:].isalpha()):
                 cuts.append(number(p.lower() if self._words else p))
                 per_piece.append(1)
             elif "<|" in p or not _PLAIN.fullmatch(p):
-                cuts.append(number(f"\0{at}\0{p}"))  # encoded as it is, and never met again under this name
-                odd.append(p)
+                name = f"\0{p}"  # encoded as it is; a cut that was learned before has its ids
+                if name not in self._cuts:
+                    odd.append(p)
+                cuts.append(number(name))
                 per_piece.append(1)
             else:
                 own = self._cut(p.lower() if self._words else p)
