@@ -65,6 +65,12 @@ def test_coder_adapts_and_checks():
         range_coder.decode_checked(table, bad, sums, len(ids), block=4096)
 
 
+def test_blocks_are_long_enough_to_adapt():
+    ids = np.tile(np.random.default_rng(1).permutation(1500).astype(np.uint32), 20)
+    _, codes, _ = range_coder.encode_checked(ids)
+    assert 8 * sum(map(len, codes)) / len(ids) < 8  # order 0 alone needs 10.6 bits; ids repeat after 1500
+
+
 def test_token_files(spark, odd_docs, no_docs, tmp_path, monkeypatch):
     path = tokenizer_file("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)

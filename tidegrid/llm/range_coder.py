@@ -17,13 +17,13 @@ import zlib
 import numpy as np
 
 #: Ids in a block.
-BLOCK_IDS = 1024
+BLOCK_IDS = 4096
 #: Ids that are coded at a time; a segment is made of whole documents of about so many ids.
 SEGMENT_IDS = 4_000_000
 #: No id above this.
 MAX_ID = 65_535
 
-_SLOT_BITS = 8
+_SLOT_BITS = 12
 _TOP = np.uint64(1 << 48)
 _BOTTOM = np.uint64(1 << 40)
 _U = np.uint64
