@@ -74,6 +74,17 @@ def test_language_score_does_not_depend_on_neighbours():
     assert pieces[0] == whole[0] and np.allclose(pieces[1], whole[1])
 
 
+def test_late_windows_are_learned(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_WINDOWS", 40)
+    rng = random.Random(3)
+    plain = lambda: ["".join(rng.choice("aeioulmnr") for _ in range(6)) for _ in range(20)]
+    docs = []
+    for i in range(200):  # later documents have another insult
+        docs += [([*plain(), "grumpfel" if i < 100 else "xyzzkht", *plain()], 1), (plain(), 0)]
+    model = toxicity.fit_chain(docs)
+    assert abs(model.word_score("grumpfel") - model.word_score("xyzzkht")) < 1 < model.word_score("xyzzkht")
+
+
 def test_marginals_are_exact(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 3)
     rng = np.random.default_rng(4)

@@ -172,13 +172,18 @@ def token_labels(docs: list[tuple[list[str], int]]) -> list[np.ndarray]:
     return [np.array([bool(toxic) and w in toxic_words for w in words], bool) for words, toxic in docs]
 
 
+def _spread(items: list, most: int) -> list:
+    """``most`` of the items at even distances, or all."""
+    return [items[i * len(items) // most] for i in range(most)] if len(items) > most else items
+
+
 def fit_chain(docs: list[tuple[list[str], int]], rounds: int = 40, rate: float = 0.2, l2: float = 1e-5) -> ToxicModel:
     """Weights by Adam on the chain's log-likelihood over windows of ``BLOCK`` tokens."""
     labels = token_labels(docs)
     windows: list[tuple[list[str], np.ndarray]] = []
     for (words, _), y in zip(docs, labels, strict=True):
         windows += [(words[i : i + BLOCK], y[i : i + BLOCK]) for i in range(0, len(words), BLOCK)]
-    hot = [x for x in windows if x[1].any()][:MAX_WINDOWS]
+    hot = _spread([x for x in windows if x[1].any()], MAX_WINDOWS)
     rest = [x for x in windows if not x[1].any()]
     rest = rest[:: max(1, len(rest) // (len(hot) + 2_000))]
     windows = hot + rest
