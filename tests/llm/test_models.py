@@ -59,6 +59,13 @@ def test_held_out_labels_are_never_used(spark):
     assert c.langs == []
 
 
+def test_texts_stay_where_no_language_is_learned(spark):
+    rows = [(1, "a plain text", None), (2, "12 34 !!", None), (3, None, None), (4, "", None), (5, "жёлтый " * 300_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = language.keep_identified(docs, language.fit(docs))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {1, 5}
+
+
 def test_language_score_does_not_depend_on_neighbours():
     model = language.LanguageModel(["a", "b"], np.log(np.random.default_rng(0).random((2, 3 << language.BUCKET_BITS))), np.log([0.5, 0.5]))
     texts = ["abc def", "", "x", "日本語 text", "é" * 50, "word " * 3000]

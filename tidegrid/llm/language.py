@@ -185,6 +185,16 @@ def score_texts(model: LanguageModel, column: pa.Array) -> tuple[list[str], np.n
     return langs, np.where(none, 0.0, score)
 
 
+def has_letters(column: pa.Array) -> np.ndarray:
+    """Which texts have a letter."""
+    letters = np.zeros(len(column), bool)
+    for first, codes, begins in _groups(texts(column)):
+        starts = np.array([0]) if begins[-1] < 0 else begins[:-1]
+        if len(codes):
+            letters[first : first + len(starts)] |= np.logical_or.reduceat(codes != 0, starts)
+    return letters
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, lang_pred, score."""
     model = docs.sparkSession.sparkContext.broadcast(model)
@@ -203,11 +213,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language."""
+    """The rows of ``docs``, with all their columns, whose text has a language; with no learned language, those with letters."""
     model, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not model.value.langs:
+                yield batch.filter(pa.array(has_letters(batch.column(at))))
+                continue
             langs, score = score_texts(model.value, batch.column(at))
             yield batch.filter(pa.array((np.array(langs, object) != UNKNOWN) & (score >= min_score)))
 
