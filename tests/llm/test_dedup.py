@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tidegrid.llm import components, exact_dedup, near_dedup
 from tidegrid.llm.shingles import shingle_sets, word_hashes
 
@@ -104,17 +106,19 @@ def test_threshold_is_exact(spark):
     check_near(spark, [(1, " ".join(a)), (2, " ".join(close)), (3, " ".join(far))])
 
 
-def test_prefix_reaches_every_link_of_whole_sketches():
-    for n in range(1, near_dedup.K + 1):
-        for m in range(-(-75 * n // 100), n + 1):
-            common = -(-75 * (n + m) // 175)  # least of a link
-            if common <= m:
-                assert near_dedup.prefix(n) >= n - common + 1 and near_dedup.prefix(m) >= m - common + 1, (n, m)
+def test_bounds_reach_every_link_of_whole_sketches(spark):
+    sizes = [(n, m) for n in range(1, near_dedup.K + 1) for m in range(-(-75 * n // 100), n + 1)]
+    df = spark.createDataFrame(sizes, "n long, m long")
+    n, m = F.col("n"), F.col("m")
+    for r in df.select("n", "m", near_dedup.least(n).alias("ln"), near_dedup.least(m).alias("lm"), near_dedup.needed(n, m).alias("need")).collect():
+        common = -(-75 * (r.n + r.m) // 175)  # least of a link
+        if common <= r.m:
+            assert max(r.ln, r.lm) <= common and r.need <= common, r
 
 
 def test_copies_at_the_threshold(spark):
     rows = []
-    for n in range(95, 136):
+    for n in [*range(1, 60, 7), *range(90, 176)]:
         least = -(-75 * n // 100)
         for k, m in enumerate((least, least + 1, least - 1)):  # the longer text's own shingles are the rarest
             w = [f"n{n}k{k}w{i}" for i in range(n + 4)]

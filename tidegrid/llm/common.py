@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels take at once.
 CHUNK_BYTES = 2_000_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder all executors share, ``spark.checkpoint.dir``; only a local session may go without it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or f"/tmp/checkpoints/tidegrid-{os.getuid()}").rstrip("/")
 
 
@@ -26,16 +30,64 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidegrid/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries made and run inside go when those queries end."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as Parquet at ``path``, read again; its shuffle files go as soon as it is written."""
+    with short_lived_shuffles(df.sparkSession):
+        df.select("*").write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     This cuts the lineage with data that outlives any executor, and gives later joins a plain
     exchange on either side, so that adaptive execution can split a skewed key.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, scratch_path(df.sparkSession, label))
+
+
+class Scratch:
+    """Tables of one operator's run: ``drop`` deletes those that have no reader left, the end of the block the rest but for what it ``keep``s."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._held: list[tuple[DataFrame, str]] = []
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self._spark, label)
+        out = written(df, path)
+        self._held.append((out, path))
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._held = [(x, path) for x, path in self._held if x is not df]
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        gone = [path for x, path in self._held if any(x is t for t in tables)]
+        self._held = [(x, path) for x, path in self._held if path not in gone]
+        for path in gone:
+            remove_path(self._spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[x for x, _ in self._held])
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

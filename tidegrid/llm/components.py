@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import materialize
+from tidegrid.llm.common import Scratch, materialize
 
 MAX_ROUNDS = 60
 
 
-def _star(links: DataFrame, label: str, large: bool) -> DataFrame:
+def _star(links: DataFrame, label: str, large: bool, scratch: Scratch) -> DataFrame:
     """Links (u, v) with u > v; each node's larger (or smaller) neighbours move to the smallest one."""
     if large:
         sides = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), label)
+        least = scratch.put(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), label)
         moved = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = materialize(links.groupBy("u").agg(F.min("v").alias("m")), label)
+        least = scratch.put(links.groupBy("u").agg(F.min("v").alias("m")), label)
         moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return moved.where("u <> v").distinct()
 
@@ -38,11 +38,15 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the longest path.
     """
     canon = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = materialize(canon, "links")
-    for _ in range(MAX_ROUNDS):
-        if _is_stars(now):
-            break
-        now = materialize(_star(_star(now, "large", True), "small", False), "links")
-    else:
-        raise RuntimeError(f"links haven't settled in {MAX_ROUNDS} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with Scratch(links.sparkSession) as scratch:
+        now = scratch.put(canon, "links")
+        for _ in range(MAX_ROUNDS):
+            if _is_stars(now):
+                break
+            large = scratch.put(_star(now, "large", True, scratch), "large-star")
+            scratch.drop(now)
+            now = scratch.put(_star(large, "small", False, scratch), "links")
+        else:
+            raise RuntimeError(f"links haven't settled in {MAX_ROUNDS} rounds")
+        found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        return materialize(found, "components")
