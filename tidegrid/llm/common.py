@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels take at once.
 CHUNK_BYTES = 2_000_000
+#: A scratch table of so many bytes is read in one partition.
+SMALL_BYTES = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -68,8 +70,11 @@ class Scratch:
         self._held: list[tuple[DataFrame, str]] = []
 
     def put(self, df: DataFrame, label: str) -> DataFrame:
+        """Write and read ``df``; one of ``SMALL_BYTES`` at most is read in one partition, so that joins and aggregates among such tables need no exchange."""
         path = scratch_path(self._spark, label)
         out = written(df, path)
+        if size_of(self._spark, path) <= SMALL_BYTES:
+            out = out.coalesce(1)
         self._held.append((out, path))
         return out
 
@@ -90,6 +95,12 @@ class Scratch:
         self.drop(*[x for x, _ in self._held])
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a folder's files."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, whichever store it is in."""
     jvm = spark.sparkContext._jvm

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Scratch, materialize
+from tidegrid.llm.common import Scratch
 
 MAX_ROUNDS = 60
 
@@ -49,4 +49,4 @@ def components(links: DataFrame) -> DataFrame:
         else:
             raise RuntimeError(f"links haven't settled in {MAX_ROUNDS} rounds")
         found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        return materialize(found, "components")
+        return scratch.keep(scratch.put(found, "components"))
