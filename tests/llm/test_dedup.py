@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.llm import components, exact_dedup, near_dedup
@@ -65,6 +66,44 @@ def test_index_persists(spark):
     assert got == {7: (1, False), 8: (9, False), 9: (9, True)} and index.entries().count() == 3
 
 
+def test_index_reopens(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first = exact_dedup.DigestIndex(spark, path=path, buckets=3)
+    assert exact_dedup.exact_dedup(docs((1, "a"), (2, "b")), first).where("kept").count() == 2
+    spark.sql(f"drop table {first.name}")  # as in a session with another catalog; an external table's data stays
+    for index in (exact_dedup.DigestIndex(spark, path=path), exact_dedup.DigestIndex(spark.newSession(), path=path, name="digest_by_name")):
+        assert index.buckets == 3 and index.entries().count() == 2
+    by_name = exact_dedup.DigestIndex(spark, name="digest_by_name")
+    assert [(r.keep_id, r.kept) for r in exact_dedup.exact_dedup(docs((9, "a")), by_name).collect()] == [(1, False)]
+    assert exact_dedup.exact_dedup(docs((9, "c")), by_name).where("kept").count() == 1
+    assert exact_dedup.DigestIndex(spark, path=path).entries().count() == 3
+    for wrong in ({"name": "digest_by_name", "path": f"file://{tmp_path}/other"}, {"path": path, "buckets": 7}):
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, **wrong)
+    by_name.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_arrival_that_died_is_added_again(spark, tmp_path, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, path=f"file://{tmp_path}/index", buckets=2)
+    rows = spark.createDataFrame([(i, f"text {i // 2}") for i in range(20)], "doc_id long, text string")
+    whole = exact_dedup.DigestIndex._append
+
+    def half(self, df):
+        whole(self, df.where("keep_id < 10"))
+        raise OSError("lost")
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_append", half)
+    with pytest.raises(OSError):
+        index.add(rows, arrival="monday")
+    monkeypatch.undo()
+    assert index.entries().count() == 5
+    got = exact_dedup.exact_dedup(rows, index, arrival="monday").where("kept").collect()
+    assert {r.doc_id for r in got} == {2 * i + 1 for i in range(10)} and index.entries().count() == 10
+    assert exact_dedup.exact_dedup(rows, index, arrival="tuesday").where("kept").count() == 0
+
+
 def test_near_odd_texts(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = near_dedup.near_dedup(odd_docs).collect()

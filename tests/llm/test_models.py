@@ -1,4 +1,6 @@
+import collections
 import itertools
+import math
 import random
 import zlib
 
@@ -172,4 +174,80 @@ def test_decontamination_against_brute_force(spark, odd_docs, no_docs):
 def test_items_in_blocks(spark):
     items = spark.createDataFrame([(k, f"item number {k} " + "abcdefghij" * 5 + str(k) * 20) for k in range(20)], "item_id long, text string")
     blocks = list(decontaminate.item_blocks(items, block_chars=300))
-    assert len(blocks) > 3 and sorted(i for b in blocks for i in b.ids) == list(range(20))
+    assert len(blocks) > 3 and sorted(i for b, _ in blocks for i in b.ids) == list(range(20)) and [last for _, last in blocks] == [False] * (len(blocks) - 1) + [True]
+    rows = [(k, f"before {r.text} after") for k, r in enumerate(items.collect()[:7])] + [(50, "nothing of them here"), (None, "item number 3 " + "abcdefghij" * 5 + "3" * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (sorted(map(str, decontaminate.contaminated(docs, items, block_chars=n).collect())) for n in (10**6, 300))
+    assert one == many and len(one) >= 8
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items, block_chars=300).collect()] == [50]
+
+
+def test_short_items_between_word_boundaries():
+    index = decontaminate.build_index([(1, "yes"), (2, "a  b"), (3, "exactly twelve"), (4, "ab"), (5, " "), (6, "!?")])
+    got = decontaminate.matches(index, ["Yes yesterday a b. exactly  Twelve", "yesab", "ab", "", "what!?"])
+    assert got == [(0, 1, 0, 3, 0), (0, 2, 14, 17, 0), (0, 3, 19, 34, 0), (2, 4, 0, 2, 0), (4, 6, 4, 6, 0)]
+
+
+def test_items_that_share_a_template(monkeypatch):
+    rng = random.Random(4)
+    w = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    template = w(20)[:100]
+    items = [(i, f"{template} {w(20)[:100]}") for i in range(60)]
+    near = items[9][1][:150] + "qqq" + items[9][1][153:]
+    text = f"{w(200)} {items[3][1]} {template} {w(50)} {near} {template}"
+    index = decontaminate.build_index(items)
+    got = decontaminate.matches(index, [text])
+    assert [(i, edits) for _, i, _, _, edits in got] == [(3, 0), (9, 3)]
+    monkeypatch.setattr(decontaminate, "SLICE_HITS", 50)
+    monkeypatch.setattr(decontaminate, "SLICE_CELLS", 50)
+    assert decontaminate.matches(index, [text]) == got
+
+
+def test_chain_gradient_against_brute_force():
+    rng = np.random.default_rng(3)
+    scores, lengths, transition = rng.normal(size=9), np.array([4, 0, 5]), rng.normal(size=(2, 2))
+    expected = np.zeros((2, 2))
+    p = toxicity.marginals(scores, lengths, transition, expected)
+    unary, pairs, at = np.zeros(9), np.zeros((2, 2)), 0
+    for n in lengths.tolist():
+        total, u, q = 0.0, np.zeros(n), np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=n):
+            path = (0, *y)
+            weight = math.exp(sum(transition[a, b] for a, b in zip(path, y)) + sum(scores[at + i] for i, b in enumerate(y) if b))
+            total += weight
+            u += weight * np.array(y)
+            q += weight * toxicity.steps(np.array(y, bool), np.array([n])) if n else 0
+        unary[at : at + n], pairs, at = u / total, pairs + q / total, at + n
+    assert np.allclose(p, unary) and np.allclose(expected, pairs)
+
+
+def test_token_labels_by_definition():
+    clean = [([f"c{i}", "calm", f"d{i}"], 0) for i in range(40)]
+    toxic = [([f"e{i}", "vile", f"f{i}", "calm"], 1) for i in range(40)] + [(["same", "copy", "again"], 1)] * 40
+    labels = toxicity.token_labels(clean + toxic)
+    for (words, y), marks in zip(clean + toxic, labels):
+        assert marks.tolist() == [bool(y) and w == "vile" for w in words]
+
+
+def test_contradicting_and_repeated_labels(spark):
+    own = lambda i: "".join("abcdefghij"[int(c)] for c in str(i % 40))
+    docs = spark.createDataFrame([(i, f"e{own(i)} vile f{own(i)} calm words" if i % 2 else f"c{own(i)} calm d{own(i)} words") for i in range(400)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(i, 0) for i in range(400)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    assert all(got[i] == i % 2 for i in range(400)) and toxicity.toxicity(docs, labels).count() == 800
+
+
+def test_naive_bayes_by_definition(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("the house of the king", "en"), ("la maison du roi", "fr"), ("der hund und die katze", "de"), ("das haus des koenigs", "de")] * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    learned = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    grams = lambda t: [f" {t} "[i : i + k] for k in (1, 2, 3) for i in range(len(t) + 3 - k)]
+    counts = {lang: collections.Counter(g for t, y in learned if y == lang for g in grams(t)) for lang in ("de", "en", "fr")}
+    vocab = len({g for c in counts.values() for g in c})
+    prior = collections.Counter(y for _, y in learned)
+    for i, t, _ in rows:
+        post = {y: math.log(prior[y]) + sum(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * vocab)) for g in grams(t)) for y, c in counts.items()}
+        assert got[i] == max(sorted(post), key=post.get)
+    assert model is not None

@@ -3,15 +3,20 @@
 Texts and items are lower-cased, runs of white space count as one space. An item of ``m`` characters
 occurs with at most ``e`` edits only where ``m + 1 - q (e + 1)`` of its q-grams lie on ``e + 1``
 neighbouring diagonals. Shared q-grams are counted in bands of ``2 (e + 1)`` diagonals that overlap by half,
-bands that meet the count are retained, and a banded semi-global alignment confirms each.
+bands that meet the count are retained, and a banded semi-global alignment confirms each, many at a time.
+``e`` is a tenth of the characters, or as many as leave the lemma one q-gram to ask for (``m // q - 1``).
+Items below ``MIN_CHARS`` characters occur only as they are, between characters that are no letters or
+digits; they are found by hashes of their whole length.
 
 The item side is a stated query set. It is read in blocks of at most ``BLOCK_CHARS`` characters, each sent
-to all tasks at that bounded size and held against all texts, so a larger benchmark takes more passes and
-not more memory.
-
-Defined results: null and empty texts match nothing; a null item, or one below ``MIN_CHARS`` characters,
-isn't searched; of several occurrences of one item in a text the one with the fewest edits, then the first,
-is reported; repeated rows are each judged; empty tables give no matches (and keep all texts).
+to all tasks at that bounded size and held against all texts. What one block finds, or leaves, is written
+before the next is sent, so a larger benchmark takes more passes and not more memory. Items that share
+long passages share q-grams: shared q-grams are expanded in slices of at most ``SLICE_HITS``, so that what is
+held doesn't grow with their number.
+
+Defined results: null and empty texts match nothing; a null item or one without characters isn't searched;
+of several occurrences of one item in a text the one with the fewest edits, then the first, is reported;
+repeated rows are each judged; empty tables give no matches (and keep all texts).
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import texts
+from tidegrid.llm.common import materialize, texts
 from tidegrid.llm.toxicity import lowered
 
 Q = 8
@@ -33,11 +38,16 @@ ERROR_RATE = 0.1
 MIN_CHARS = 24
 BLOCK_CHARS = 1_000_000
 CHUNK_CHARS = 1_000_000
+#: Shared q-grams, or cells of alignments, that are held at once.
+SLICE_HITS = 4_000_000
+SLICE_CELLS = 1_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_SPAN, _ORIGIN = 1 << 40, 1_000_000_000
 
 
 def edit_budget(m: int) -> int:
-    return max(0, min(int(m * ERROR_RATE), m // Q - 1))
+    """Edits that an item of ``m`` characters may have."""
+    return 0 if m < MIN_CHARS else max(0, min(int(m * ERROR_RATE), m // Q - 1))
 
 
 def gram_hashes(codes: np.ndarray) -> np.ndarray:
@@ -73,9 +83,25 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
+def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` characters that begin at each position."""
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    acc = np.zeros(n, np.uint64)
+    for k in range(size):
+        acc = acc * _MUL + codes[k : k + n].astype(np.uint64) + np.uint64(1)
+    return acc
+
+
+@cache
+def _word_characters() -> np.ndarray:
+    return np.array([chr(c).isalnum() for c in range(1 << 16)], bool)
+
+
 @dataclass
 class ItemIndex:
-    """q-grams of a block of items: sorted hashes, and the (item, offset) pairs of each."""
+    """q-grams of a block of items: sorted hashes, and the (item, offset) pairs of each; short items by length."""
 
     ids: list[int]
     codes: list[np.ndarray]
@@ -87,16 +113,18 @@ class ItemIndex:
     present: np.ndarray
     lengths: np.ndarray
     budget: np.ndarray
+    short: list[tuple[int, np.ndarray, np.ndarray]]
 
 
 def build_index(items: list[tuple[int, str]]) -> ItemIndex:
     ids, codes = [], []
     for i, t in sorted(set(items)):
         c = normal(codes_of(lowered(t.strip())))[0]
-        if len(c) >= MIN_CHARS:
+        if len(c):
             ids.append(i)
             codes.append(c)
-    hashes = [gram_hashes(c) for c in codes]
+    lengths = np.array([len(c) for c in codes], np.int64)
+    hashes = [gram_hashes(c) if len(c) >= MIN_CHARS else np.zeros(0, np.uint64) for c in codes]
     all_h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     item = np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
     offset = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
@@ -105,27 +133,58 @@ def build_index(items: list[tuple[int, str]]) -> ItemIndex:
     bits = min(24, max(16, int(len(grams) * 16).bit_length()))
     present = np.zeros(1 << bits, bool)
     present[(grams >> np.uint64(64 - bits)).astype(np.int64)] = True
-    lengths = np.array([len(c) for c in codes], np.int64)
-    return ItemIndex(ids, codes, grams, np.append(first, len(all_h)), item[order], offset[order], 64 - bits, present, lengths, np.array([edit_budget(m) for m in lengths.tolist()], np.int64))
+    short = []
+    for size in np.unique(lengths[lengths < MIN_CHARS]).tolist():
+        of = np.flatnonzero(lengths == size)
+        h = np.array([window_hashes(codes[k], size)[0] for k in of.tolist()], np.uint64)
+        by = np.argsort(h, kind="stable")
+        short.append((size, h[by], of[by]))
+    return ItemIndex(ids, codes, grams, np.append(first, len(all_h)), item[order], offset[order], 64 - bits, present, lengths, np.array([edit_budget(m) for m in lengths.tolist()], np.int64), short)
+
+
+def align_all(items: list[np.ndarray], regions: list[np.ndarray], lows: list[int], widths: list[int], budgets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of each whole item against any part of its region, and where that part ends.
+
+    Diagonals are ``low`` to ``low + width - 1`` of each; a pair is given up once all of them are over its budget.
+    """
+    m, n = (np.array([len(x) for x in side], np.int64) for side in (items, regions))
+    low, width, budget = (np.array(x, np.int64) for x in (lows, widths, budgets))
+    wide, count = int(width.max()), len(items)
+    text, item = np.zeros((count, int(n.max()) + 1), np.uint32), np.zeros((count, int(m.max())), np.uint32)
+    for k, (x, y) in enumerate(zip(items, regions, strict=True)):
+        item[k, : len(x)], text[k, : len(y)] = x, y
+    edits, ends = np.full(count, 1 << 30, np.int64), np.zeros(count, np.int64)
+    place, far = np.arange(wide), 1 << 30
+    x = low[:, None] + place  # characters of the text used on each diagonal
+    row = np.where((x >= 0) & (x <= n[:, None]) & (place < width[:, None]), 0, far)
+    at = np.arange(count)
+    for j in range(1, int(m.max()) + 1):
+        x = x + 1
+        used = (x >= 0) & (x <= n[:, None]) & (place < width[:, None])
+        same = np.take_along_axis(text, np.clip(x - 1, 0, n[:, None]), 1) == item[:, j - 1 : j]
+        best = np.where(used & (x >= 1), row + ~same, far)
+        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)  # an item character left out
+        best = np.where(used, best, far)
+        row = np.minimum.accumulate(best - place, axis=1) + place  # text characters put in
+        row = np.where(used, row, far)
+        done = m == j
+        if done.any():
+            k = row[done].argmin(axis=1)
+            edits[at[done]] = row[done, k]
+            ends[at[done]] = j + low[done] + k
+        if done.any() or j % 16 == 0:
+            go = ~done & (row.min(axis=1) <= budget)
+            if not go.any():
+                break
+            if not go.all():
+                at, x, row, m, n, low, width, budget, text, item = (a[go] for a in (at, x, row, m, n, low, width, budget, text, item))
+    return edits, ends
 
 
 def align(item: np.ndarray, text: np.ndarray, lo: int, width: int) -> tuple[int, int]:
-    """Least edits of the whole ``item`` against any part of ``text`` on diagonals ``lo`` to ``lo + width - 1``, and where that part ends."""
-    m, n = len(item), len(text)
-    far = m + n + width
-    place = np.arange(width)
-    row = np.where((lo + place >= 0) & (lo + place <= n), 0, far)
-    for j in range(1, m + 1):
-        x = j + lo + place  # characters of the text used on each diagonal
-        inside = (x >= 1) & (x <= n)
-        same = text[np.clip(x - 1, 0, n - 1)] == item[j - 1]
-        best = np.where(inside, row + ~same, far)
-        best[:-1] = np.minimum(best[:-1], row[1:] + 1)  # an item character left out
-        best = np.where((x >= 0) & (x <= n), best, far)
-        row = np.minimum.accumulate(best - place) + place  # text characters put in
-        row = np.where((x >= 0) & (x <= n), row, far)
-    k = int(row.argmin())
-    return int(row[k]), m + lo + k
+    """``align_all`` of one pair that is never given up."""
+    edits, ends = align_all([item], [text], [lo], [width], [1 << 29])
+    return int(edits[0]), int(ends[0])
 
 
 def _find(code: np.ndarray, text: np.ndarray) -> int:
@@ -137,71 +196,117 @@ def _find(code: np.ndarray, text: np.ndarray) -> int:
     return at // 4 if at >= 0 else -1
 
 
-def matches(index: ItemIndex, rows: list[str]) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, begin, end, edits) of the best occurrence of each item in each row."""
-    if not len(index.grams) or not rows:
-        return []
-    lows = [lowered(t) for t in rows]
-    begins = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum([len(t) + 1 for t in lows], out=begins[1:])
-    flat, at = normal(codes_of("\0".join(lows) + "\0"))
-    begins = np.searchsorted(at, begins)
+def _bands(index: ItemIndex, flat: np.ndarray) -> np.ndarray:
+    """Keys (item, band) whose shared q-grams meet the lemma's count, in order."""
     h = gram_hashes(flat)
     some = np.flatnonzero(index.present[(h >> np.uint64(index.shift)).astype(np.int64)])
-    g = np.searchsorted(index.grams, h[some])
-    g = np.minimum(g, len(index.grams) - 1)
+    g = np.minimum(np.searchsorted(index.grams, h[some]), len(index.grams) - 1)
     hit = index.grams[g] == h[some]
     some, g = some[hit], g[hit]
     n_each = index.first[g + 1] - index.first[g]
+    need = index.lengths + 1 - Q * (index.budget + 1)
+    upto = np.cumsum(n_each)
+    kept, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i = 0
+    while i < len(some):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE_HITS, side="right")))
+        keys, n = _counted(index, some[i:j], g[i:j], n_each[i:j], need, whole=i == 0 and j == len(some))
+        # A band that a slice cuts through has its parts' counts added up.
+        both = np.concatenate([kept, keys])
+        kept, inverse = np.unique(both, return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([counts, n]), len(kept)).astype(np.int64)
+        i = j
+    return kept[counts >= need[kept >> 40]] if len(kept) else kept
+
+
+def _counted(index: ItemIndex, some: np.ndarray, g: np.ndarray, n_each: np.ndarray, need: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (item, band) of a slice of shared q-grams, and how many different q-grams each has in it."""
     total = int(n_each.sum())
-    if not total:
-        return []
     entry = np.repeat(index.first[g] - (np.cumsum(n_each) - n_each), n_each) + np.arange(total)
-    where, item = np.repeat(some, n_each), index.item[entry]
-    diagonal = where - index.offset[entry] + 1_000_000_000
-    need = index.lengths + 1 - Q * (index.budget + 1)
-    band = diagonal // (index.budget + 1)[item]
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    span = np.int64(1) << 40
-    keys = np.concatenate([item * span + band, item * span + band - 1])
-    # A hashed count first: it is never below the true one, and nearly all shared q-grams end here.
-    size = 1 << int(4 * len(keys)).bit_length()
-    slot = ((keys.view(np.uint64) * _MUL) >> np.uint64(65 - size.bit_length())).astype(np.int64)
-    many = np.bincount(slot, minlength=size)[slot] >= need[keys >> 40]
-    offsets = np.concatenate([index.offset[entry]] * 2)[many]
-    keys = keys[many]
+    item = index.item[entry]
+    band = (np.repeat(some, n_each) - index.offset[entry] + _ORIGIN) // (index.budget + 1)[item]
+    keys = np.concatenate([item * _SPAN + band, item * _SPAN + band - 1])
+    offsets = np.concatenate([index.offset[entry]] * 2)
+    if whole:  # a hashed count first: it is never below the true one, and nearly all shared q-grams end here
+        size = 1 << int(4 * len(keys)).bit_length()
+        slot = ((keys.view(np.uint64) * _MUL) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+        many = np.bincount(slot, minlength=size)[slot] >= need[keys >> 40]
+        keys, offsets = keys[many], offsets[many]
     # Then the exact count; the q-grams of an item that an occurrence keeps differ in their place in it.
     order = np.lexsort((offsets, keys))
     keys, offsets = keys[order], offsets[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (offsets[1:] != offsets[:-1])
-    keys, counts = np.unique(keys[fresh], return_counts=True)
-    keep = counts >= need[keys >> 40]
-    for key in keys[keep].tolist():
-        k, b = key >> 40, key & (span - 1)
+    return np.unique(keys[fresh], return_counts=True)
+
+
+def _short_matches(index: ItemIndex, flat: np.ndarray, begins: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """First occurrence of each short item in each row, as it is and between word boundaries."""
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    word = _word_characters()[np.minimum(flat, 0xFFFF)]
+    edge = np.ones(len(flat) + 1, bool)
+    edge[1:-1] = ~(word[1:] & word[:-1])
+    for size, hashes, of in index.short:
+        h = window_hashes(flat, size)
+        first, last = np.searchsorted(hashes, h, side="left"), np.searchsorted(hashes, h, side="right")
+        at = np.flatnonzero((last > first) & edge[: len(h)] & edge[size : size + len(h)])
+        for p in at.tolist():
+            r = int(np.searchsorted(begins, p, side="right")) - 1
+            for k in of[first[p] : last[p]].tolist():
+                if (r, k) not in found and np.array_equal(index.codes[k], flat[p : p + size]):
+                    found[r, k] = (p, p + size, 0)
+    return found
+
+
+def matches(index: ItemIndex, rows: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, begin, end, edits) of the best occurrence of each item in each row."""
+    if not index.ids or not rows:
+        return []
+    lows = [lowered(t) for t in rows]
+    begins = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in lows], out=begins[1:])
+    flat, at = normal(codes_of("\0".join(lows) + "\0"))
+    begins = np.searchsorted(at, begins)
+    found = _short_matches(index, flat, begins) if index.short else {}
+
+    def note(r: int, k: int, got: tuple[int, int, int]) -> None:
+        best = found.get((r, k))
+        if best is None or (got[2], got[0]) < (best[2], best[0]):
+            found[r, k] = got
+
+    doubtful: list[tuple[int, int, int, int, int, int]] = []
+    for key in _bands(index, flat).tolist() if len(index.grams) else ():
+        k, b = key >> 40, key & (_SPAN - 1)
         e, m, code = int(index.budget[k]), int(index.lengths[k]), index.codes[k]
-        lo = b * (e + 1) - 1_000_000_000 - e
+        lo = b * (e + 1) - _ORIGIN - e
         width = 2 * (e + 1) + 2 * e
         first_row = max(0, int(np.searchsorted(begins, max(lo, 0), side="right")) - 1)
         last_row = min(len(rows) - 1, int(np.searchsorted(begins, lo + width + m, side="right")) - 1)
         for r in range(first_row, last_row + 1):
             low, high = max(int(begins[r]), lo), min(int(begins[r + 1]) - 1, lo + width + m)
-            if high - low < m - e:
+            if high - low < m - e or found.get((r, k), (0, 0, 1))[2] == 0:  # bands come in order, so a later one begins later
                 continue
-            best = found.get((r, k))
-            if best and best[2] == 0:  # bands come in order, so a later one begins later
-                continue
-            region = flat[low:high]
-            if (same := _find(code, region)) >= 0:
-                got = (low + same, low + same + m, 0)
+            if (same := _find(code, flat[low:high])) >= 0:
+                note(r, k, (low + same, low + same + m, 0))
             else:
-                edits, end = align(code, region, lo - low, width)
-                if edits > e:
-                    continue
-                _, length = align(code[::-1], region[:end][::-1], -e, 2 * e + 1)
-                got = (low + end - length, low + end, edits)
-            if best is None or (got[2], got[0]) < (best[2], best[0]):
-                found[r, k] = got
+                doubtful.append((r, k, low, high, lo - low, width))
+    doubtful = [x for x in doubtful if found.get(x[:2], (0, 0, 1))[2]]
+    doubtful.sort(key=lambda x: index.lengths[x[1]])
+    i = 0
+    while i < len(doubtful):
+        j, cells = i, 0
+        while j < len(doubtful) and (j == i or cells < SLICE_CELLS):
+            cells += doubtful[j][5] + doubtful[j][3] - doubtful[j][2] + int(index.lengths[doubtful[j][1]])
+            j += 1
+        part = doubtful[i:j]
+        i = j
+        edits, ends = align_all([index.codes[k] for _, k, *_ in part], [flat[low:high] for _, _, low, high, *_ in part], [x[4] for x in part], [x[5] for x in part], [int(index.budget[k]) for _, k, *_ in part])
+        for (r, k, low, high, _, _), edit, end in zip(part, edits.tolist(), ends.tolist(), strict=True):
+            e = int(index.budget[k])
+            if edit > e:
+                continue
+            _, length = align(index.codes[k][::-1], flat[low:high][:end][::-1], -e, 2 * e + 1)
+            note(r, k, (low + end - length, low + end, edit))
     out = []
     origin = at[begins[:-1]]
     for (r, k), (b, e_at, edits) in sorted(found.items()):
@@ -223,22 +328,22 @@ def _row_groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, rows
 
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[ItemIndex]:
-    """The items in blocks of about ``block_chars`` characters, dealt by a hash of item and text."""
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[tuple[ItemIndex, bool]]:
+    """The items in blocks of about ``block_chars`` characters, dealt by a hash of item and text, and whether it is the last."""
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = -(-size // block_chars)
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield build_index([(r["id"], r["text"]) for r in part.toLocalIterator()])
+        yield build_index([(r["id"], r["text"]) for r in part.toLocalIterator()]), b == blocks - 1
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, begin, end (offsets in the text as it is) and edits of each item found in each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, begin int, end int, edits int"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in item_blocks(benchmark):
+    for index, last in item_blocks(benchmark, block_chars=block_chars):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -248,14 +353,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     ids = batch.column(0).take(pa.array([first + g[0] for g in got], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, *[pa.array([g[i] for g in got], t) for i, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))]], ["doc_id", "item_id", "begin", "end", "edits"])
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        found = rows.mapInArrow(run, schema)
+        if not last:
+            found = materialize(found, "contaminated")
+            sent.destroy()
+        out = out.unionByName(found)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, with all their columns."""
     at = docs.columns.index(text_col)
-    for index in item_blocks(benchmark):
+    for index, last in item_blocks(benchmark, block_chars=block_chars):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -266,4 +375,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = materialize(docs, "uncontaminated")
+            sent.destroy()
     return docs

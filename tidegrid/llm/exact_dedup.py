@@ -1,70 +1,109 @@
 """Exact dedup against a persistent digest index.
 
-The index is a table of one row for each distinct text, bucketed and sorted by SHA-256. An arrival is
+The index is a folder of one row for each distinct text, bucketed and sorted by SHA-256. An arrival is
 reduced to one row for each digest with map-side aggregation, a sort-merge anti-join with the index
-finds the digests that are new, and those are appended to it.
+finds the digests that are new, and those are appended to it. The number of buckets stands in a small file
+beside the data, so any later session opens the index by its path.
+
+An arrival has a name, and rows of the index say which one brought them. An arrival that died while it was
+appended and is added again under its name finds its own rows, gives the decisions it would have given, and
+appends what is missing; so no text is lost to a crash between decision and append.
 
 Defined results: a null text counts as empty; equal texts are byte-identical; of equal texts in one
 arrival the largest doc_id stays; a text that an earlier arrival brought stays with that arrival's row.
 Rows repeated with the same doc_id and text share one decision. Only ``id_col`` and ``text_col`` are
-read, so other columns of any name do no harm; an empty arrival gives an empty result.
+read, so other columns of any name do no harm; an empty arrival gives an empty result. Opening an index
+writes no data; opening a name with another path or number of buckets than it has raises ValueError.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import fresh_names, materialize, scratch_path
+from tidegrid.llm.common import Scratch, fresh_names, materialize, read_text, remove_path, scratch_path, write_text
+
+_ABOUT = "_index.json"
 
 
 class DigestIndex:
-    """Digest index at ``path``; the number of buckets is set once, by default to the session's shuffle partitions."""
+    """Digest index at ``path`` or of a ``name`` in the catalog; ``buckets`` is set once, by default to the session's shuffle partitions."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, name: str | None = None, buckets: int | None = None):
-        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.path = path or scratch_path(spark, "digest-index")
+        self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        if not spark.catalog.tableExists(self.name):
-            empty = spark.createDataFrame([], "digest binary, keep_id long")
-            self._write(empty, "ignore")
-
-    def _write(self, df: DataFrame, mode: str) -> None:
+        if name and spark.catalog.tableExists(name):
+            known = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+            self.path = known["Location"].rstrip("/")
+            self.buckets = int(known["Num Buckets"])
+            if path and not _same_place(spark, path, self.path):
+                raise ValueError(f"{name} is at {self.path}")
+        else:
+            self.path = (path or scratch_path(spark, "digest-index")).rstrip("/")
+            about = read_text(spark, f"{self.path}/{_ABOUT}")
+            self.buckets = json.loads(about)["buckets"] if about else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            if not about:
+                write_text(spark, f"{self.path}/{_ABOUT}", json.dumps({"buckets": self.buckets}))
+            spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, arrival STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        if buckets and buckets != self.buckets:
+            raise ValueError(f"the index has {self.buckets} buckets")
+
+    def _append(self, df: DataFrame) -> None:
         # Dealt by the bucket's own hash, each task writes one bucket.
-        df.repartition(self.buckets, "digest").write.mode(mode).format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
+        df.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
     def entries(self) -> DataFrame:
+        self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", arrival: str | None = None) -> DataFrame:
         """Append what is new in ``docs``; return (digest, keep_id, group_size, is_new) of each distinct text in it."""
-        arrived = (
-            docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest"))
-            .groupBy("digest")
-            .agg(F.max("id").alias("last_id"), F.count(F.lit(1)).alias("group_size"))
-        )
-        arrived = materialize(arrived, "digest-arrival")
-        known = self.entries()
-        fresh = arrived.join(known.hint("merge"), "digest", "left_anti").withColumn("is_new", F.lit(True))
-        old = arrived.join(known.hint("merge"), "digest").withColumn("is_new", F.lit(False))
-        groups = materialize(
-            fresh.select("digest", F.col("last_id").alias("keep_id"), "group_size", "is_new").unionByName(old.select("digest", "keep_id", "group_size", "is_new")),
-            "digest-groups",
-        )
-        self._write(groups.where("is_new").select("digest", "keep_id"), "append")
-        return groups
+        arrival = arrival or uuid.uuid4().hex
+        arrived = docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest")).groupBy("digest").agg(F.max("id").alias("last_id"), F.count(F.lit(1)).alias("group_size"))
+        with Scratch(self.spark) as scratch:
+            arrived = scratch.put(arrived, "digest-arrival")
+            known = self.entries()
+            fresh = arrived.join(known.hint("merge"), "digest", "left_anti")
+            fresh = fresh.select("digest", F.col("last_id").alias("keep_id"), "group_size", F.lit(True).alias("is_new"), F.lit(True).alias("missing"))
+            # Rows of this arrival are there only if it is added again.
+            old = arrived.join(known.hint("merge"), "digest").select("digest", "keep_id", "group_size", (F.col("arrival") == arrival).alias("is_new"), F.lit(False).alias("missing"))
+            groups = materialize(fresh.unionByName(old), "digest-groups")
+        self._append(groups.where("missing").select("digest", "keep_id", F.lit(arrival).alias("arrival")))
+        return groups.drop("missing")
+
+    def drop(self) -> None:
+        """Forget the index and delete its data."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove_path(self.spark, self.path)
+
+
+def _same_place(spark: SparkSession, a: str, b: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    full = [str(p.getFileSystem(conf).makeQualified(p)) for p in (path(a), path(b))]
+    return full[0] == full[1]
 
 
 def digest(text_col: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    index = index or DigestIndex(docs.sparkSession)
-    groups = index.add(docs, id_col, text_col)
+def _groups(docs: DataFrame, index: DigestIndex | None, id_col: str, text_col: str, arrival: str | None) -> DataFrame:
+    if index:
+        return index.add(docs, id_col, text_col, arrival)
+    index = DigestIndex(docs.sparkSession)
+    try:
+        return index.add(docs, id_col, text_col)
+    finally:
+        index.drop()  # the decisions are written apart from it
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", arrival: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256; without an ``index`` against one of its own."""
+    groups = _groups(docs, index, id_col, text_col, arrival)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("digest"))
     return rows.join(groups, "digest").select(
         "doc_id",
@@ -75,10 +114,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", arrival: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    index = index or DigestIndex(docs.sparkSession)
     d, i, own, keep = fresh_names(docs, "digest", "id", "own", "keep")
-    stays = index.add(docs, id_col, text_col).where("is_new").select(F.col("digest").alias(d), F.col("keep_id").alias(keep))
+    stays = _groups(docs, index, id_col, text_col, arrival).where("is_new").select(F.col("digest").alias(d), F.col("keep_id").alias(keep))
     rows = docs.withColumns({own: digest(text_col), i: F.col(id_col).cast("long")})
     return rows.join(stays, (F.col(own) == F.col(d)) & F.col(i).eqNullSafe(F.col(keep)), "left_semi").drop(own, i)

@@ -9,7 +9,9 @@ marginals give the offending offsets, and a two-variable logistic regression on
 the expected number of toxic tokens gives the document's score.
 
 The model is fitted on at most about ``MAX_PER_CLASS`` labelled documents of either class, of up to
-``MAX_TRAIN_BYTES`` bytes each, chosen by a hash of the id; the held-out fold is never among them.
+``MAX_TRAIN_BYTES`` bytes each and ``MAX_CLASS_BYTES`` together, chosen by a hash of the id; the held-out
+fold is never among them. An id that is repeated counts once, with the text that is smallest in order. Of
+these documents' windows with toxic tokens the chain takes ``MAX_WINDOWS`` at even distances.
 
 Defined results: a null or wordless text gets the score of a text without toxic tokens; without labelled
 documents of both classes every score is 0; contradicting labels of one document count as toxic; repeated
@@ -27,14 +29,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import held_out, texts
+from tidegrid.llm.common import Scratch, held_out, texts
 
 FEATURE_BITS = 18
 MAX_PER_CLASS = 2_000
 MAX_TRAIN_BYTES = 100_000
+MAX_CLASS_BYTES = 16_000_000
 MIN_CONTEXTS = 8
 #: A feature is toxic if of its documents, at even classes, this share is toxic.
 MIN_PURITY = 0.98
@@ -86,9 +89,12 @@ class ToxicModel:
         return got
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> np.ndarray:
+def marginals(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Probability of the toxic state at each token of texts of ``lengths`` tokens, by forward-backward.
 
+    The expected number of steps from either state to either, the one into each text from a clean start
+    among them, is added to ``pairs`` (2 x 2).
+
     Texts are cut into blocks; the blocks' transfer matrices carry the state from block to block, so the
     result is exact while numpy works on all blocks at once.
     """
@@ -136,6 +142,10 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -
     for t in range(BLOCK - 1, -1, -1):
         joint = alpha[:, t] * b
         out[:, t] = joint[:, 1] / joint.sum(axis=1)
+        if pairs is not None:
+            both = (alpha[:, t - 1] if t else ahead)[:, :, None] * step * (b * w[:, t])[:, None, :]
+            both /= both.sum(axis=(1, 2), keepdims=True)
+            pairs += both[real[:, t]].sum(axis=0)
         prev = (b * w[:, t]) @ step.T
         b = np.where(real[:, t, None], prev / prev.sum(axis=1, keepdims=True), b)
     return out.reshape(-1)[cell]
@@ -177,6 +187,15 @@ def _spread(items: list, most: int) -> list:
     return [items[i * len(items) // most] for i in range(most)] if len(items) > most else items
 
 
+def steps(gold: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Number of steps from either state to either in texts of ``lengths`` tokens, each from a clean start."""
+    before = np.zeros(len(gold), np.int64)
+    before[1:] = gold[:-1]
+    some = lengths > 0
+    before[(np.cumsum(lengths) - lengths)[some]] = 0
+    return np.bincount(before * 2 + gold.astype(np.int64), minlength=4).reshape(2, 2).astype(float)
+
+
 def fit_chain(docs: list[tuple[list[str], int]], rounds: int = 40, rate: float = 0.2, l2: float = 1e-5) -> ToxicModel:
     """Weights by Adam on the chain's log-likelihood over windows of ``BLOCK`` tokens."""
     labels = token_labels(docs)
@@ -197,22 +216,19 @@ def fit_chain(docs: list[tuple[list[str], int]], rounds: int = 40, rate: float =
         rows += [i] * len(h)
         cols += h
     rows, cols, size = np.array(rows, np.int64), np.array(cols, np.int64), 1 << FEATURE_BITS
-    pairs = np.ones(max(len(ids) - 1, 0), bool)
-    pairs[np.cumsum(lengths)[:-1] - 1] = False
-    y = gold.astype(np.int64)
-    gold_pairs = np.bincount(y[:-1][pairs] * 2 + y[1:][pairs], minlength=4).reshape(2, 2) + 1.0
-    # The chain's own part in closed form, from the labelled pairs; the emissions by gradient.
-    transition = np.log(gold_pairs / gold_pairs.sum(axis=1, keepdims=True))
-    weights, bias = np.zeros(size), 0.0
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
+    gold_pairs = steps(gold, lengths)
+    weights, bias, transition = np.zeros(size), 0.0, np.log((gold_pairs + 1) / (gold_pairs + 1).sum(axis=1, keepdims=True))
+    m, v = np.zeros(size + 5), np.zeros(size + 5)
     for r in range(1, rounds + 1):
         per_word = np.bincount(rows, weights[cols], minlength=len(vocab)) + bias
-        p = marginals(per_word[ids], lengths, transition)
+        expected = np.zeros((2, 2))
+        p = marginals(per_word[ids], lengths, transition, expected)
         error = np.bincount(ids, gold - p, minlength=len(vocab))
-        grad = np.append(np.bincount(cols, error[rows], minlength=size), error.sum()) / max(1, len(hot)) - l2 * np.append(weights, 0)
+        by_step = np.clip(gold_pairs - expected, -len(hot), len(hot)).reshape(-1)
+        grad = np.concatenate([np.bincount(cols, error[rows], minlength=size), [error.sum()], by_step]) / max(1, len(hot)) - l2 * np.append(weights, np.zeros(5))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-6)
-        weights, bias = weights + move[:-1], bias + move[-1]
+        weights, bias, transition = weights + move[:-5], bias + move[-5], transition + move[-4:].reshape(2, 2)
     return ToxicModel(weights, float(bias), transition, None)
 
 
@@ -252,7 +268,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = F.when(F.col("y") == 1, min(1.0, max_per_class / sizes[1])).otherwise(min(1.0, max_per_class / sizes[0]))
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1_000_003)) < share * 1_000_003)
     # About 2 * max_per_class ids, whatever the input: sent to the texts, which then stay where they are.
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "id").select("id", "text", "y").toArrow()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= MAX_TRAIN_BYTES)
+    with Scratch(docs.sparkSession) as scratch:
+        # A repeated id counts once, so the cap on ids is one on rows.
+        rows = scratch.put(rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "toxic-sample")
+        before = Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit("bytes")), "id")
+        rows = rows.withColumn("upto", F.sum(F.octet_length("text")).over(before)).where(F.col("upto") <= MAX_CLASS_BYTES).select("id", "text", "y").toArrow()
     rows = sorted(zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), rows.column("y").to_pylist(), strict=True))
     tokens = [(list(map(sys.intern, _WORD.findall(lowered(t)))), y) for _, t, y in rows]
     del rows
