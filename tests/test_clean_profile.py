@@ -69,3 +69,18 @@ def test_ks_normal(spark):
     cdf = np.array([0.5 * (1 + erf(v / 2**0.5)) for v in z])
     want = max(np.abs(np.arange(1, 2001) / 2000 - cdf).max(), np.abs(cdf - np.arange(2000) / 2000).max())
     assert pr.ks_normal(df, "v").first()["ks"] == pytest.approx(want, abs=1e-6)
+
+
+def test_grouped_quantiles_against_numpy(spark):
+
+    rng = np.random.default_rng(2)
+    groups = {"few": rng.normal(size=7), "many": np.round(rng.exponential(size=4000), 2), "same": np.ones(50), None: rng.normal(size=300)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("many", None), ("none", None), ("few", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0]
+    for accuracy in (10_000, 100):
+        got = {r.g: list(r.q) for r in cl.grouped_quantiles(df, F.col("v"), probs, ["g"], accuracy).collect()}
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            assert np.allclose(got[g], np.quantile(vs, probs)), (g, accuracy)
+    assert cl.exact_quantiles(df.where("v is null"), "v", [0.5]) == [None]

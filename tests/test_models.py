@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators import cluster as cu
@@ -46,8 +47,9 @@ def test_kernel_pca_separates_opposites():
 
 
 def test_stitch_and_disaggregate(spark):
-    clusters = frame(spark, {"c": seasonal() * 2}).withColumnRenamed("key", "cluster")
-    keys = frame(spark, {"a": seasonal(), "b": seasonal()}).withColumn("cluster", F.lit("c"))
+    wave = seasonal(slope=0.0)  # trees don't follow a trend
+    clusters = frame(spark, {"c": wave * 3}).withColumnRenamed("key", "cluster")
+    keys = frame(spark, {"a": wave, "b": wave * 2}).withColumn("cluster", F.lit("c"))
     out = fc.disaggregate(keys, clusters, "key", "cluster", "demand").toPandas()
     assert np.abs(out.actual - out.prediction).mean() < 1 and (out.prediction >= 0).all()
 
@@ -57,3 +59,24 @@ def test_stack_marks_in_sample(spark):
     base = rows.withColumn("prediction", F.col("y") + 1)
     out = fc.stack(base, base.select("id", (F.col("prediction") - 2).alias("prediction")), ["id"], "y", "validation")
     assert out.where("in_sample").count() == 20 and out.where("prediction < 0").count() == 0
+
+
+def test_multi_output_forest_shares_splits():
+    rng = np.random.default_rng(0)
+    x = rng.uniform(size=(300, 4))
+    y = np.column_stack([np.where(x[:, 0] > 0.5, 10.0, 0.0), np.where(x[:, 0] > 0.5, -3.0, 4.0)])
+    got = fc.multi_forest(x[:200], y[:200], x[200:], trees=20, depth=6)
+    assert np.abs(got - y[200:]).mean() < 1 and got.shape == (100, 2)
+    assert (fc.multi_forest(np.ones((5, 2)), np.ones((5, 3)), np.ones((2, 2)), 3, 3) == 1).all()
+
+
+def test_long_series_are_fitted_whole(spark):
+    y = np.r_[np.full(1500, 5.0), np.full(1500, 50.0)] + seasonal(3000, 0, 0)
+    out = fc.holt_winters(frame(spark, {"a": y}), "key").toPandas()
+    assert out.n_train.iloc[0] == int(3000 * 0.7) and np.abs(out.actual - out.prediction).mean() < 5
+
+
+def test_series_are_checked_before_a_kernel(spark):
+    uneven = frame(spark, {"a": seasonal(30), "b": seasonal(20)})
+    with pytest.raises(ValueError):
+        cu.series_matrix(uneven, "key")

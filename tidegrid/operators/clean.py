@@ -42,33 +42,45 @@ def null_profile(df: DataFrame, columns: Sequence[str], by: Sequence[Column] = (
     return wide.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(columns)}, {pairs}) as (column_name, null_pct)")
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], accuracy: int = 10_000) -> list[float | None]:
-    """Linear-interpolated quantiles of a whole column without gathering it.
+def grouped_quantiles(df: DataFrame, column: Column, probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
+    """(by, n, q): linear-interpolated quantiles of each group's whole column, without gathering a group.
 
-    An approximate pass brackets each quantile, a second counts the rows below each bracket and the values
-    inside it, so only about 4 / ``accuracy`` of the rows, as value counts, are ever put in order.
+    An approximate pass brackets each quantile of each group; a second counts the rows below all brackets
+    at once, a third the values inside them. So only about 4 / ``accuracy`` of a group's rows, as value
+    counts, are ever put in order, each quantile of each group in a task of its own. A group of at most
+    ``accuracy`` rows is its own bracket.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    names = [f"_g{i}" for i in range(len(by))]
+    values = df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], column.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     eps = 2.0 / accuracy
     asked = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
-    row = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", asked, accuracy).alias("q")).first()
-    n = row["n"]
-    if not n:
-        return [None] * len(probs)
-    at = dict(zip(asked, row["q"], strict=True))
-    few = n <= accuracy  # then the bracket is everything
-    spans = {p: (row["lo"] if few or p <= eps else at[max(0.0, p - eps)], row["hi"] if few or p >= 1 - eps else at[min(1.0, p + eps)]) for p in probs}
-    below = values.agg(*[F.count_if(F.col("v") < lo).alias(f"b{i}") for i, (lo, _) in enumerate(spans.values())]).first()
-    out: dict[float, float] = {}
-    for i, (p, (lo, hi)) in enumerate(spans.items()):
-        counts = values.where((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").count()
-        upto = counts.select("v", F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("v")).alias("upto"))
-        rank = (n - 1) * p - below[f"b{i}"]
-        first, second = int(rank), int(rank) + (rank > int(rank))
-        got = upto.agg(F.min(F.when(F.col("upto") > first, F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > second, F.col("v"))).alias("b")).first()
-        b = got["a"] if got["b"] is None else got["b"]
-        out[p] = got["a"] + (b - got["a"]) * (rank - first)
-    return [out[p] for p in probs]
+    marks = values.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.percentile_approx("_v", asked, accuracy).alias("_q"))
+    few = F.col("_n") <= accuracy
+    low = [F.when(few | F.lit(p <= eps), F.col("_lo")).otherwise(F.col("_q")[asked.index(min(1.0, max(0.0, p - eps)))]) for p in probs]
+    high = [F.when(few | F.lit(p >= 1 - eps), F.col("_hi")).otherwise(F.col("_q")[asked.index(min(1.0, max(0.0, p + eps)))]) for p in probs]
+    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), lo.alias("lo"), hi.alias("hi")) for i, (p, lo, hi) in enumerate(zip(probs, low, high, strict=True))])
+    marks = marks.select(*names, F.col("_n").alias("n"), spans.alias("spans"))
+    m = marks.select(*[F.col(n).alias(f"m{n}") for n in names], "n", "spans")
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"m{n}"))
+    marked = values.join(m, same) if names else values.withColumn("_m", F.struct(m.select(F.struct("n", "spans")).scalar().alias("m"))).select("_v", "_m.m.n", "_m.m.spans")
+    # Rows below a bracket only count; those inside are counted by value.
+    each = marked.select(*names, "n", "_v", F.explode(F.filter("spans", lambda s: F.col("_v") <= s["hi"])).alias("s")).select(*names, "n", "s.i", "s.p", F.when(F.col("_v") >= F.col("s.lo"), F.col("_v")).alias("_v"))
+    counts = each.groupBy(*names, "n", "i", "p", "_v").agg(F.count(F.lit(1)).alias("c"))
+    # Nulls, which stand for what is below, come first.
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*names, "i").orderBy("_v"))).where("_v is not null")
+    rank = (F.col("n") - 1) * F.col("p")
+    found = upto.groupBy(*names, "n", "i").agg(F.first(rank).alias("rank"), F.min(F.when(F.col("upto") > F.floor(rank), F.col("_v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil(rank), F.col("_v"))).alias("b"))
+    q = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("rank") - F.floor("rank"))
+    out = found.groupBy(*names).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("i") == i, q)).alias(f"q{i}") for i in range(len(probs))])
+    return out.select(*[F.col(n).alias(c) for c, n in zip(by, names, strict=True)], "n", F.array(*[f"q{i}" for i in range(len(probs))]).alias("q"))
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], accuracy: int = 10_000) -> list[float | None]:
+    """Linear-interpolated quantiles of a whole column without gathering it."""
+    row = grouped_quantiles(df, F.col(column), probs, accuracy=accuracy).first()
+    return list(row["q"]) if row else [None] * len(probs)
 
 
 def tukey_bounds(df: DataFrame, column: str, k: float = 1.5, least_iqr: float = 0.0) -> tuple[float | None, float | None]:

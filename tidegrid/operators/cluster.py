@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CELLS = 12_000_000
+#: Keys of a kernel matrix.
+MAX_KEYS = 3_000
 
 
 def kmeans(df: DataFrame, columns: list[str], k: int = 5, seed: int = 42, fit_share: float = 1.0, out: str = "cluster_id") -> DataFrame:
@@ -34,6 +36,8 @@ def series_matrix(dense: DataFrame, key: str, value: str = "demand", ts: str = "
         raise ValueError(f"{size} cells; resample to {MAX_CELLS} or fewer first")
     series = dense.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ts), F.col(value).cast("double").alias("v")))).alias("s"))
     rows = sorted(series.select(key, F.transform("s", lambda x: x["v"]).alias("v")).collect(), key=lambda r: r[0])
+    if len({len(r[1]) for r in rows}) > 1:
+        raise ValueError("series differ in length; densify them first")
     return [r[0] for r in rows], np.array([r["v"] for r in rows], float).reshape(len(rows), -1)
 
 
@@ -129,7 +133,9 @@ def kernel_pca(kernel: np.ndarray, dims: int = 2) -> np.ndarray:
 
 
 def kernel_pca_clusters(dense: DataFrame, key: str, k: int = 3, dims: int = 2, seed: int = 42, value: str = "demand") -> DataFrame:
-    """(key, cluster_id, pc1..) by k-means on the kernel principal components of the series' correlations."""
+    """(key, cluster_id, pc1..) by k-means on the kernel principal components of the series' correlations, of ``MAX_KEYS`` keys at most."""
+    if (n := dense.select(key).distinct().count()) > MAX_KEYS:
+        raise ValueError(f"{n} keys; the kernel takes {MAX_KEYS} at most")
     keys, x = series_matrix(dense, key, value)
     kind = dict(dense.dtypes)[key]
     names = [f"pc{i + 1}" for i in range(dims)]

@@ -75,6 +75,23 @@ def sequence_windows(df: DataFrame, columns: Sequence[str], rows: int, w, includ
     return df.withColumn(out, F.collect_list(step).over(trailing(w, rows, include_current))).where(F.size(out) == rows)
 
 
+def sequence_moments(df: DataFrame, n_features: int, column: str = "sequence", ddof: int = 0) -> DataFrame:
+    """(feature, mean, std, lo, hi) of each feature over all steps of all sequences."""
+    steps = df.select(F.explode(column).alias("step")).select(F.posexplode("step").alias("feature", "x")).select("feature", F.col("x").cast("double").alias("x"))
+    std = F.stddev_samp("x") if ddof else F.stddev_pop("x")
+    return steps.where(F.col("feature") < n_features).groupBy("feature").agg(F.avg("x").alias("mean"), std.alias("std"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+
+
+def scale_sequences(df: DataFrame, moments: DataFrame, how: str = "standard", column: str = "sequence", out: str = "scaled") -> DataFrame:
+    """Sequences with each feature scaled by moments fitted elsewhere; 0 without spread. Moments are one row a feature."""
+    shift, width = ("mean", F.col("std")) if how == "standard" else ("lo", F.col("hi") - F.col("lo"))
+    table = F.array_sort(F.collect_list(F.struct("feature", F.col(shift).alias("shift"), width.alias("width"))))
+    fitted = moments.agg(table.alias("m")).scalar()
+    cell = lambda x, m: F.when(m["width"] > 0, (x.cast("double") - m["shift"]) / m["width"]).otherwise(F.lit(0.0))
+    rows = df.withColumn("_m", fitted)
+    return rows.withColumn(out, F.transform(column, lambda step: F.zip_with(step, F.col("_m"), cell))).drop("_m")
+
+
 def lag_array(value: str, n: int, w) -> Column:
     """The ``n`` values before, newest first."""
     return F.array(*[F.lag(value, k).over(w) for k in range(1, n + 1)])

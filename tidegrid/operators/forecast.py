@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -56,7 +57,7 @@ def forecast_ahead(level: float, trend: float, season: np.ndarray, start: int, n
     return np.array([level + trend * (h + 1) + season[(start + h) % m] for h in range(n)])
 
 
-def holt_winters(panel: DataFrame, key: str, ts: str = "bin", value: str = "demand", season: int = SEASON, train: float = 0.7, max_train: int = 1248, min_rows: int = 72) -> DataFrame:
+def holt_winters(panel: DataFrame, key: str, ts: str = "bin", value: str = "demand", season: int = SEASON, train: float = 0.7, min_rows: int = 72) -> DataFrame:
     """Forecast of each key's last rows from its first ``train`` share: key, bin, actual, prediction, n_train, n_test.
 
     Keys are fitted independently in Arrow groups; a key has one row for each bin, so a group's size is
@@ -69,7 +70,7 @@ def holt_winters(panel: DataFrame, key: str, ts: str = "bin", value: str = "dema
         n_train = min(max(int(len(y) * train), 2 * season), len(y) - 1)
         if len(y) < min_rows or n_train < 2 * season:
             return pd.DataFrame({key: pdf[key].iloc[:0], ts: pdf[ts].iloc[:0], "actual": [], "prediction": [], "n_train": [], "n_test": []})
-        past = y[max(0, n_train - max_train) : n_train]
+        past = y[:n_train]
         _, level, trend, seasons = fit_holt_winters(past, season)
         ahead = np.maximum(forecast_ahead(level, trend, seasons, len(past), len(y) - n_train), 0.0)
         rest = pdf.iloc[n_train:]
@@ -80,7 +81,7 @@ def holt_winters(panel: DataFrame, key: str, ts: str = "bin", value: str = "dema
     return rows.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}, actual double, prediction double, n_train int, n_test int")
 
 
-def add_holt_winters_feature(panel: DataFrame, key: str, ts: str = "bin", value: str = "demand", season: int = SEASON, train: float = 0.7, max_train: int = 1248) -> DataFrame:
+def add_holt_winters_feature(panel: DataFrame, key: str, ts: str = "bin", value: str = "demand", season: int = SEASON, train: float = 0.7) -> DataFrame:
     """``panel`` with ``hw_forecast`` and ``hw_fallback``: fits in the train rows, forecasts after them.
 
     A key too short to fit gets its value a season ago, and is flagged; the actual value is never used.
@@ -95,21 +96,35 @@ def add_holt_winters_feature(panel: DataFrame, key: str, ts: str = "bin", value:
         if short:
             out = np.r_[np.zeros(min(season, len(y))), y[: max(0, len(y) - season)]]
         else:
-            first = max(0, n_train - max_train)
-            fits, level, trend, seasons = fit_holt_winters(y[first:n_train], season)
-            out = np.r_[np.full(first, fits[0]), fits, forecast_ahead(level, trend, seasons, n_train - first, len(y) - n_train)]
+            fits, level, trend, seasons = fit_holt_winters(y[:n_train], season)
+            out = np.r_[fits, forecast_ahead(level, trend, seasons, n_train, len(y) - n_train)]
         return pdf[names].assign(hw_forecast=np.maximum(out, 0.0), hw_fallback=short)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.schema.fields)
     return panel.groupBy(key).applyInPandas(run, f"{kinds}, hw_forecast double, hw_fallback boolean")
 
 
+def smoothed(panel: DataFrame, key: str, alpha: float, beta: float, gamma: float, ts: str = "bin", value: str = "demand", season: int = SEASON) -> DataFrame:
+    """One-step fits of each key's whole series at given smoothing parameters: key, bin, fit; shorter than two seasons: none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ts)
+        y = pdf[value].fillna(0.0).to_numpy(float)
+        if len(y) < 2 * season:
+            return pd.DataFrame({key: pdf[key].iloc[:0], ts: pdf[ts].iloc[:0], "fit": []})
+        return pd.DataFrame({key: pdf[key], ts: pdf[ts], "fit": _smooth(y, season, np.array([[alpha, beta, gamma]]))[1][:, 0]})
+
+    kinds = dict(panel.dtypes)
+    return panel.select(key, ts, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}, fit double")
+
+
 def regressors(label: str, features: str = "features") -> dict:
-    """The three base learners."""
+    """The base learners; their settings are fixed values."""
     return {
         "linear": LinearRegression(featuresCol=features, labelCol=label, maxIter=50, regParam=0.1, elasticNetParam=0.0, aggregationDepth=3),
         "forest": RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=30, maxDepth=6, maxBins=32, seed=42),
         "boosted": GBTRegressor(featuresCol=features, labelCol=label, maxIter=40, maxDepth=5, stepSize=0.05, subsamplingRate=0.7, seed=42),
+        "sampled": GBTRegressor(featuresCol=features, labelCol=label, maxIter=10, maxDepth=5, stepSize=0.03, subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=42),
     }
 
 
@@ -141,6 +156,29 @@ def stack(first: DataFrame, second: DataFrame, keys: Sequence[str], label: str,
     return model.transform(rows).select(*keys, split, label, "p1", "p2", F.greatest("prediction", F.lit(0.0)).alias("prediction"), (F.col(split) == fit_on).alias("in_sample"))
 
 
+def search(train: DataFrame, inputs: Sequence[str], label: str, kind: str, grid: Mapping[str, Sequence], folds: int = 3, draws: int | None = None, seed: int = 42):
+    """Cross-validated search over a learner's parameters: all of ``grid``, or ``draws`` settings of it by chance.
+
+    Returns the best fitted pipeline, its settings, and how many settings were tried.
+    """
+    learner = regressors(label)[kind]
+    settings = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+    if draws is not None and draws < len(settings):
+        settings = [settings[i] for i in sorted(np.random.default_rng(seed).choice(len(settings), draws, replace=False).tolist())]
+    maps = [{learner.getParam(name): v for name, v in s.items()} for s in settings]
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="skip"), learner])
+    tuned = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"), numFolds=folds, seed=seed).fit(train)
+    return tuned.bestModel, settings[int(np.argmin(tuned.avgMetrics))], len(settings)
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def tuned_forest(train: DataFrame, inputs: Sequence[str], label: str, depths: Sequence[int] = (3, 5), trees: Sequence[int] = (10,), folds: int = 3):
     """Cross-validated random forest and its importances, as (name, importance) from the largest."""
     assembler = VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="skip")
@@ -187,21 +225,64 @@ def stitch(history: DataFrame, predicted: DataFrame, cluster: str, value: str, t
     return history.join(p, [cluster, ts], "left").withColumn(value, F.coalesce("_p", F.col(value).cast("double"))).drop("_p")
 
 
-def disaggregate(keys: DataFrame, stitched: DataFrame, key: str, cluster: str, value: str, n: int = 12, ts: str = "bin", trees: int = 10, depth: int = 6) -> DataFrame:
-    """Each key's value from its cluster's history: a linear share for each key, learned on the first 80 % of its rows.
-
-    The history holds ``n`` cluster values newest first. Keys are fitted in Arrow groups of one key's rows.
+def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, least: int) -> tuple:
+    """A tree of (feature, cut, low, high) over leaves of mean vectors; a split lowers the summed squares of all outputs most."""
+    best = None
+    if depth and len(y) >= 2 * least and (y != y[0]).any():
+        total = y.sum(axis=0)
+        for f in rng.permutation(x.shape[1])[: max(1, x.shape[1] // 3)].tolist():
+            order = np.argsort(x[:, f], kind="stable")
+            v = x[order, f]
+            left = np.cumsum(y[order], axis=0)[:-1]
+            n = np.arange(1, len(y))
+            gain = (left**2).sum(axis=1) / n + ((total - left) ** 2).sum(axis=1) / (len(y) - n)
+            gain[(v[1:] == v[:-1]) | (n < least) | (len(y) - n < least)] = -np.inf
+            k = int(gain.argmax())
+            if np.isfinite(gain[k]) and (best is None or gain[k] > best[0]):
+                best = (gain[k], f, (v[k] + v[k + 1]) / 2)
+    if best is None:
+        return (y.mean(axis=0),)
+    low = x[:, best[1]] <= best[2]
+    return (best[1], best[2], _grow(x[low], y[low], rng, depth - 1, least), _grow(x[~low], y[~low], rng, depth - 1, least))
+
+
+def _leaves(tree: tuple, x: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
+    if len(tree) == 1:
+        out[at] += tree[0]
+        return
+    low = x[at, tree[0]] <= tree[1]
+    _leaves(tree[2], x, out, at[low])
+    _leaves(tree[3], x, out, at[~low])
+
+
+def multi_forest(x: np.ndarray, y: np.ndarray, ahead: np.ndarray, trees: int, depth: int, least: int = 1, seed: int = 42) -> np.ndarray:
+    """Mean prediction of ``trees`` bagged trees that share their splits among all columns of ``y``."""
+    rng, out = np.random.default_rng(seed), np.zeros((len(ahead), y.shape[1]))
+    for _ in range(trees):
+        drawn = rng.integers(0, len(x), len(x))
+        _leaves(_grow(x[drawn], y[drawn], rng, depth, least), ahead, out, np.arange(len(ahead)))
+    return out / trees
+
+
+def disaggregate(keys: DataFrame, stitched: DataFrame, key: str, cluster: str, value: str, n: int = 12, ts: str = "bin", trees: int = 50, depth: int = 10) -> DataFrame:
+    """Each key's value from its cluster's history: one multi-output forest for each cluster, learned on the first 80 % of its bins.
+
+    The history holds ``n`` cluster values newest first. Clusters are fitted in Arrow groups: one cluster's
+    rows are its keys times its bins, the size of its panel. A key without a row in a bin counts as 0 there
+    and gets no row.
     """
     past = lag_dataset(stitched, cluster, value, n, ts).select(cluster, ts, F.col("history").cast("array<double>").alias("history"))
     rows = keys.select(key, cluster, ts, F.col(value).cast("double").alias(value)).join(past, [cluster, ts])
     kinds = dict(keys.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        x = np.column_stack([np.ones(len(pdf)), np.array(pdf["history"].tolist(), float).reshape(len(pdf), n)])
-        y, cut = pdf[value].to_numpy(float), int(len(pdf) * 0.8)
-        w = np.linalg.solve(x[:cut].T @ x[:cut] + np.eye(n + 1), x[:cut].T @ y[:cut])
-        rest = pdf.iloc[cut:]
-        return pd.DataFrame({key: rest[key], cluster: rest[cluster], ts: rest[ts], "actual": y[cut:], "prediction": np.maximum(np.round(x[cut:] @ w), 0.0)})
-
-    return rows.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{cluster}` {kinds[cluster]}, `{ts}` {kinds[ts]}, actual double, prediction double")
+        wide = pdf.pivot_table(index=ts, columns=key, values=value, aggfunc="sum", fill_value=0.0).sort_index()
+        history = pdf.drop_duplicates(ts).set_index(ts)["history"].loc[wide.index]
+        x, y = np.array(history.tolist(), float).reshape(len(wide), n), wide.to_numpy(float)
+        cut = int(len(wide) * 0.8)
+        got = np.maximum(np.round(multi_forest(x[:cut], y[:cut], x[cut:], trees, depth)), 0.0) if cut else np.zeros((len(wide), y.shape[1]))
+        predicted = pd.DataFrame(got, index=wide.index[cut:], columns=wide.columns).stack().rename("prediction").reset_index()
+        rest = pdf[[key, cluster, ts, value]].merge(predicted, on=[key, ts]).rename(columns={value: "actual"})
+        return rest[[key, cluster, ts, "actual", "prediction"]]
+
+    return rows.groupBy(cluster).applyInPandas(run, f"`{key}` {kinds[key]}, `{cluster}` {kinds[cluster]}, `{ts}` {kinds[ts]}, actual double, prediction double")

@@ -24,11 +24,9 @@ def time_grid(keys: DataFrame, key: str, start: Column, end: Column, seconds: in
 
 def densify(counts: DataFrame, key: str, seconds: int, value: str = "demand", keys: DataFrame | None = None, fill: float = 0.0) -> DataFrame:
     """Full key x bin grid between the first and the last observed bin; bins without rows hold ``fill``."""
-    ends = counts.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).first()
-    if ends["lo"] is None:
-        return counts.select(key, "bin", F.col(value).cast("double").alias(value))
-    lit = lambda t: F.lit(t).cast("timestamp_ntz")
-    grid = time_grid(counts if keys is None else keys, key, lit(ends["lo"]), lit(ends["hi"]), seconds)
+    # Scalar subqueries over the same aggregate, whose exchange they share: the events are read once.
+    lo, hi = counts.agg(F.min("bin")).scalar(), counts.agg(F.max("bin")).scalar()
+    grid = time_grid(counts if keys is None else keys, key, lo, hi, seconds)
     return grid.join(counts, [key, "bin"], "left").select(key, "bin", F.coalesce(F.col(value).cast("double"), F.lit(fill)).alias(value))
 
 

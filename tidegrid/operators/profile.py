@@ -9,20 +9,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.expressions import safe_corr
+from tidegrid.operators.clean import exact_quantiles, grouped_quantiles
 
 
 def describe(df: DataFrame, column: str, probs: Sequence[float] = (0.25, 0.5, 0.75), by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact interpolated percentiles and maximum."""
-    q = F.percentile(column, F.array(*map(F.lit, probs)))
-    base = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
+    base = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    q = grouped_quantiles(df, F.col(column), probs, by).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "q")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    both = base.join(q, same, "left") if by else base.withColumn("q", q.scalar())
     names = [f"p{round(p * 100, 4):g}".replace(".", "_") for p in probs]
-    return base.select(*by, "n", "mean", "std", "min", *[F.col("q")[i].alias(x) for i, x in enumerate(names)], "max")
+    return both.select(*by, "n", "mean", "std", "min", *[F.col("q")[i].alias(x) for i, x in enumerate(names)], "max")
 
 
 def value_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count and per cent of all rows of each combination of values."""
-    counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return with_total_share(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")))
+
+
+def with_total_share(counts: DataFrame, n: str = "n", out: str = "pct") -> DataFrame:
+    """``counts`` with each row's per cent of the grand total, a scalar that no task has to gather rows for."""
+    return counts.withColumn(out, F.col(n) * 100.0 / counts.agg(F.sum(n)).scalar())
 
 
 def crosstab_row_pct(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -53,6 +62,11 @@ def pct_change(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str
     return df.withColumn(out, F.when(before != 0, (F.col(value) - before) * 100.0 / F.nullif(before, F.lit(0))))
 
 
+def first_in_group(df: DataFrame, by: Sequence[str], order: Column, columns: Sequence[str]) -> DataFrame:
+    """Of each group the ``columns`` of its first row by ``order``, as a map-side aggregate."""
+    return df.groupBy(*by).agg(F.min_by(F.struct(*columns), order).alias("_r")).select(*by, *[F.col("_r")[c].alias(c) for c in columns])
+
+
 def top_k(df: DataFrame, k: int, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("rank", rn).where(F.col("rank") <= k)
@@ -75,15 +89,15 @@ def jarque_bera(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
 def ks_normal(df: DataFrame, column: str) -> DataFrame:
     """Largest distance between the empirical distribution and the normal one of the same mean and deviation.
 
-    Values are counted first; the running share is then a window in parts of the value range, with the
-    parts' own totals carried over, so no task holds the column.
+    Values are counted first; the running share is then a window in parts between approximate quantiles,
+    with the parts' own totals carried over, so no task holds the column, whatever its outliers.
     """
     v = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    s = v.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    s = v.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.stddev_samp("v").alias("sd")).first()
     if not s["n"] or not s["sd"]:
         return df.sparkSession.createDataFrame([(s["n"], None)], "n long, ks double")
-    width = (s["hi"] - s["lo"]) / 256 or 1.0
-    counts = v.groupBy("v").count().withColumn("part", F.floor((F.col("v") - s["lo"]) / width))
+    marks = sorted(set(v.agg(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 10_000).alias("q")).first()["q"]))
+    counts = v.groupBy("v").count().withColumn("part", F.aggregate(F.array(*map(F.lit, marks)), F.lit(0), lambda acc, x: acc + (F.col("v") > x).cast("int")))
     parts = counts.groupBy("part").agg(F.sum("count").alias("c"))
     base = parts.select("part", F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     upto = counts.join(F.broadcast(base), "part").withColumn("upto", F.col("base") + F.sum("count").over(Window.partitionBy("part").orderBy("v")))
@@ -100,8 +114,6 @@ def qq_points(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
     """(p, sample_q, normal_q): the column's quantiles beside those of the normal distribution of the same mean and deviation."""
     from statistics import NormalDist
 
-    from tidegrid.operators.clean import exact_quantiles
-
     s = df.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("sd")).first()
     q = exact_quantiles(df, column, probs)
     rows = [(p, v, None if s["sd"] is None else s["m"] + s["sd"] * NormalDist().inv_cdf(p)) for p, v in zip(probs, q, strict=True)]

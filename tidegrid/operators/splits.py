@@ -40,8 +40,18 @@ def canonical_split(c: Column) -> Column:
 
 
 def hashed_fraction(key: Column, share: float, seed: int = 42) -> Column:
-    """A sample that doesn't depend on partitioning."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    """A sample that doesn't depend on partitioning: by the first 32 bits of the MD5 of seed and key."""
+    return hashed_place(key, seed) < int(share * (1 << 32))
+
+
+def hashed_place(key: Column, seed: int = 42) -> Column:
+    """A number below 2**32 for each key, as good as drawn."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("long")
+
+
+def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """Exactly ``n`` rows, or all: those of the smallest hashed places, as a top-n that each task takes first."""
+    return df.orderBy(hashed_place(F.col(key), seed), key).limit(n)
 
 
 def stratified_sample(df: DataFrame, stratum: str, order: Sequence[Column], n: int, total: int) -> DataFrame:

@@ -8,8 +8,9 @@ from tidegrid.operators import cluster as cu
 from tidegrid.operators import forecast as fc
 from tidegrid.operators.features import by_time, ewma, lags, trailing
 from tidegrid.operators.splits import rank_split
-from tidegrid.plans.panel_queries import nation_series
-from tidegrid.plans.registry import panel, query, table
+from tidegrid.plans.panel_queries import NATIONS_SQL, nation_series
+from tidegrid.plans.registry import PANEL_SQL, panel, query, r, table
+from tidegrid.sources import io
 
 INPUTS = ["lag_1", "lag_2", "lag_3", "lag_24", "roll_mean_18", "ewma_60", "hour", "dow"]
 
@@ -32,7 +33,7 @@ def holt_winters_feature(spark, sf_dir):
 
 @query()
 def regressors(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir).cache()
+    rows = feature_rows(spark, sf_dir)
     return fc.model_metrics(fc.train_and_score(rows.where("split = 'train'"), rows.where("split = 'test'"), INPUTS, "demand"), "demand")
 
 
@@ -40,7 +41,7 @@ def regressors(spark, sf_dir):
 def stacked_ensemble(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)
     idx = F.col("rn") / F.col("n_key")
-    rows = rows.withColumn("split", F.when(idx <= 0.6, "train").when(idx <= 0.8, "validation").otherwise("test")).cache()
+    rows = rows.withColumn("split", F.when(idx <= 0.6, "train").when(idx <= 0.8, "validation").otherwise("test"))
     base = fc.train_and_score(rows.where("split = 'train'"), rows.where("split <> 'train'"), INPUTS, "demand", ["linear", "forest"])
     return fc.stack(base["linear"], base["forest"], ["event_type", "bin"], "demand", fit_on="validation")
 
@@ -92,3 +93,115 @@ def disaggregate(spark, sf_dir):
     keys, clusters = grouped(spark, sf_dir)
     stitched = fc.stitch(clusters, fc.cluster_forecast(clusters, "cluster_id", "demand"), "cluster_id", "demand")
     return fc.disaggregate(keys, stitched, "zone", "cluster_id", "demand")
+
+
+# What of a fitted model is determined, beside SQL: rows, splits, flags and bounds of the queries above.
+
+
+@query(PANEL_SQL + ", n as (select event_type, count(*) as n, greatest(floor(count(*) * 0.7::double), 48)::int as n_train from d group by 1) select event_type, n_train, (n - n_train)::int as n_test, (n - n_train)::bigint as n_rows, true as non_negative, (select min(bin) from d) + n_train * interval '1 hour' as first_bin from n")
+def holt_winters_facts(spark, sf_dir):
+    out = holt_winters(spark, sf_dir)
+    return out.groupBy("event_type").agg(F.max("n_train").alias("n_train"), F.max("n_test").alias("n_test"), F.count("prediction").alias("n_rows"), F.every(F.col("prediction") >= 0).alias("non_negative"), F.min("bin").alias("first_bin"))
+
+
+@query(PANEL_SQL + "select event_type, count(*) as n_rows, false as hw_fallback, true as non_negative, sum(demand) as demand from d group by 1")
+def holt_winters_feature_facts(spark, sf_dir):
+    out = holt_winters_feature(spark, sf_dir)
+    return out.groupBy("event_type").agg(F.count("hw_forecast").alias("n_rows"), F.bool_or("hw_fallback").alias("hw_fallback"), F.every(F.col("hw_forecast") >= 0).alias("non_negative"), F.sum("demand").alias("demand"))
+
+
+@query(f"""with recursive {PANEL_SQL[5:]}, y as (select event_type, list(demand order by bin) as y, list(bin order by bin) as b from d group by 1),
+i as (select *, list_avg(y[1:24]) as l0, (list_avg(y[25:48]) - list_avg(y[1:24])) / 24 as t0, list_transform(y[1:24], lambda v: v - list_avg(y[1:24])) as s0 from y),
+h as (select event_type, y, b, 0 as t, l0 as level, t0 as trend, s0 as season, 0.0::double as fit from i
+  union all
+  select event_type, y, b, t + 1, grown, 0.2 * (grown - level) + 0.8 * trend, list_concat(list_concat(season[1:k], [0.3 * (y[t + 1] - grown) + 0.7 * season[k + 1]]), season[k + 2:24]), level + trend + season[k + 1]
+  from (select *, t % 24 as k, 0.4 * (y[t + 1] - season[t % 24 + 1]) + 0.6 * (level + trend) as grown from h where t < len(y)))
+select event_type, b[t] as bin, round(fit, 6) as fit from h where t > 0""")
+def smoothed(spark, sf_dir):
+    """Holt-Winters at given parameters, one step ahead."""
+    return fc.smoothed(panel(spark, sf_dir), "event_type", 0.4, 0.2, 0.3).withColumn("fit", r("fit"))
+
+
+ROWS_SQL = PANEL_SQL + ", f as (select *, row_number() over (partition by event_type order by bin) - 24 as rn, count(*) over (partition by event_type) - 24 as n from d), "
+
+
+@query(ROWS_SQL + "x as (select count(*) as n from f where rn > floor(n * 0.7)) select unnest(['linear', 'forest', 'boosted', 'sampled']) as model, n, true as sound from x")
+def regressors_facts(spark, sf_dir):
+    rows = feature_rows(spark, sf_dir)
+    rows = rows.select("event_type", "bin", "demand", "split", *[c for c in INPUTS])
+    out = fc.model_metrics(fc.train_and_score(rows.where("split = 'train'"), rows.where("split = 'test'"), INPUTS, "demand", ["linear", "forest", "boosted", "sampled"]), "demand")
+    return out.select("model", "n", ((F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae")) & (F.col("r2") <= 1)).alias("sound"))
+
+
+@query(ROWS_SQL + "x as (select case when rn / n <= 0.6 then 'train' when rn / n <= 0.8 then 'validation' else 'test' end as split from f where rn > 0) select split, split = 'validation' as in_sample, count(*) as n, true as non_negative from x where split <> 'train' group by 1, 2")
+def stacked_facts(spark, sf_dir):
+    return stacked_ensemble(spark, sf_dir).groupBy("split", "in_sample").agg(F.count("prediction").alias("n"), F.every(F.col("prediction") >= 0).alias("non_negative"))
+
+
+@query(f"select unnest({INPUTS}) as feature, true as shared, 1.0::double as total")
+def tuned_facts(spark, sf_dir):
+    out = tuned_regressor(spark, sf_dir)
+    return out.select("feature", F.col("importance").between(0, 1).alias("shared"), F.round(out.agg(F.sum("importance")).scalar(), 6).alias("total"))
+
+
+@query("select unnest(['linear', 'forest', 'boosted']) as model, unnest([4, 2, 3])::int as settings, true as best_of_grid")
+def model_searches(spark, sf_dir):
+    """Searches over each learner: whole grids, and draws from one."""
+    rows = feature_rows(spark, sf_dir).where("split = 'train'").select(*INPUTS, "demand").persist()
+    grids = {
+        "linear": ({"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, None),
+        "forest": ({"maxDepth": [3, 5], "numTrees": [5]}, None),
+        "boosted": ({"maxDepth": [2, 3], "maxIter": [3, 5], "stepSize": [0.05, 0.1]}, 3),
+    }
+    found = []
+    try:
+        for kind, (grid, draws) in grids.items():
+            model, best, n = fc.search(rows, INPUTS, "demand", kind, grid, folds=2, draws=draws)
+            found.append((kind, n, all(v in grid[k] and model.stages[-1].getOrDefault(k) == v for k, v in best.items())))
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame(found, "model string, settings int, best_of_grid boolean")
+
+
+@query(ROWS_SQL + "x as (select event_type, count(*) as n from f where rn > floor(n * 0.7) group by 1) select event_type, n, 0.0::double as gap from x")
+def saved_model(spark, sf_dir):
+    """A fitted pipeline is saved and loaded, and predicts as before."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = feature_rows(spark, sf_dir)
+    model = Pipeline(stages=[VectorAssembler(inputCols=INPUTS, outputCol="features"), fc.regressors("demand")["linear"]]).fit(rows.where("split = 'train'"))
+    path = io.scratch(spark, "model")
+    fc.save_model(model, path)
+    test = rows.where("split = 'test'")
+    both = fc.load_model(path).transform(model.transform(test).withColumnRenamed("prediction", "before").drop("features"))
+    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("prediction") - F.col("before"))).alias("gap"))
+
+
+@query("select count(*) as n, 5::bigint as clusters from customer")
+def kmeans_facts(spark, sf_dir):
+    return kmeans_zones(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster_id").alias("clusters"))
+
+
+@query(NATIONS_SQL + "select method, zone, true as placed from (select distinct zone from s), (select unnest(['kshape', 'kernel_pca']) as method)")
+def cluster_facts(spark, sf_dir):
+    out = None
+    for name, found in (("kshape", kshape(spark, sf_dir)), ("kernel_pca", kernel_pca_clusters(spark, sf_dir))):
+        part = found.select(F.lit(name).alias("method"), "zone", F.col("cluster_id").between(0, 2).alias("placed"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_LATE = "l as (select cluster_id, bin, row_number() over (partition by cluster_id order by bin) - 12 as idx, count(*) over (partition by cluster_id) - 12 as n from c)"
+
+
+@query(NATIONS_SQL + f", c as (select cluster_id, bin, sum(demand) as demand from s group by 1, 2), {_LATE} select cluster_id, count(*) as n, min(bin) as first_bin, true as whole from l where idx > floor(n * 0.8) group by 1")
+def cluster_forecast_facts(spark, sf_dir):
+    whole = (F.col("prediction") >= 0) & (F.col("prediction") == F.round("prediction"))
+    return cluster_forecast(spark, sf_dir).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.min("bin").alias("first_bin"), F.every(whole).alias("whole"))
+
+
+@query(NATIONS_SQL + f", c as (select cluster_id, bin, sum(demand) as demand from s group by 1, 2), {_LATE}, t as (select cluster_id, bin from l where idx > floor(n * 0.8)) select s.zone, count(*) as n, sum(s.demand) as actual, true as whole from s join t using (cluster_id, bin) group by 1")
+def disaggregate_facts(spark, sf_dir):
+    whole = (F.col("prediction") >= 0) & (F.col("prediction") == F.round("prediction"))
+    return disaggregate(spark, sf_dir).groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.sum("actual").alias("actual"), F.every(whole).alias("whole"))

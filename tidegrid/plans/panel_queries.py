@@ -280,3 +280,33 @@ def scaled_panel(spark, sf_dir):
     k = Window.partitionBy(BY)
     lo, hi = F.min("demand").over(k), F.max("demand").over(k)
     return panel(spark, sf_dir).select(BY, "bin", r((F.col("demand") - lo) / F.nullif(hi - lo, F.lit(0.0))).alias("scaled"), r(ft.zscore("demand", BY)).alias("z"))
+
+
+@query(PANEL_SQL + """, q as (select event_type, bin, list(demand::float) over w as s, count(*) over w as n from d window w as (partition by event_type order by bin rows between 23 preceding and current row)),
+e as (select event_type, bin, unnest(s)::double as x, generate_subscripts(s, 1) as i from q where n = 24), f as (select avg(x) as m, stddev_pop(x) as sd from e where bin < timestamp '2024-01-20')
+select event_type, bin, 24::int as steps, round(max(case when i = 1 then (x - m) / sd end), 5) as first_step, round(max(case when i = 24 then (x - m) / sd end), 5) as last_step, round(sum((x - m) / sd), 4) as total from e, f group by 1, 2""")
+def scaled_sequences(spark, sf_dir):
+    """Sequences up to the current bin, scaled by moments of the train bins, written by a Parquet sink and read back."""
+    from tidegrid.sources import io
+
+    rows = ft.sequence_windows(panel(spark, sf_dir), ["demand"], 24, by_type(), include_current=True)
+    fitted = ft.sequence_moments(rows.where("bin < timestamp_ntz'2024-01-20'"), 1)
+    path = io.scratch(spark, "sequences")
+    io.write_partitioned(ft.scale_sequences(rows, fitted).select(BY, "bin", "scaled"), path)
+    back = spark.read.parquet(path)
+    step = lambda i: F.col("scaled")[i][0]
+    total = F.aggregate(F.flatten("scaled"), F.lit(0.0), lambda a, x: a + x)
+    return back.select(BY, "bin", F.size("scaled").alias("steps"), r(step(0), 5).alias("first_step"), r(step(23), 5).alias("last_step"), r(total, 4).alias("total"))
+
+
+@query(NATIONS_SQL + """, a as (select n_nationkey as zone, n_regionkey as grp from nation), t as (select zone, avg(demand) as zone_mean, stddev_samp(demand) as zone_std from s group by 1),
+g as (select grp, bin, avg(demand) as group_mean from s join a using (zone) group by 1, 2)
+select s.zone, a.grp, s.bin, round(t.zone_mean, 6) as zone_mean, round(t.zone_std, 6) as zone_std, round(g.group_mean, 6) as group_mean from s join a using (zone) join t using (zone) join g on g.grp = a.grp and g.bin = s.bin""")
+def panel_with_stats(spark, sf_dir):
+    """Statistics of each zone, and of the group that a table of assignments puts it in, joined back to the panel."""
+    series = nation_series(spark, sf_dir).select("zone", "bin", "demand")
+    assigned = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("zone"), F.col("n_regionkey").alias("grp"))
+    stats = series.groupBy("zone").agg(r(F.avg("demand")).alias("zone_mean"), r(F.stddev_samp("demand")).alias("zone_std"))
+    rows = series.join(assigned, "zone")
+    means = rows.groupBy("grp", "bin").agg(r(F.avg("demand")).alias("group_mean"))
+    return rows.join(stats, "zone").join(means, ["grp", "bin"]).select("zone", "grp", "bin", "zone_mean", "zone_std", "group_mean")

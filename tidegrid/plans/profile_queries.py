@@ -173,8 +173,8 @@ def od_counts(spark, sf_dir):
 def od_matrix(spark, sf_dir):
     from pyspark.sql import Window
 
-    n = F.col("n") * 100.0
-    return od_counts(spark, sf_dir).select("origin", "destination", "borough", "n", r(n / F.sum("n").over(Window.partitionBy("origin"))).alias("row_pct"), r(n / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("total_pct"))
+    counts = pr.with_total_share(od_counts(spark, sf_dir), out="total_pct")
+    return counts.select("origin", "destination", "borough", "n", r(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("origin"))).alias("row_pct"), r("total_pct").alias("total_pct"))
 
 
 @query(OD_SQL + "select origin, destination, n from c order by n desc, origin, destination limit 20")
@@ -236,7 +236,12 @@ def tip_rate(spark, sf_dir):
 @query(TRIPS_SQL + "select year(pickup)::int as year, round(median(fare / nullif(distance, 0)), 6) as fare_per_mile, round(median(case when minutes > 0 then fare / minutes end), 6) as fare_per_minute, round(avg(case when minutes > 0 then distance / (minutes / 60) end), 8) as speed from t group by 1")
 def unit_prices(spark, sf_dir):
     c = F.col
-    return trips(spark, sf_dir).groupBy(F.year("pickup").alias("year")).agg(r(F.median(ratio(c("fare"), c("distance")))).alias("fare_per_mile"), r(F.median(ratio(c("fare"), c("minutes")))).alias("fare_per_minute"), r(F.avg(ratio(c("distance"), c("minutes") / 60)), 8).alias("speed"))
+    rows = trips(spark, sf_dir).withColumn("year", F.year("pickup"))
+    out = rows.groupBy("year").agg(r(F.avg(ratio(c("distance"), c("minutes") / 60)), 8).alias("speed"))
+    for name, by in (("fare_per_mile", "distance"), ("fare_per_minute", "minutes")):
+        median = cl.grouped_quantiles(rows, ratio(c("fare"), c(by)), [0.5], ["year"])
+        out = out.join(median.select("year", r(c("q")[0]).alias(name)), "year", "left")
+    return out.select("year", "fare_per_mile", "fare_per_minute", "speed")
 
 
 @query(TRIPS_SQL + ", c as (select year(pickup)::int as year, case payment when 'A' then 'card' when 'N' then 'cash' else 'other' end as payment_type, count(*) as n from t group by 1, 2) select *, round(n * 100.0::double / sum(n) over (partition by year), 6) as row_pct from c")
@@ -269,9 +274,13 @@ def jarque_bera(spark, sf_dir):
     return d.select("event_type", "n", r("skew", 5).alias("skew"), r("kurt", 5).alias("kurt"))
 
 
-@query()
+@query("""with v as (select o_totalprice as v from orders where o_totalprice is not null), s as (select count(*) as n, avg(v) as m, stddev_samp(v) as sd from v),
+c as (select v, count(*) as k from v group by 1), u as (select v, k, sum(k) over (order by v) as upto from c),
+z as (select u.*, n, (v - m) / sd / sqrt(2) as z from u, s), t as (select *, 1 / (1 + 0.3275911 * abs(z)) as t from z),
+f as (select *, 0.5 * (1 + sign(z) * (1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z))) as cdf from t)
+select sum(k)::bigint as n, round(max(greatest(abs(upto / n - cdf), abs(cdf - (upto - k) / n))), 8) as ks from f""")
 def ks_normal(spark, sf_dir):
-    return pr.ks_normal(table(spark, sf_dir, "orders"), "o_totalprice")
+    return pr.ks_normal(table(spark, sf_dir, "orders"), "o_totalprice").select("n", r("ks", 8).alias("ks"))
 
 
 @query("select year(o_orderdate)::int as year, count(*) as n, round(sum(o_totalprice), 2) as total, count_if(year(o_orderdate) >= 1998) as with_fee from orders group by 1")
@@ -306,6 +315,73 @@ def file_profile(spark, sf_dir):
     return io.file_profile(table(spark, sf_dir, "events")).select("file_name", "n_rows")
 
 
+@query("select 'events.parquet' as file_name, count(*) as n_rows, 6 as n_columns, true as has_sizes from events union all select 'orders.parquet', count(*), 6, true from orders")
+def footer_profile(spark, sf_dir):
+    out = io.footer_profile(spark, [f"{sf_dir}/{t}.parquet" for t in ("events", "orders")])
+    sizes = (F.col("n_row_groups") > 0) & (F.col("compressed_bytes") > 0) & (F.col("uncompressed_bytes") >= F.col("compressed_bytes") / 2)
+    return out.select("file_name", "n_rows", "n_columns", sizes.alias("has_sizes"))
+
+
+@query("select event_id, event_type from events order by ('0x' || substr(md5('7:' || event_id), 1, 8))::bigint, event_id limit 500")
+def fixed_sample(spark, sf_dir):
+    """A sampling operator: 500 rows exactly."""
+    from tidegrid.operators.splits import fixed_sample as sample
+
+    return sample(table(spark, sf_dir, "events"), "event_id", 500, seed=7).select("event_id", "event_type")
+
+
+@query("select user_id, arg_min(event_id, ts) as event_id, min(ts) as ts from events group by 1")
+def first_in_group(spark, sf_dir):
+    return pr.first_in_group(table(spark, sf_dir, "events"), ["user_id"], F.col("ts"), ["event_id", "ts"])
+
+
+@query("select * from (select user_id, count(*) as n from events group by 1 order by n, user_id limit 6)")
+def bottomk_zones(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "user_id").limit(6)
+
+
+@query("select kind, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total from orders, (select unnest(['csv', 'json']) as kind) group by 1, 2")
+def delimited_sinks(spark, sf_dir):
+    """Orders written as CSV and as JSON lines, and read back."""
+    rows, schema, out = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderkey long, o_orderpriority string, o_totalprice double", None
+    for kind in ("csv", "json"):
+        path = io.scratch(spark, kind)
+        io.write_delimited(rows, path, kind)
+        back = io.read_csv(spark, path, schema) if kind == "csv" else spark.read.schema(schema).json(path)
+        part = back.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), r(F.sum("o_totalprice"), 2).alias("total")).withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out.select("kind", "o_orderpriority", "n", "total")
+
+
+@query("select event_type, year(ts)::int as year, hour(ts)::int as hour, round(count(*)::double / count(distinct ts::date), 6) as per_day from events group by all")
+def hourly_rate_by_year(spark, sf_dir):
+    days = table(spark, sf_dir, "events").groupBy("event_type", F.year("ts").alias("year"), F.hour("ts").alias("hour"), F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    return days.groupBy("event_type", "year", "hour").agg(r(F.sum("n") / F.count("d")).alias("per_day"))
+
+
+@query("select c_custkey, o_orderkey from customer semi join (select distinct c_nationkey as k from customer where c_acctbal > 9000) on c_nationkey = k join orders on o_custkey = c_custkey")
+def kept_keys(spark, sf_dir):
+    """Orders of customers in nations that have a rich one: a semi-join with the list of active keys."""
+    from tidegrid.operators.panel import keep_keys
+
+    customers = table(spark, sf_dir, "customer")
+    kept = keep_keys(customers, customers.where("c_acctbal > 9000"), "c_nationkey")
+    return kept.join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey")
+
+
+@query("select o_orderstatus, 'web' as channel, count(*) as n from orders group by 1")
+def declared_scan(spark, sf_dir):
+    """A scan under a declared schema, with a column added only where it lacks."""
+    rows = io.read_declared(spark, f"{sf_dir}/orders.parquet", "o_orderkey long, o_orderstatus string")
+    return io.add_missing(rows, {"o_orderstatus": F.lit("never"), "channel": F.lit("web")}).groupBy("o_orderstatus", "channel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select 'orders.parquet' as file_name, count(*) as n, sum(o_orderkey)::bigint as keys from orders")
+def provenance(spark, sf_dir):
+    df, _ = io.read_normalized(spark, [f"{sf_dir}/orders.parquet"], {"id": (["O_ORDERKEY"], "long")}, required=["id"], provenance="file_name")
+    return df.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("keys"))
+
+
 @query("with s as (select avg(o_totalprice) as m, stddev_samp(o_totalprice) as sd from orders) select p, round(q, 4) as sample_q, round(m + sd * z, 3) as normal_q from s, (select unnest([0.1, 0.5, 0.9])::double as p, unnest(quantile_cont(o_totalprice, [0.1, 0.5, 0.9])) as q, unnest([-1.2815515655446004, 0.0, 1.2815515655446004])::double as z from orders)")
 def qq_points(spark, sf_dir):
     return pr.qq_points(table(spark, sf_dir, "orders"), "o_totalprice", [0.1, 0.5, 0.9]).select("p", r("sample_q", 4).alias("sample_q"), r("normal_q", 3).alias("normal_q"))
@@ -317,7 +393,7 @@ def half_open_range(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query()
+@query(f"select o_orderkey, o_totalprice from orders where ('0x' || substr(md5('42:' || o_orderkey), 1, 8))::bigint < {int(0.01 * (1 << 32))}")
 def hashed_sample(spark, sf_dir):
     """A sampling operator: one per cent of the rows, the same ones however they are partitioned."""
     from tidegrid.operators.splits import hashed_fraction

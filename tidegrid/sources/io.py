@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name in the folder that all executors share (``spark.checkpoint.dir`` where it is set)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(found or f'/tmp/checkpoints/tidegrid-{os.getuid()}').rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
 
 
@@ -50,7 +52,8 @@ def read_normalized(spark: SparkSession, paths: Sequence[str], spec: Mapping[str
     the scan, which keeps the vectorised reader and column pruning; a missing column is null, a file that
     lacks a required column or can't be read is left out.
     """
-    frames, bad = [], {}
+    groups: dict[str, tuple[dict[str, str | None], list[str]]] = {}
+    bad = {}
     for path in paths:
         try:
             df = spark.read.parquet(path)
@@ -61,8 +64,12 @@ def read_normalized(spark: SparkSession, paths: Sequence[str], spec: Mapping[str
         if lacking := [c for c in required if not found[c]]:
             bad[path] = f"no column for {', '.join(lacking)}"
             continue
+        # Files of one schema are one scan, so the plan grows with the schemas and not with the files.
+        groups.setdefault(df.schema.json(), (found, []))[1].append(path)
+    frames = []
+    for found, same in groups.values():
         columns = [(F.col(f"`{found[out]}`") if found[out] else F.lit(None)).cast(kind).alias(out) for out, (_, kind) in spec.items()]
-        frames.append(df.select(*columns, *([F.col("_metadata.file_name").alias(provenance)] if provenance else [])))
+        frames.append(spark.read.parquet(*same).select(*columns, *([F.col("_metadata.file_name").alias(provenance)] if provenance else [])))
     if not frames:
         schema = T.StructType([T.StructField(out, T._parse_datatype_string(kind)) for out, (_, kind) in spec.items()] + ([T.StructField(provenance, T.StringType())] if provenance else []))
         return spark.createDataFrame([], schema), bad
@@ -103,6 +110,28 @@ def file_profile(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("n_rows"), F.max("_metadata.file_size").alias("n_bytes"))
 
 
+def footer_profile(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """file_name, n_rows, n_columns, n_row_groups, compressed and uncompressed bytes of Parquet files, from their footers alone."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(p, conf))
+        try:
+            blocks = list(reader.getFooter().getBlocks())
+            columns = reader.getFooter().getFileMetaData().getSchema().getFieldCount()
+            rows.append((p.getName(), sum(b.getRowCount() for b in blocks), columns, len(blocks), sum(b.getCompressedSize() for b in blocks), sum(b.getTotalByteSize() for b in blocks)))
+        finally:
+            reader.close()
+    return spark.createDataFrame(rows, "file_name string, n_rows long, n_columns int, n_row_groups int, compressed_bytes long, uncompressed_bytes long")
+
+
+def write_delimited(df: DataFrame, path: str, kind: str = "csv", mode: str = "overwrite") -> None:
+    """CSV with a header, or JSON lines."""
+    w = df.write.mode(mode)
+    w.option("header", True).csv(path) if kind == "csv" else w.json(path)
+
+
 def year_month(file_name: Column) -> tuple[Column, Column]:
     """Year and month from names like ``..._2024-03.parquet``."""
     return F.regexp_extract(file_name, r"(\d{4})-(\d{2})", 1).cast("int"), F.regexp_extract(file_name, r"(\d{4})-(\d{2})", 2).cast("int")
