@@ -69,11 +69,11 @@ class Scratch:
         self._spark = spark
         self._held: list[tuple[DataFrame, str]] = []
 
-    def put(self, df: DataFrame, label: str) -> DataFrame:
-        """Write and read ``df``; one of ``SMALL_BYTES`` at most is read in one partition, so that joins and aggregates among such tables need no exchange."""
+    def put(self, df: DataFrame, label: str, gather: bool = True) -> DataFrame:
+        """Write and read ``df``; if ``gather``, one of ``SMALL_BYTES`` at most is read in one partition, so that joins and aggregates among such tables need no exchange."""
         path = scratch_path(self._spark, label)
         out = written(df, path)
-        if size_of(self._spark, path) <= SMALL_BYTES:
+        if gather and size_of(self._spark, path) <= SMALL_BYTES:
             out = out.coalesce(1)
         self._held.append((out, path))
         return out

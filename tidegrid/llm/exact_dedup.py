@@ -64,7 +64,7 @@ class DigestIndex:
         arrival = arrival or uuid.uuid4().hex
         arrived = docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest")).groupBy("digest").agg(F.max("id").alias("last_id"), F.count(F.lit(1)).alias("group_size"))
         with Scratch(self.spark) as scratch:
-            arrived = scratch.put(arrived, "digest-arrival")
+            arrived = scratch.put(arrived, "digest-arrival", gather=False)
             known = self.entries()
             fresh = arrived.join(known.hint("merge"), "digest", "left_anti")
             fresh = fresh.select("digest", F.col("last_id").alias("keep_id"), "group_size", F.lit(True).alias("is_new"), F.lit(True).alias("missing"))

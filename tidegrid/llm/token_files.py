@@ -1,12 +1,12 @@
 """Token-id files: whole texts tokenised, range coded in checksummed blocks, and read back.
 
 A file set is a Parquet folder whose rows are segments of whole documents in ascending doc_id order:
-the part and segment number, the documents' ids and lengths, the order-0 table, and the blocks with their
+the part and segment number, the ids of that part before it, the documents' ids and lengths, the order-0 table, and the blocks with their
 checksums (see ``range_coder``). A segment is read on its own; a block that fails its checksum raises.
 
 Defined results: a null text counts as empty and has the end id alone; rows repeated with one doc_id stand
 side by side in the order of their text's hash; an empty table gives an empty set; other columns aren't
-read. Rows without a doc_id come first.
+read. Rows without a doc_id come first. Ids above 65535 raise ValueError.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from tidegrid.llm import range_coder
 from tidegrid.llm.common import scratch_path, texts
 from tidegrid.llm.tokens import text_groups, worker_tokenizer
 
-SCHEMA = "part int, segment int, n_ids long, doc_ids array<long>, n_tokens array<long>, order0 binary, blocks array<binary>, sums array<long>"
+SCHEMA = "part int, segment int, at long, n_ids long, doc_ids array<long>, n_tokens array<long>, order0 binary, blocks array<binary>, sums array<long>"
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(path, words=False)
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, at = TaskContext.get().partitionId(), 0, 0
         docs: list[int] = []
         counts: list[np.ndarray] = []
         held: list[np.ndarray] = []
@@ -38,8 +38,8 @@ def _encode(path: str, end_id: int):
         def segment() -> pa.RecordBatch:
             ids, n = np.concatenate(held), np.concatenate(counts)
             table, codes, sums = range_coder.encode_checked(ids)
-            columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([table], pa.binary()), pa.array([codes], pa.list_(pa.binary())), pa.array([sums], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["part", "segment", "n_ids", "doc_ids", "n_tokens", "order0", "blocks", "sums"])
+            columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([at], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([table], pa.binary()), pa.array([codes], pa.list_(pa.binary())), pa.array([sums], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["part", "segment", "at", "n_ids", "doc_ids", "n_tokens", "order0", "blocks", "sums"])
 
         for batch in batches:
             names = batch.column(0).to_pylist()
@@ -52,7 +52,7 @@ def _encode(path: str, end_id: int):
                 docs += names[first : first + len(group)]
                 if sum(map(len, held)) >= range_coder.SEGMENT_IDS:
                     yield segment()
-                    number += 1
+                    number, at = number + 1, at + sum(map(len, held))
                     docs, counts, held = [], [], []
         if docs:
             yield segment()
@@ -70,23 +70,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files alone."""
     files = spark.read.schema(SCHEMA).parquet(path)
-    # One number for each segment: a few for each task that has written.
-    totals = sorted((r["part"], r["segment"], r["n_ids"]) for r in files.select("part", "segment", "n_ids").collect())
-    at, starts = 0, {}
-    for part, segment, n in totals:
-        starts[part, segment] = at
-        at += n
+    # One number for each task that has written; where a segment begins in its part stands in the file.
+    totals = sorted(files.groupBy("part").agg(F.max(F.col("at") + F.col("n_ids")).alias("n")).collect())
+    begun, starts = 0, {}
+    for part, n in totals:
+        starts[part] = begun
+        begun += n
     starts = spark.sparkContext.broadcast(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part, segment, n_ids, docs, n, table, codes, sums = (c[i].as_py() for c in batch.columns)
+                part, _, at, n_ids, docs, n, table, codes, sums = (c[i].as_py() for c in batch.columns)
                 ids = range_coder.decode_checked(table, codes, sums, n_ids).astype("<u4", copy=False)
                 n = np.array(n, np.int64)
                 ends = np.cumsum(n)
                 crc = [zlib.crc32(ids[e - k : e].tobytes()) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts.value[part, segment] + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts.value[part] + at + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
