@@ -84,6 +84,26 @@ def test_token_files(spark, odd_docs, no_docs, tmp_path, monkeypatch):
     assert token_files.round_trip(no_docs, path).count() == 0
 
 
+def test_segments_of_a_part(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j}" for j in range(i % 30))) for i in range(400)], "doc_id long, text string").coalesce(1)
+    path = tokenizer_file("byte_bpe_50k.json")
+    want = sorted(tuple(r) for r in token_files.round_trip(docs, path, path=f"{tmp_path}/whole").collect())
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        token_files.write_tokens(docs, f"{tmp_path}/cut", path, segment_ids=900)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert sorted(tuple(r) for r in token_files.read_tokens(spark, f"{tmp_path}/cut").collect()) == want
+    parts: dict[int, list] = {}
+    for r in spark.read.parquet(f"{tmp_path}/cut").select("part", "segment", "at", "n_ids").orderBy("part", "segment").collect():
+        parts.setdefault(r.part, []).append(r)
+    assert max(map(len, parts.values())) > 1
+    for rows in parts.values():
+        assert [r.at for r in rows] == [sum(x.n_ids for x in rows[:k]) for k in range(len(rows))]
+        assert len(rows) == 1 or min(r.n_ids for r in rows) >= 900  # none is short
+
+
 def test_packing(spark, odd_docs, no_docs):
     path = tokenizer_file("word_bpe_49k.json")
     own = Tokenizer.from_file(path)

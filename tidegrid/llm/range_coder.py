@@ -18,7 +18,7 @@ import numpy as np
 
 #: Ids in a block.
 BLOCK_IDS = 4096
-#: Ids that are coded at a time; a segment is made of whole documents of about so many ids.
+#: Ids that are coded at a time; a segment is made of whole documents of about so many ids, the last of a part of up to twice as many.
 SEGMENT_IDS = 4_000_000
 #: No id above this.
 MAX_ID = 65_535

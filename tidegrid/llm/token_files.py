@@ -27,16 +27,15 @@ from tidegrid.llm.tokens import text_groups, worker_tokenizer
 SCHEMA = "part int, segment int, at long, n_ids long, doc_ids array<long>, n_tokens array<long>, order0 binary, blocks array<binary>, sums array<long>"
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(path, words=False)
         part, number, at = TaskContext.get().partitionId(), 0, 0
-        docs: list[int] = []
-        counts: list[np.ndarray] = []
-        held: list[np.ndarray] = []
+        held: list[tuple[list[int], np.ndarray, np.ndarray]] = []
 
-        def segment() -> pa.RecordBatch:
-            ids, n = np.concatenate(held), np.concatenate(counts)
+        def segment(groups: list[tuple[list[int], np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            docs = [d for names, _, _ in groups for d in names]
+            n, ids = np.concatenate([g[1] for g in groups]), np.concatenate([g[2] for g in groups])
             table, codes, sums = range_coder.encode_checked(ids)
             columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([at], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([table], pa.binary()), pa.array([codes], pa.list_(pa.binary())), pa.array([sums], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(columns, ["part", "segment", "at", "n_ids", "doc_ids", "n_tokens", "order0", "blocks", "sums"])
@@ -47,24 +46,24 @@ def _encode(path: str, end_id: int):
                 ids, n = tokenizer.encode(group)
                 if len(ids) and ids.max() > range_coder.MAX_ID:
                     raise ValueError("ids above 65535 can't be coded")
-                held.append(np.insert(ids, np.cumsum(n), np.uint32(end_id)).astype(np.uint16))
-                counts.append(n + 1)
-                docs += names[first : first + len(group)]
-                if sum(map(len, held)) >= range_coder.SEGMENT_IDS:
-                    yield segment()
-                    number, at = number + 1, at + sum(map(len, held))
-                    docs, counts, held = [], [], []
-        if docs:
-            yield segment()
+                held.append((names[first : first + len(group)], n + 1, np.insert(ids, np.cumsum(n), np.uint32(end_id)).astype(np.uint16)))
+                sizes = np.cumsum([len(g[2]) for g in held])
+                # A segment goes once another one can follow, so that a part's last one isn't short: numpy takes few blocks as long as many.
+                if sizes[-1] >= 2 * segment_ids:
+                    k = int(np.searchsorted(sizes, segment_ids)) + 1
+                    yield segment(held[:k])
+                    number, at, held = number + 1, at + int(sizes[k - 1]), held[k:]
+        if held:
+            yield segment(held)
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = range_coder.SEGMENT_IDS) -> None:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # By id and text, so that one repeated id doesn't make a part of its own too large.
     order = ["doc_id", F.xxhash64("text")]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_encode(tokenizer_path, end_id), SCHEMA).write.parquet(path)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_encode(tokenizer_path, end_id, segment_ids), SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
