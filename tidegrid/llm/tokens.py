@@ -1,11 +1,12 @@
 """Exact tokenisation of whole texts with a memo of pieces.
 
 Byte-level and word BPE never merge across the start of a run of white space, so a text's ids are those
-of its pieces one after the other. Pieces repeat, so each is encoded by the ``tokenizers`` library once
-and remembered; when the memo is full, pieces met once are forgotten, which bounds a worker's memory. A new piece of plain
-letters, digits and signs is cut by the tokenizer's own pattern, and new cuts are encoded many at a time by a
-tokenizer of the same vocabulary and merges that only splits at spaces, which leaves out the library's slow
-cutting; every other piece goes through the library as it is.
+of its pieces one after the other. Pieces repeat: Arrow numbers those of a group of texts, and only its different
+ones are looked up in the worker's memo, where each has been encoded by the ``tokenizers`` library once; when the memo
+is full, pieces met once are forgotten, which bounds a worker's memory. New pieces of plain letters, digits and signs
+are cut together by the tokenizer's own pattern, and new cuts are encoded many at a time by a tokenizer of the same
+vocabulary and merges that only splits at spaces, which leaves out the library's slow cutting; every other piece
+goes through the library as it is.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
+from itertools import compress, repeat
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMO_PIECES = 400_000
 
@@ -25,11 +27,11 @@ _PIECE = re.compile(r"\s*[^ \t\n\r]+|\s+")
 _OTHER_SPACE = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: White space that isn't a single space or line end between words.
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
-#: Pieces that every Unicode version and normal form takes alike.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00c0-\u00ff]*")
-#: The patterns that the two kinds of tokenizer cut texts by.
-_CUT_BYTES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_CUT_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What makes a piece other than plain: a character that not every Unicode version and normal form takes alike, or a special token's mark.
+_ODD = r"[^\t\n\r\x20-\x7e\x{c0}-\x{ff}]|<\|"
+#: The patterns that the two kinds of tokenizer cut texts by, for plain characters (a line end parts the pieces of words).
+_CUT_BYTES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+_CUT_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\n|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 
 
 def _byte_letters() -> dict[str, str]:
@@ -41,15 +43,21 @@ def _byte_letters() -> dict[str, str]:
 
 
 class _Memo(dict):
-    """Piece to number; a piece that isn't known gets the next one and is noted."""
+    """Piece to number; pieces that aren't known get the next ones and are noted."""
 
     def __init__(self):
         self.fresh: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self)
-        self.fresh.append(piece)
-        return n
+    def numbers(self, names: list[str] | np.ndarray) -> np.ndarray:
+        number = np.fromiter(map(self.get, names, repeat(-1)), np.int64, len(names))
+        unknown = number < 0
+        if unknown.any():
+            new = list(compress(names, unknown))
+            fresh = list(dict.fromkeys(new))
+            self.update(zip(fresh, range(len(self), len(self) + len(fresh)), strict=True))
+            self.fresh += fresh
+            number[unknown] = np.fromiter(map(self.__getitem__, new), np.int64, len(new))
+        return number
 
 
 class _Ragged:
@@ -84,6 +92,11 @@ class PieceTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         plain = json.loads(self._tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}
         self._plain = Tokenizer.from_str(json.dumps(plain))
+        suffix = plain["model"].get("end_of_word_suffix") or ""
+        vocabulary = self._plain.get_vocab()
+        self._id_chars = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self._id_chars[i] = len(token) - len(suffix) * (suffix != "" and token.endswith(suffix))
         self._words = words
         self._cut = (_CUT_WORDS if words else _CUT_BYTES).findall
         self._letters = _byte_letters()
@@ -93,6 +106,9 @@ class PieceTokenizer:
         self._memo = _Memo()
         if len(getattr(self, "_cuts", ())) > MEMO_PIECES or not hasattr(self, "_cuts"):
             self._cuts, self._cut_ids = _Memo(), _Ragged()
+            if self._words:  # what parts pieces has no ids
+                self._cuts["\n"] = 0
+                self._cut_ids.extend(np.zeros(0, np.uint32), np.zeros(1, np.int64))
         self._known = _Ragged()
         self._met = np.zeros(1 << 16, np.int64)
 
@@ -113,16 +129,31 @@ class PieceTokenizer:
         for k, (p, _) in enumerate(kept):
             self._memo[p] = k
 
-    def _pieces(self, text: str) -> list[str]:
+    def _simple(self, text: str) -> bool:
+        """Whether single spaces and line ends are all the white space there is, none of it at either end."""
+        return not (_OTHER_SPACE.search(text) or any(r in text for r in _RUNS) or text[:1] in ("", " ", "\n") or text[-1] in " \n")
+
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Memo numbers of all texts' pieces one after the other, and how many each text has."""
         if self._words:
-            return text.replace("\n", " ").split(" ")
-        if _OTHER_SPACE.search(text):
-            return [f"\0{text}"]
-        if any(r in text for r in _RUNS) or text[:1] in ("", " ", "\n") or text[-1] in " \n":
-            return [f"\0{p}" for p in _PIECE.findall(text)]
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = f"\0{pieces[0]}"
-        return pieces
+            return self._split_numbers([t.replace("\n", " ") for t in texts])
+        simple = np.fromiter(map(self._simple, texts), bool, len(texts))
+        number, n = self._split_numbers(["\0" + t.replace("\n", " \n") for t, s in zip(texts, simple, strict=True) if s])
+        if simple.all():
+            return number, n
+        parts = np.empty(len(texts), object)
+        for i, part in zip(np.flatnonzero(simple), np.split(number, np.cumsum(n)[:-1]), strict=False):
+            parts[i] = part
+        for i in np.flatnonzero(~simple):
+            own = [texts[i]] if _OTHER_SPACE.search(texts[i]) else _PIECE.findall(texts[i])
+            parts[i] = self._memo.numbers([f"\0{p}" for p in own])
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _split_numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        found = lists.values.dictionary_encode()
+        number = self._memo.numbers(found.dictionary.to_numpy(zero_copy_only=False))
+        return number[found.indices.to_numpy()], np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
     def _text_of(self, piece: str) -> str:
         """A byte-level piece has a space before it, unless it is marked as it stands or begins with a line end."""
@@ -130,29 +161,38 @@ class PieceTokenizer:
             return piece
         return piece[1:] if piece[:1] == "\0" else f" {piece}"
 
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces one after the other, and how many each has."""
-        number, odd, per_piece = self._cuts.__getitem__, [], []
-        cuts: list[int] = []
-        for p in map(self._text_of, pieces):
-            if p.isascii() and (p.isalpha() or p[:1] == " " and p[1:].isalpha()):
-                cuts.append(number(p.lower() if self._words else p))
-                per_piece.append(1)
-            elif "<|" in p or not _PLAIN.fullmatch(p):
-                name = f"\0{p}"  # encoded as it is; a cut that was learned before has its ids
-                if name not in self._cuts:
-                    odd.append(p)
-                cuts.append(number(name))
-                per_piece.append(1)
-            else:
-                own = self._cut(p.lower() if self._words else p)
-                cuts += map(number, own)
-                per_piece.append(len(own))
+    def _cut_together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the cuts of plain pieces, and how many each piece has (with what parts it from the next, if anything)."""
+        if not pieces:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        own = self._cut("\n".join([*pieces, ""]).lower() if self._words else "".join(pieces))
+        cuts = self._cuts.numbers(own)
+        if self._words:
+            ends = np.flatnonzero(cuts == 0) + 1
+        else:  # cuts leave nothing out
+            at = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            ends = np.searchsorted(at, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))) + 1
+        return cuts, np.diff(ends, prepend=0)
+
+    def _encode_plain(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not cuts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        joined = " ".join(cuts)
+        ids = np.array(self._plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        # The fast call doesn't say which cut an id is of, but the ids' characters are the cuts', one after the other.
+        upto, ends = np.cumsum(self._id_chars[ids]), np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))
+        last = np.searchsorted(upto, ends)
+        if last[-1] == len(ids) - 1 and (upto[last] == ends).all():
+            return ids, np.diff(last, prepend=-1)
+        e = self._plain.encode(joined, add_special_tokens=False)  # a vocabulary without some of the letters
+        return np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(cuts))
+
+    def _encode_cuts(self, odd: list[str]) -> None:
+        """Learn the ids of the cuts that are new; ``odd``: those of them that the library takes as they are, in order."""
         fresh, self._cuts.fresh = self._cuts.fresh, []
         whole = iter(self._tokenizer.encode_batch(odd, add_special_tokens=False)) if odd else iter(())
         plain = [c for c in fresh if c[:1] != "\0"]
-        e = self._plain.encode(" ".join([c.translate(self._letters) for c in plain]), add_special_tokens=False)
-        ids, n = np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(plain)) if plain else np.zeros(0, np.int64)
+        ids, n = self._encode_plain([c.translate(self._letters) for c in plain])
         if len(plain) < len(fresh):
             parts, at, k = [], 0, 0
             for c in fresh:
@@ -163,8 +203,35 @@ class PieceTokenizer:
                     at, k = at + int(n[k]), k + 1
             ids, n = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
         self._cut_ids.extend(ids, n)
-        flat, counts = self._cut_ids.take(np.array(cuts, np.int64))
-        return flat, np.add.reduceat(np.append(counts, 0), np.cumsum([0, *per_piece[:-1]])) * (np.array(per_piece) > 0)
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after the other, and how many each has."""
+        shown = list(map(self._text_of, pieces))
+        is_odd = pc.match_substring_regex(pa.array(shown, pa.large_string()), _ODD).to_numpy(zero_copy_only=False)
+        # Pieces of words are cut together, as are those that begin with their only white space and go on after it.
+        alone = is_odd if self._words else is_odd | np.fromiter((p[:1] == "\0" for p in pieces), bool, len(pieces))
+        together, n = self._cut_together([shown[i] for i in np.flatnonzero(~alone)])
+        cuts, odd = np.empty(len(pieces), object), []
+        per_piece = np.zeros(len(pieces), np.int64)
+        per_piece[~alone] = n
+        for i in np.flatnonzero(alone):
+            if is_odd[i]:
+                name = f"\0{shown[i]}"  # encoded as it is; a cut that was learned before has its ids
+                if name not in self._cuts:
+                    odd.append(shown[i])
+                cuts[i] = self._cuts.numbers([name])
+            else:
+                cuts[i] = self._cuts.numbers(self._cut(shown[i]))
+            per_piece[i] = len(cuts[i])
+        self._encode_cuts(odd)
+        number = np.zeros(int(per_piece.sum()), np.int64)
+        is_alone = np.repeat(alone, per_piece)
+        number[~is_alone] = together
+        if is_alone.any():
+            number[is_alone] = np.concatenate(cuts[alone])
+        flat, counts = self._cut_ids.take(number)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        return flat, np.diff(upto[np.concatenate([[0], np.cumsum(per_piece)])])
 
     def _learn(self) -> None:
         fresh, self._memo.fresh = self._memo.fresh, []
@@ -175,9 +242,7 @@ class PieceTokenizer:
         """Ids of all texts one after the other (uint32), and how many each has."""
         if len(self._memo) > MEMO_PIECES:
             self._forget()
-        pieces = [self._pieces(t) for t in texts]
-        n = np.array([len(p) for p in pieces], np.int64)
-        number = np.fromiter(map(self._memo.__getitem__, chain.from_iterable(pieces)), np.int64, int(n.sum()))
+        number, n = self._numbers(texts)
         if self._memo.fresh:
             self._learn()
         self._met = _room(self._met, len(self._memo))
@@ -206,7 +271,7 @@ def worker_tokenizer(path: str, words: bool) -> PieceTokenizer:
     return _workers[path, words]
 
 
-def text_groups(rows: list[str], chars: int = 1_000_000):
+def text_groups(rows: list[str], chars: int = 4_000_000):
     """(first, texts) of about ``chars`` characters each; a longer text is a group of its own."""
     i = 0
     while i < len(rows):
