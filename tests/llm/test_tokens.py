@@ -43,6 +43,14 @@ def test_any_text(pair, text):
     assert pair[0].encode([text])[0].tolist() == pair[1].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("texts", [[], [""], ["a  b", " c", "\t"], ["\0", "x\u2003y"], ["one two\nthree", "don't\n's 12", "", "é÷ <|x|> ²", "one  two\nthree"]])
+@pytest.mark.parametrize("name,words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_groups_of_simple_and_other_texts(name, words, texts):
+    ids, n = PieceTokenizer(tokenizer_file(name), words).encode(texts)
+    library = Tokenizer.from_file(tokenizer_file(name)).encode_batch(texts, add_special_tokens=False)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == [e.ids for e in library]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 1000])
 @pytest.mark.parametrize("kind", ["few", "many", "one", "edges"])
 def test_coder_round_trip(n, kind):

@@ -28,7 +28,10 @@ _TOP = np.uint64(1 << 48)
 _BOTTOM = np.uint64(1 << 40)
 _U = np.uint64
 _U0, _U16, _U32, _U48, _ALL = _U(0), _U(16), _U(32), _U(48), _U(65_536)
-_SEVEN, _ONE, _THREE, _ID = np.uint32(7), np.uint32(1), np.uint32(3), np.uint32(0xFFFFFFF8)
+_SEVEN, _THREE, _ID = np.uint32(7), np.uint32(3), np.uint32(0xFFFFFFF8)
+_K1, _K2, _K3, _SLOT_SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(32 - _SLOT_BITS)
+#: The next run by what it was, after a miss and then after a hit.
+_NEXT_RUN = np.array([*(run // 2 for run in range(8)), *(min(run + 1, 7) for run in range(8))], np.uint32)
 _MASK, _LAST = _BOTTOM - _U(1), _U(65_535)
 
 
@@ -63,44 +66,48 @@ def unpack_order0(data: bytes) -> np.ndarray:
 
 
 class _Model:
-    """Predictions of all lanes; entries are id * 8 + run."""
+    """Predictions of all lanes, order 1 in the first row of each array and order 2 in the second; entries are id * 8 + run."""
 
     def __init__(self, lanes: int):
         size = 1 << _SLOT_BITS
-        self.t1, self.t2 = np.zeros(lanes * size, np.uint32), np.zeros(lanes * size, np.uint32)
-        self.a1, self.a2 = np.full(lanes * 8, 6000, np.int32), np.full(lanes * 8, 6000, np.int32)
-        self.base, self.base8 = np.arange(lanes, dtype=np.int64) << _SLOT_BITS, np.arange(lanes, dtype=np.int64) * 8
-        self.c1, self.c2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-
-    def predict(self, n: int):
-        """Order-2 and order-1 ids of the first ``n`` lanes and the shares of 65536 that they get."""
-        c1, c2 = self.c1[:n], self.c2[:n]
-        h1 = c1 * np.uint32(0x9E3779B1)
-        h2 = (h1 ^ (c2 * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
-        self.s1 = self.base[:n] + (h1 >> np.uint32(32 - _SLOT_BITS))
-        self.s2 = self.base[:n] + (h2 >> np.uint32(32 - _SLOT_BITS))
-        self.e1, self.e2 = self.t1.take(self.s1), self.t2.take(self.s2)
-        self.k1, self.k2 = self.base8[:n] + (self.e1 & _SEVEN), self.base8[:n] + (self.e2 & _SEVEN)
-        self.p1, self.p2 = self.e1 >> _THREE, self.e2 >> _THREE
-        self.v1, self.v2 = f1, f2 = self.a1.take(self.k1), self.a2.take(self.k2)
-        agree = self.p1 == self.p2
+        self.t, self.a = np.zeros(2 * lanes * size, np.uint32), np.full(2 * lanes * 8, 6000, np.int32)
+        self.base = (np.arange(2 * lanes, dtype=np.int64) << _SLOT_BITS).reshape(2, lanes)
+        self.base8 = (np.arange(2 * lanes, dtype=np.int64) * 8).reshape(2, lanes)
+        self.c, self.h = np.zeros((2, lanes), np.uint32), np.zeros((2, lanes), np.uint32)
+
+    def without_last(self) -> None:
+        """Go on without the last lane."""
+        self.base, self.base8, self.c, self.h = (np.ascontiguousarray(x[:, :-1]) for x in (self.base, self.base8, self.c, self.h))
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of 65536 that the order-2 and order-1 ids get; the ids are in ``p``."""
+        h, c = self.h, self.c
+        np.multiply(c[0], _K1, out=h[0])
+        np.multiply(c[1], _K2, out=h[1])
+        h[1] ^= h[0]
+        h[1] *= _K3
+        self.slot = self.base + (h >> _SLOT_SHIFT)
+        self.e = self.t.take(self.slot)
+        self.run = self.e & _SEVEN
+        self.k = self.base8 + self.run
+        self.p = self.e >> _THREE
+        self.v = self.a.take(self.k)
+        f1, f2 = self.v
+        other = self.p[0] != self.p[1]
+        h1 = f1 >> 1
         # Where both orders say the same id, their doubts are multiplied and order 1 has no interval of its own.
-        f2 = f2 + (f1 - ((f2 >> 1) * (f1 >> 1) >> 14)) * agree
+        f2 = f2 + (f1 - ((f2 >> 1) * h1 >> 14)) * ~other
         f2 = np.minimum(np.maximum(f2, 32), 64_000)
-        f1 = np.maximum((65_536 - f2 >> 1) * (f1 >> 1) >> 14, 32) * ~agree
-        return f2, f1
-
-    def update(self, n: int, s: np.ndarray) -> None:
-        hit1, hit2 = self.p1 == s, self.p2 == s
-        for a, k, v, hit in ((self.a1, self.k1, self.v1, hit1), (self.a2, self.k2, self.v2, hit2)):
-            a[k] = v + (((hit.astype(np.int32) << 16) - v) >> 5)
-        for t, at, e, hit in ((self.t1, self.s1, self.e1, hit1), (self.t2, self.s2, self.e2, hit2)):
-            run = e & _SEVEN
-            keep = hit | (run > 1)
-            held = (e & _ID) | (np.minimum(run + _ONE, _SEVEN) * hit + (run >> _ONE) * ~hit)
-            t[at] = held * keep + (s << _THREE) * ~keep
-        self.c2[:n] = self.c1[:n]
-        self.c1[:n] = s
+        return f2, np.maximum((65_536 - f2 >> 1) * h1 >> 14, 32) * other
+
+    def update(self, hit: np.ndarray, s: np.ndarray) -> None:
+        self.a[self.k] = self.v + (((hit.astype(np.int32) << 16) - self.v) >> 5)
+        # A run grows with a hit and halves without one; an id whose run was 1 at most makes room for the new one.
+        keep = hit | (self.run > 1)
+        runs = _NEXT_RUN.take((hit.view(np.uint8) << 3) + self.run)
+        self.t[self.slot] = (self.e & _ID) * keep + (s << _THREE) * ~keep + runs
+        self.c[1] = self.c[0]
+        self.c[0] = s
 
 
 def _lengths(n: int, block: int) -> np.ndarray:
@@ -114,23 +121,28 @@ def encode(ids: np.ndarray, freq: np.ndarray, block: int = BLOCK_IDS) -> list[by
     lanes = len(lengths)
     if not lanes:
         return []
-    grid = np.zeros(lanes * block, np.uint32)
+    grid = np.zeros(lanes * block, np.uint16)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
     cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
     freq = freq.astype(np.uint64)
     model = _Model(lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, used = np.zeros((lanes, 2 * block + 16), np.uint16), np.zeros(lanes, np.int64)
+    width = 2 * block + 16
+    out, begun = np.zeros(lanes * width, np.uint16), np.arange(lanes, dtype=np.int64) * width
+    end = begun.copy()
     for t in range(block):
         n = lanes if t < lengths[-1] else lanes - 1
         if not n:
             break
-        s = grid[t, :n]
-        f2, f1 = model.predict(n)
+        if t == lengths[-1]:
+            model.without_last()
+        s = grid[t, :n].astype(np.uint32)
+        f2, f1 = model.predict()
         f2u, both = f2.astype(np.uint64), (f2 + f1).astype(np.uint64)
-        hit2 = model.p2 == s
-        hit1 = (model.p1 == s) & ~hit2
+        hit = model.p == s
+        hit2 = hit[1]
+        hit1 = hit[0] > hit2
         rest = _ALL - both
         # Products with flags instead of choices: numpy is several times faster at them.
         miss = ~(hit1 | hit2)
@@ -138,25 +150,27 @@ def encode(ids: np.ndarray, freq: np.ndarray, block: int = BLOCK_IDS) -> list[by
         both <<= _U16
         start = f2u * hit1 + (both + rest * cum.take(s)) * miss
         size = f2u * hit2 + (both - f2u) * hit1 + rest * freq.take(s) * miss
-        model.update(n, s)
+        model.update(hit, s)
         r = rng[:n] >> _U32
         low[:n] += r * start
         rng[:n] = r * size
-        at = None
+        at, lo, ra = None, low[:n], rng[:n]
         while True:
-            lo, ra = (low[:n], rng[:n]) if at is None else (low.take(at), rng.take(at))
             settled = (lo ^ (lo + ra)) < _TOP
             m = (settled | (ra < _BOTTOM)).nonzero()[0]
             if not len(m):
                 break
             at = m if at is None else at.take(m)
             lo, ra = lo.take(m), np.where(settled.take(m), ra.take(m), (_U0 - lo.take(m)) & _MASK)
-            out[at, used[at]] = lo >> _U48
-            used[at] += 1
-            low[at], rng[at] = lo << _U16, ra << _U16
+            to = end.take(at)
+            out[to] = lo >> _U48
+            end[at] = to + 1
+            lo <<= _U16
+            ra <<= _U16
+            low[at], rng[at] = lo, ra
     for i in range(4):
-        out[np.arange(lanes), used + i] = (low >> _U(48 - 16 * i)).astype(np.uint16)
-    return [out[i, : used[i] + 4].astype(">u2").tobytes() for i in range(lanes)]
+        out[end + i] = (low >> _U(48 - 16 * i)).astype(np.uint16)
+    return [out[i:j].astype(">u2").tobytes() for i, j in zip(begun.tolist(), (end + 4).tolist(), strict=True)]
 
 
 def decode(codes: list[bytes], n_ids: int, freq: np.ndarray, block: int = BLOCK_IDS) -> np.ndarray:
@@ -166,7 +180,7 @@ def decode(codes: list[bytes], n_ids: int, freq: np.ndarray, block: int = BLOCK_
     if not lanes:
         return np.zeros(0, np.uint32)
     width = max(map(len, codes)) // 2 + 8
-    data = np.zeros((lanes, width), np.uint64)
+    data = np.zeros((lanes, width), np.uint16)
     for i, c in enumerate(codes):
         data[i, : len(c) // 2] = np.frombuffer(c, ">u2")
     data = data.reshape(-1)
@@ -180,12 +194,14 @@ def decode(codes: list[bytes], n_ids: int, freq: np.ndarray, block: int = BLOCK_
     for i in range(4):
         code = (code << _U16) | data[read + i]
     read += 4
-    grid = np.zeros((block, lanes), np.uint32)
+    grid = np.zeros((block, lanes), np.uint16)
     for t in range(block):
         n = lanes if t < lengths[-1] else lanes - 1
         if not n:
             break
-        f2, f1 = model.predict(n)
+        if t == lengths[-1]:
+            model.without_last()
+        f2, f1 = model.predict()
         f2u, both = f2.astype(np.uint64), (f2 + f1).astype(np.uint64)
         r = rng[:n] >> _U32
         v = np.minimum((code[:n] - low[:n]) // r, _U(2**32 - 1))
@@ -196,26 +212,28 @@ def decode(codes: list[bytes], n_ids: int, freq: np.ndarray, block: int = BLOCK_
         hit1 = ~(hit2 | miss)
         slot = (v - both) * miss // rest
         literal = at_slot.take(np.minimum(slot, _LAST).astype(np.int64))
-        s = model.p2 * hit2 + model.p1 * hit1 + literal * miss
+        s = model.p[1] * hit2 + model.p[0] * hit1 + literal * miss
         start = f2u * hit1 + (both + rest * cum.take(s)) * miss
         size = f2u * hit2 + (both - f2u) * hit1 + rest * freq.take(s) * miss
         grid[t, :n] = s
-        model.update(n, s)
+        model.update(model.p == s, s)
         low[:n] += r * start
         rng[:n] = r * size
-        at = None
+        at, lo, ra = None, low[:n], rng[:n]
         while True:
-            lo, ra = (low[:n], rng[:n]) if at is None else (low.take(at), rng.take(at))
             settled = (lo ^ (lo + ra)) < _TOP
             m = (settled | (ra < _BOTTOM)).nonzero()[0]
             if not len(m):
                 break
             at = m if at is None else at.take(m)
             lo, ra = lo.take(m), np.where(settled.take(m), ra.take(m), (_U0 - lo.take(m)) & _MASK)
-            code[at] = (code.take(at) << _U16) | data.take(read.take(at))
-            read[at] += 1
-            low[at], rng[at] = lo << _U16, ra << _U16
-    return grid.T.reshape(-1)[:n_ids].copy()
+            to = read.take(at)
+            code[at] = (code.take(at) << _U16) | data.take(to)
+            read[at] = to + 1
+            lo <<= _U16
+            ra <<= _U16
+            low[at], rng[at] = lo, ra
+    return grid.T.reshape(-1)[:n_ids].astype(np.uint32)
 
 
 def checksum(ids: np.ndarray) -> int:

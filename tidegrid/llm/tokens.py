@@ -28,7 +28,8 @@ _OTHER_SPACE = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u20
 #: White space that isn't a single space or line end between words.
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 #: What makes a piece other than plain: a character that not every Unicode version and normal form takes alike, or a special token's mark.
-_ODD = r"[^\t\n\r\x20-\x7e\x{c0}-\x{ff}]|<\|"
+_ODD = r"[^\t\n\r -~À-ÿ]|<\|"
+_ODD_TEXT = re.compile(_ODD)
 #: The patterns that the two kinds of tokenizer cut texts by, for plain characters (a line end parts the pieces of words).
 _CUT_BYTES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
 _CUT_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\n|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+")
@@ -118,16 +119,15 @@ class PieceTokenizer:
         least = 2
         while (met >= least).sum() > MEMO_PIECES // 2:
             least *= 2
-        kept = [(p, i) for p, i in memo.items() if met[i] >= least]
+        keep = met >= least
+        kept = list(compress(memo, keep))  # in the order of their numbers
         known = self._known
         self._reset()
         if not kept:
             return
-        old = np.array([i for _, i in kept], np.int64)
-        self._known.extend(*known.take(old))
-        self._met = met[old] // 2
-        for k, (p, _) in enumerate(kept):
-            self._memo[p] = k
+        self._known.extend(*known.take(np.flatnonzero(keep)))
+        self._met = met[keep] // 2
+        self._memo.update(zip(kept, range(len(kept)), strict=True))
 
     def _simple(self, text: str) -> bool:
         """Whether single spaces and line ends are all the white space there is, none of it at either end."""
@@ -165,13 +165,17 @@ class PieceTokenizer:
         """Numbers of the cuts of plain pieces, and how many each piece has (with what parts it from the next, if anything)."""
         if not pieces:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        own = self._cut("\n".join([*pieces, ""]).lower() if self._words else "".join(pieces))
-        cuts = self._cuts.numbers(own)
         if self._words:
-            ends = np.flatnonzero(cuts == 0) + 1
-        else:  # cuts leave nothing out
-            at = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
-            ends = np.searchsorted(at, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))) + 1
+            own = self._cut("\n".join([*pieces, ""]).lower())
+            cuts = self._cuts.numbers(own)
+            return cuts, np.diff(np.flatnonzero(cuts == 0), prepend=-1)
+        # As in `_text_of`, a piece has a space before it unless it begins with a line end; cuts leave nothing out.
+        joined = " ".join(["", *pieces]).replace(" \n", "\n")
+        own = self._cut(joined)
+        cuts = self._cuts.numbers(own)
+        at = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+        spaced = ~pc.starts_with(pa.array(pieces, pa.large_string()), "\n").to_numpy(zero_copy_only=False)
+        ends = np.searchsorted(at, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + spaced)) + 1
         return cuts, np.diff(ends, prepend=0)
 
     def _encode_plain(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,22 +210,21 @@ class PieceTokenizer:
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after the other, and how many each has."""
-        shown = list(map(self._text_of, pieces))
-        is_odd = pc.match_substring_regex(pa.array(shown, pa.large_string()), _ODD).to_numpy(zero_copy_only=False)
-        # Pieces of words are cut together, as are those that begin with their only white space and go on after it.
-        alone = is_odd if self._words else is_odd | np.fromiter((p[:1] == "\0" for p in pieces), bool, len(pieces))
-        together, n = self._cut_together([shown[i] for i in np.flatnonzero(~alone)])
+        held = pa.array(pieces, pa.large_string())
+        alone = pc.match_substring_regex(held, _ODD).to_numpy(zero_copy_only=False)  # the mark \0 is odd too
+        together, n = self._cut_together(list(compress(pieces, ~alone)))
         cuts, odd = np.empty(len(pieces), object), []
         per_piece = np.zeros(len(pieces), np.int64)
         per_piece[~alone] = n
         for i in np.flatnonzero(alone):
-            if is_odd[i]:
-                name = f"\0{shown[i]}"  # encoded as it is; a cut that was learned before has its ids
+            shown = self._text_of(pieces[i])
+            if _ODD_TEXT.search(shown):
+                name = f"\0{shown}"  # encoded as it is; a cut that was learned before has its ids
                 if name not in self._cuts:
-                    odd.append(shown[i])
+                    odd.append(shown)
                 cuts[i] = self._cuts.numbers([name])
             else:
-                cuts[i] = self._cuts.numbers(self._cut(shown[i]))
+                cuts[i] = self._cuts.numbers(self._cut(shown))
             per_piece[i] = len(cuts[i])
         self._encode_cuts(odd)
         number = np.zeros(int(per_piece.sum()), np.int64)
