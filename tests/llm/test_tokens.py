@@ -43,6 +43,13 @@ def test_any_text(pair, text):
     assert pair[0].encode([text])[0].tolist() == pair[1].encode(text, add_special_tokens=False).ids
 
 
+def test_simple_texts():
+    simple = ["a", "a b\nc", "é, 12"]
+    other = ["", " a", "a ", "\na", "a\n", "a  b", "a\n\nb", "a \nb", "a\n b", "a\tb", "a\rb", "a\0b", "a\x1cb", "a\x85b", "a\u2003b", "a\u3000b"]
+    got = PieceTokenizer(tokenizer_file("byte_bpe_50k.json"), False)._simple(simple + other)
+    assert got.tolist() == [True] * len(simple) + [False] * len(other)
+
+
 @pytest.mark.parametrize("texts", [[], [""], ["a  b", " c", "\t"], ["\0", "x\u2003y"], ["one two\nthree", "don't\n's 12", "", "é÷ <|x|> ²", "one  two\nthree"]])
 @pytest.mark.parametrize("name,words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_groups_of_simple_and_other_texts(name, words, texts):
@@ -64,6 +71,20 @@ def test_coder_round_trip(n, kind):
         assert np.array_equal(range_coder.decode([code], len(own), range_coder.unpack_order0(table), block=64), own)
 
 
+def test_a_block_ends_with_one_word():
+    # What the range still holds needs 16 bits, not 64.
+    ids = np.array([7, 9] * 32, np.uint32)
+    _, codes, _ = range_coder.encode_checked(ids[:1])
+    assert len(codes[0]) == 2
+    assert len(range_coder.encode_checked(ids)[1][0]) <= 10
+
+
+def test_carries_reach_words_that_are_written():
+    out = np.array([5, 65_535, 65_535, 7, 65_535, 0], np.uint16)  # two lanes, of three words each
+    range_coder._carry(out, np.array([3, 5]))
+    assert out.tolist() == [6, 0, 0, 8, 0, 0]
+
+
 def test_coder_adapts_and_checks():
     ids = np.tile(np.arange(50, dtype=np.uint32), 200)
     table, codes, sums = range_coder.encode_checked(ids, block=4096)

@@ -24,15 +24,17 @@ SEGMENT_IDS = 4_000_000
 MAX_ID = 65_535
 
 _SLOT_BITS = 12
-_TOP = np.uint64(1 << 48)
-_BOTTOM = np.uint64(1 << 40)
 _U = np.uint64
-_U0, _U16, _U32, _U48, _ALL = _U(0), _U(16), _U(32), _U(48), _U(65_536)
-_SEVEN, _THREE, _ID = np.uint32(7), np.uint32(3), np.uint32(0xFFFFFFF8)
+_U16, _U32, _U48 = _U(16), _U(32), _U(48)
+#: A range below the first is shifted by 16 bits, below the second by 32.
+_TOP, _LOW = _U(1 << 48), _U(1 << 32)
+_ZERO, _HALF = np.uint32(0), np.uint32(16)
+_SEVEN, _EIGHT, _THREE = np.uint32(7), np.uint32(8), np.uint32(3)
 _K1, _K2, _K3, _SLOT_SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(32 - _SLOT_BITS)
-#: The next run by what it was, after a miss and then after a hit.
-_NEXT_RUN = np.array([*(run // 2 for run in range(8)), *(min(run + 1, 7) for run in range(8))], np.uint32)
-_MASK, _LAST = _BOTTOM - _U(1), _U(65_535)
+#: What is added to an entry that stays, by its run, after a miss and then after a hit: a run halves or grows by 1.
+_NEXT_RUN = np.array([*(run // 2 - run for run in range(8)), *(min(run + 1, 7) - run for run in range(8))], np.int64).astype(np.uint32)
+#: Steps whose slots are found at once when all ids are known.
+_STEPS = 32
 
 
 class CorruptBlock(ValueError):
@@ -71,43 +73,85 @@ class _Model:
     def __init__(self, lanes: int):
         size = 1 << _SLOT_BITS
         self.t, self.a = np.zeros(2 * lanes * size, np.uint32), np.full(2 * lanes * 8, 6000, np.int32)
-        self.base = (np.arange(2 * lanes, dtype=np.int64) << _SLOT_BITS).reshape(2, lanes)
+        self.lanes = np.uint32(lanes)
+        self.base = np.add.outer(np.array([0, lanes * size]), np.arange(lanes))
         self.base8 = (np.arange(2 * lanes, dtype=np.int64) * 8).reshape(2, lanes)
-        self.c, self.h = np.zeros((2, lanes), np.uint32), np.zeros((2, lanes), np.uint32)
 
     def without_last(self) -> None:
         """Go on without the last lane."""
-        self.base, self.base8, self.c, self.h = (np.ascontiguousarray(x[:, :-1]) for x in (self.base, self.base8, self.c, self.h))
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of 65536 that the order-2 and order-1 ids get; the ids are in ``p``."""
-        h, c = self.h, self.c
-        np.multiply(c[0], _K1, out=h[0])
-        np.multiply(c[1], _K2, out=h[1])
-        h[1] ^= h[0]
-        h[1] *= _K3
-        self.slot = self.base + (h >> _SLOT_SHIFT)
-        self.e = self.t.take(self.slot)
-        self.run = self.e & _SEVEN
+        self.base, self.base8 = (np.ascontiguousarray(x[:, :-1]) for x in (self.base, self.base8))
+
+    def slots(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Slots of both orders by the last id and the one before it; lanes are the last axis, orders the one before it."""
+        h = np.empty((*last.shape[:-1], 2, last.shape[-1]), np.uint32)
+        h1, h2 = h[..., 0, :], h[..., 1, :]
+        np.multiply(last, _K1, out=h1)
+        np.multiply(before, _K2, out=h2)
+        h2 ^= h1
+        h2 *= _K3
+        h >>= _SLOT_SHIFT
+        h *= self.lanes
+        slot = h.astype(np.int64)
+        slot += self.base
+        return slot
+
+    def predict(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shares of 65536 that the order-2 id, the order-1 id and the rest get; the entries are in ``e``."""
+        self.slot = slot
+        self.e = self.t.take(slot, mode="clip")
+        self.run = (self.e & _SEVEN).astype(np.int64)
         self.k = self.base8 + self.run
-        self.p = self.e >> _THREE
-        self.v = self.a.take(self.k)
+        self.v = self.a.take(self.k, mode="clip")
         f1, f2 = self.v
-        other = self.p[0] != self.p[1]
+        other = ((self.e[0] ^ self.e[1]) >= _EIGHT).astype(np.int32)
         h1 = f1 >> 1
         # Where both orders say the same id, their doubts are multiplied and order 1 has no interval of its own.
-        f2 = f2 + (f1 - ((f2 >> 1) * h1 >> 14)) * ~other
-        f2 = np.minimum(np.maximum(f2, 32), 64_000)
-        return f2, np.maximum((65_536 - f2 >> 1) * h1 >> 14, 32) * other
-
-    def update(self, hit: np.ndarray, s: np.ndarray) -> None:
-        self.a[self.k] = self.v + (((hit.astype(np.int32) << 16) - self.v) >> 5)
-        # A run grows with a hit and halves without one; an id whose run was 1 at most makes room for the new one.
-        keep = hit | (self.run > 1)
-        runs = _NEXT_RUN.take((hit.view(np.uint8) << 3) + self.run)
-        self.t[self.slot] = (self.e & _ID) * keep + (s << _THREE) * ~keep + runs
-        self.c[1] = self.c[0]
-        self.c[0] = s
+        both = f2 >> 1
+        both *= h1
+        both >>= 14
+        np.subtract(f1, both, out=both)
+        both *= 1 - other
+        both += f2
+        f2 = np.minimum(np.maximum(both, 32, out=both), 64_000, out=both)
+        f1 = 65_536 - f2
+        rest = f1.copy()
+        f1 >>= 1
+        f1 *= h1
+        f1 >>= 14
+        np.maximum(f1, 32, out=f1)
+        f1 *= other
+        rest -= f1
+        return f2.view(np.uint32), f1.view(np.uint32), rest.view(np.uint32)
+
+    def update(self, hit: np.ndarray, s8: np.ndarray) -> None:
+        """``s8``: the id times 8."""
+        grown = hit.astype(np.int32)
+        grown <<= 16
+        grown -= self.v
+        grown >>= 5
+        grown += self.v
+        self.a[self.k] = grown
+        # An id whose run was 1 at most makes room for the new one.
+        stays = self.run > 1
+        stays |= hit
+        row = hit.astype(np.int64)
+        row <<= 3
+        row += self.run
+        self.e += _NEXT_RUN.take(row, mode="clip")
+        self.t[self.slot] = np.where(stays, self.e, s8)
+
+
+def _interval(f2: np.ndarray, f1: np.ndarray, rest: np.ndarray, below: np.ndarray, own: np.ndarray, hit2: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of each lane's id in a total of 2**32; ``hits``: the lanes whose id one of the orders has said."""
+    start = f2 + f1
+    start <<= _HALF
+    start += rest * below
+    size = rest * own
+    if len(hits):
+        second, f2, f1 = hit2.take(hits), f2.take(hits) << _HALF, f1.take(hits) << _HALF
+        start[hits] = np.where(second, _ZERO, f2)
+        size[hits] = np.where(second, f2, f1)
+    return start.astype(np.uint64), size.astype(np.uint64)
 
 
 def _lengths(n: int, block: int) -> np.ndarray:
@@ -115,6 +159,19 @@ def _lengths(n: int, block: int) -> np.ndarray:
     return np.array([block] * full + [rest] * bool(rest), np.int64)
 
 
+def _cumulative(freq: np.ndarray) -> np.ndarray:
+    return (np.cumsum(freq) - freq).astype(np.uint32)
+
+
+def _carry(out: np.ndarray, end: np.ndarray) -> None:
+    """Add 1 to what stands before ``end``, a place in each of some lanes."""
+    while len(end):
+        end = end - 1
+        word = out.take(end) + np.uint16(1)
+        out[end] = word
+        end = end[word == 0]
+
+
 def encode(ids: np.ndarray, freq: np.ndarray, block: int = BLOCK_IDS) -> list[bytes]:
     """A code for each block of ``block`` ids (the last may be shorter)."""
     lengths = _lengths(len(ids), block)
@@ -123,54 +180,55 @@ def encode(ids: np.ndarray, freq: np.ndarray, block: int = BLOCK_IDS) -> list[by
         return []
     grid = np.zeros(lanes * block, np.uint16)
     grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
-    freq = freq.astype(np.uint64)
+    # Two ids of 0 go before each block.
+    grid = np.concatenate([np.zeros((2, lanes), np.uint16), grid.reshape(lanes, block).T])
+    cum, freq = _cumulative(freq), freq.astype(np.uint32)
     model = _Model(lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     width = 2 * block + 16
     out, begun = np.zeros(lanes * width, np.uint16), np.arange(lanes, dtype=np.int64) * width
     end = begun.copy()
+    lows, ends = low, end
     for t in range(block):
-        n = lanes if t < lengths[-1] else lanes - 1
-        if not n:
-            break
-        if t == lengths[-1]:
-            model.without_last()
-        s = grid[t, :n].astype(np.uint32)
-        f2, f1 = model.predict()
-        f2u, both = f2.astype(np.uint64), (f2 + f1).astype(np.uint64)
-        hit = model.p == s
-        hit2 = hit[1]
-        hit1 = hit[0] > hit2
-        rest = _ALL - both
-        # Products with flags instead of choices: numpy is several times faster at them.
-        miss = ~(hit1 | hit2)
-        f2u <<= _U16
-        both <<= _U16
-        start = f2u * hit1 + (both + rest * cum.take(s)) * miss
-        size = f2u * hit2 + (both - f2u) * hit1 + rest * freq.take(s) * miss
-        model.update(hit, s)
-        r = rng[:n] >> _U32
-        low[:n] += r * start
-        rng[:n] = r * size
-        at, lo, ra = None, low[:n], rng[:n]
-        while True:
-            settled = (lo ^ (lo + ra)) < _TOP
-            m = (settled | (ra < _BOTTOM)).nonzero()[0]
-            if not len(m):
+        if t in (0, lengths[-1]) or step == _STEPS:
+            n = lanes if t < lengths[-1] else lanes - 1
+            if not n:
                 break
-            at = m if at is None else at.take(m)
-            lo, ra = lo.take(m), np.where(settled.take(m), ra.take(m), (_U0 - lo.take(m)) & _MASK)
-            to = end.take(at)
-            out[to] = lo >> _U48
-            end[at] = to + 1
-            lo <<= _U16
-            ra <<= _U16
-            low[at], rng[at] = lo, ra
-    for i in range(4):
-        out[end + i] = (low >> _U(48 - 16 * i)).astype(np.uint16)
-    return [out[i:j].astype(">u2").tobytes() for i, j in zip(begun.tolist(), (end + 4).tolist(), strict=True)]
+            if t == lengths[-1]:
+                model.without_last()
+                low, rng, end = low[:n], rng[:n], end[:n]
+            known = grid[t : t + 2 + _STEPS, :n].astype(np.uint32)
+            slots = model.slots(known[1:-1], known[:-2])
+            below, own, known8 = cum.take(known[2:]), freq.take(known[2:]), known[2:] << _THREE
+            step = 0
+        f2, f1, rest = model.predict(slots[step])
+        s8 = known8[step]
+        hit = (model.e ^ s8) < _EIGHT
+        start, size = _interval(f2, f1, rest, below[step], own[step], hit[1], (hit[0] | hit[1]).nonzero()[0])
+        model.update(hit, s8)
+        step += 1
+        rng >>= _U32
+        start *= rng
+        low += start
+        rng *= size
+        carry = (low < start).nonzero()[0]
+        _carry(out, end.take(carry))
+        for most in (_LOW, _TOP):
+            at = (rng < most).nonzero()[0]
+            if len(at):
+                lo, to = low.take(at), end.take(at)
+                out[to] = (lo >> _U48).astype(np.uint16)
+                to += 1
+                end[at] = to
+                lo <<= _U16
+                low[at] = lo
+                rng[at] = rng.take(at) << _U16
+    # A range holds a multiple of 2**48: its first word is all that's needed of it.
+    low, end = lows, ends
+    last = low + (_TOP - _U(1))
+    _carry(out, end[last < low])
+    out[end] = (last >> _U48).astype(np.uint16)
+    return [out[i:j].astype(">u2").tobytes() for i, j in zip(begun.tolist(), (end + 1).tolist(), strict=True)]
 
 
 def decode(codes: list[bytes], n_ids: int, freq: np.ndarray, block: int = BLOCK_IDS) -> np.ndarray:
@@ -184,55 +242,60 @@ def decode(codes: list[bytes], n_ids: int, freq: np.ndarray, block: int = BLOCK_
     for i, c in enumerate(codes):
         data[i, : len(c) // 2] = np.frombuffer(c, ">u2")
     data = data.reshape(-1)
-    cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
     at_slot = np.repeat(np.arange(MAX_ID + 1, dtype=np.uint32), freq)
-    freq = freq.astype(np.uint64)
+    cum, freq = _cumulative(freq), freq.astype(np.uint32)
     model = _Model(lanes)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
+    rng = np.full(lanes, 2**64 - 1, np.uint64)
     read = np.arange(lanes, dtype=np.int64) * width
     code = np.zeros(lanes, np.uint64)
     for i in range(4):
         code = (code << _U16) | data[read + i]
     read += 4
     grid = np.zeros((block, lanes), np.uint16)
+    last, before = np.zeros((2, lanes), np.uint32)
     for t in range(block):
         n = lanes if t < lengths[-1] else lanes - 1
         if not n:
             break
         if t == lengths[-1]:
             model.without_last()
-        f2, f1 = model.predict()
-        f2u, both = f2.astype(np.uint64), (f2 + f1).astype(np.uint64)
-        r = rng[:n] >> _U32
-        v = np.minimum((code[:n] - low[:n]) // r, _U(2**32 - 1))
-        rest = _ALL - both
-        f2u <<= _U16
+            last, before, code, rng, read = last[:-1], before[:-1], code[:-1], rng[:-1], read[:-1]
+        f2, f1, rest = model.predict(model.slots(last, before))
+        rng >>= _U32
+        second = f2.astype(np.uint64)
+        second <<= _U16
+        second *= rng
+        both = (f2 + f1).astype(np.uint64)
         both <<= _U16
-        hit2, miss = v < f2u, v >= both
-        hit1 = ~(hit2 | miss)
-        slot = (v - both) * miss // rest
-        literal = at_slot.take(np.minimum(slot, _LAST).astype(np.int64))
-        s = model.p[1] * hit2 + model.p[0] * hit1 + literal * miss
-        start = f2u * hit1 + (both + rest * cum.take(s)) * miss
-        size = f2u * hit2 + (both - f2u) * hit1 + rest * freq.take(s) * miss
+        both *= rng
+        hit2 = code < second
+        hits = (code < both).nonzero()[0]
+        np.subtract(code, both, out=both)
+        both //= rng * rest
+        s = at_slot.take(both.view(np.int64), mode="clip")
+        s8 = s << _THREE
+        if len(hits):
+            s8[hits] = np.where(hit2.take(hits), model.e[1].take(hits), model.e[0].take(hits)) & ~_SEVEN
+            s = s8 >> _THREE
+        place = s.astype(np.int64)
+        start, size = _interval(f2, f1, rest, cum.take(place), freq.take(place), hit2, hits)
         grid[t, :n] = s
-        model.update(model.p == s, s)
-        low[:n] += r * start
-        rng[:n] = r * size
-        at, lo, ra = None, low[:n], rng[:n]
-        while True:
-            settled = (lo ^ (lo + ra)) < _TOP
-            m = (settled | (ra < _BOTTOM)).nonzero()[0]
-            if not len(m):
-                break
-            at = m if at is None else at.take(m)
-            lo, ra = lo.take(m), np.where(settled.take(m), ra.take(m), (_U0 - lo.take(m)) & _MASK)
-            to = read.take(at)
-            code[at] = (code.take(at) << _U16) | data.take(to)
-            read[at] = to + 1
-            lo <<= _U16
-            ra <<= _U16
-            low[at], rng[at] = lo, ra
+        model.update((model.e ^ s8) < _EIGHT, s8)
+        last, before = s, last
+        start *= rng
+        code -= start
+        rng *= size
+        for most in (_LOW, _TOP):
+            at = (rng < most).nonzero()[0]
+            if len(at):
+                to = read.take(at)
+                shifted = code.take(at)
+                shifted <<= _U16
+                shifted |= data.take(to)
+                code[at] = shifted
+                to += 1
+                read[at] = to
+                rng[at] = rng.take(at) << _U16
     return grid.T.reshape(-1)[:n_ids].astype(np.uint32)
 
 

@@ -4,14 +4,12 @@ Byte-level and word BPE never merge across the start of a run of white space, so
 of its pieces one after the other. Pieces repeat: Arrow numbers those of a group of texts, and only its different
 ones are looked up in the worker's memo, where each has been encoded by the ``tokenizers`` library once; when the memo
 is full, pieces met once are forgotten, which bounds a worker's memory. New pieces of plain letters, digits and signs
-are cut together by the tokenizer's own pattern, and new cuts are encoded many at a time by a tokenizer of the same
-vocabulary and merges that only splits at spaces, which leaves out the library's slow cutting; every other piece
-goes through the library as it is.
+are cut together by the tokenizer's own pattern, and new cuts go straight to the library's model, which merges them
+without the library's slow cutting; every other piece goes through the library as it is.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from itertools import compress, repeat
@@ -21,12 +19,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MEMO_PIECES = 400_000
+#: Pieces whose ids are gathered at a time, which keeps their places in a processor's cache.
+_TAKEN = 100_000
 
 _PIECE = re.compile(r"\s*[^ \t\n\r]+|\s+")
 #: White space other than the four characters that pieces are cut at.
-_OTHER_SPACE = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: White space that isn't a single space or line end between words.
-_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
+_OTHER = "[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_OTHER_SPACE = re.compile(_OTHER)
+#: For Arrow: white space that isn't a single space or line end between words, or no text.
+_NOT_SIMPLE = rf"[ \n][ \n]|[\t\r]|{_OTHER}|^[ \n]|[ \n]$|^$".replace("\0", r"\x00")
 #: What makes a piece other than plain: a character that not every Unicode version and normal form takes alike, or a special token's mark.
 _ODD = r"[^\t\n\r -~À-ÿ]|<\|"
 _ODD_TEXT = re.compile(_ODD)
@@ -49,15 +50,16 @@ class _Memo(dict):
     def __init__(self):
         self.fresh: list[str] = []
 
-    def numbers(self, names: list[str] | np.ndarray) -> np.ndarray:
+    def numbers(self, names: list[str] | np.ndarray, distinct: bool = False) -> np.ndarray:
+        """``distinct``: no name is there twice."""
         number = np.fromiter(map(self.get, names, repeat(-1)), np.int64, len(names))
         unknown = number < 0
         if unknown.any():
             new = list(compress(names, unknown))
-            fresh = list(dict.fromkeys(new))
-            self.update(zip(fresh, range(len(self), len(self) + len(fresh)), strict=True))
+            fresh, first = new if distinct else list(dict.fromkeys(new)), len(self)
+            self.update(zip(fresh, range(first, first + len(fresh)), strict=True))
             self.fresh += fresh
-            number[unknown] = np.fromiter(map(self.__getitem__, new), np.int64, len(new))
+            number[unknown] = np.arange(first, len(self)) if len(fresh) == len(new) else np.fromiter(map(self.__getitem__, new), np.int64, len(new))
         return number
 
 
@@ -77,10 +79,16 @@ class _Ragged:
         self._n, self._used = n, used
 
     def take(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = self._counts[number]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        return self._ids[np.repeat(self._starts[number] - (ends - counts), counts) + np.arange(total)], counts
+        counts = self._counts.take(number)
+        out, done = np.empty(int(counts.sum()), np.uint32), 0
+        for i in range(0, len(number), _TAKEN):
+            n = counts[i : i + _TAKEN]
+            ends = np.cumsum(n)
+            at = np.repeat(self._starts.take(number[i : i + _TAKEN]) - ends + n, n)
+            at += np.arange(len(at))
+            out[done : done + len(at)] = self._ids.take(at)
+            done += len(at)
+        return out, counts
 
 
 class PieceTokenizer:
@@ -91,13 +99,7 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        plain = json.loads(self._tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}
-        self._plain = Tokenizer.from_str(json.dumps(plain))
-        suffix = plain["model"].get("end_of_word_suffix") or ""
-        vocabulary = self._plain.get_vocab()
-        self._id_chars = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self._id_chars[i] = len(token) - len(suffix) * (suffix != "" and token.endswith(suffix))
+        self._merge = self._tokenizer.model.tokenize
         self._words = words
         self._cut = (_CUT_WORDS if words else _CUT_BYTES).findall
         self._letters = _byte_letters()
@@ -129,15 +131,15 @@ class PieceTokenizer:
         self._met = met[keep] // 2
         self._memo.update(zip(kept, range(len(kept)), strict=True))
 
-    def _simple(self, text: str) -> bool:
+    def _simple(self, texts: list[str]) -> np.ndarray:
         """Whether single spaces and line ends are all the white space there is, none of it at either end."""
-        return not (_OTHER_SPACE.search(text) or any(r in text for r in _RUNS) or text[:1] in ("", " ", "\n") or text[-1] in " \n")
+        return ~pc.match_substring_regex(pa.array(texts, pa.large_string()), _NOT_SIMPLE).to_numpy(zero_copy_only=False)
 
     def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Memo numbers of all texts' pieces one after the other, and how many each text has."""
         if self._words:
             return self._split_numbers([t.replace("\n", " ") for t in texts])
-        simple = np.fromiter(map(self._simple, texts), bool, len(texts))
+        simple = self._simple(texts)
         number, n = self._split_numbers(["\0" + t.replace("\n", " \n") for t, s in zip(texts, simple, strict=True) if s])
         if simple.all():
             return number, n
@@ -152,7 +154,7 @@ class PieceTokenizer:
     def _split_numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         found = lists.values.dictionary_encode()
-        number = self._memo.numbers(found.dictionary.to_numpy(zero_copy_only=False))
+        number = self._memo.numbers(found.dictionary.to_numpy(zero_copy_only=False), distinct=True)
         return number[found.indices.to_numpy()], np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
     def _text_of(self, piece: str) -> str:
@@ -179,24 +181,21 @@ class PieceTokenizer:
         return cuts, np.diff(ends, prepend=0)
 
     def _encode_plain(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not cuts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        joined = " ".join(cuts)
-        ids = np.array(self._plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-        # The fast call doesn't say which cut an id is of, but the ids' characters are the cuts', one after the other.
-        upto, ends = np.cumsum(self._id_chars[ids]), np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))
-        last = np.searchsorted(upto, ends)
-        if last[-1] == len(ids) - 1 and (upto[last] == ends).all():
-            return ids, np.diff(last, prepend=-1)
-        e = self._plain.encode(joined, add_special_tokens=False)  # a vocabulary without some of the letters
-        return np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(cuts))
+        ids, n = [], np.zeros(len(cuts), np.int64)
+        for i, cut in enumerate(cuts):
+            found = self._merge(cut)
+            ids += [x.id for x in found]
+            n[i] = len(found)
+        return np.array(ids, np.uint32), n
 
     def _encode_cuts(self, odd: list[str]) -> None:
         """Learn the ids of the cuts that are new; ``odd``: those of them that the library takes as they are, in order."""
         fresh, self._cuts.fresh = self._cuts.fresh, []
         whole = iter(self._tokenizer.encode_batch(odd, add_special_tokens=False)) if odd else iter(())
         plain = [c for c in fresh if c[:1] != "\0"]
-        ids, n = self._encode_plain([c.translate(self._letters) for c in plain])
+        # But for spaces, which begin cuts, ASCII characters stand for themselves.
+        space = self._letters[32]
+        ids, n = self._encode_plain([c.replace(" ", space) if c.isascii() and not c.isspace() else c.translate(self._letters) for c in plain])
         if len(plain) < len(fresh):
             parts, at, k = [], 0, 0
             for c in fresh:
