@@ -33,6 +33,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, in any store Hadoop writes."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def monthly_paths(template: str, years: Iterable[int], months: Iterable[int] = range(1, 13)) -> list[str]:
     """``template`` with {year} and {month} filled in, for each month of each year."""
     months = list(months)
