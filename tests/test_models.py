@@ -24,6 +24,52 @@ def test_holt_winters_follows_a_season(spark):
     assert set(out.key) == {"a", "b"} and np.abs(out.actual - out.prediction).mean() < 0.5 and len(out) == 2 * 72
 
 
+def sse(y, fits):
+    return float(((y - fits) ** 2).sum())
+
+
+def test_estimated_start_is_never_worse():
+    rng = np.random.default_rng(0)
+    series = [seasonal(120) + rng.normal(0, 1, 120), rng.poisson(3, 90).astype(float), np.zeros(72), np.r_[np.zeros(60), np.ones(60) * 50], rng.normal(size=100) * 1e6, np.arange(80.0) ** 2, np.tile([0.0, 0, 9, 0], 30)]
+    for m in (4, 24):
+        for y in series:
+            means, best, estimated = (sse(y, fc.fit_holt_winters(y, m, how)[0]) for how in ("means", "best", "estimated"))
+            assert estimated <= best * (1 + 1e-9) + 1e-9 and best <= means * (1 + 1e-9) + 1e-9
+
+
+def test_estimated_start_evens_out_a_noisy_first_season():
+    rng = np.random.default_rng(2)
+    y = seasonal(240, slope=0.0) + rng.normal(0, 2, 240)
+    assert sse(y, fc.fit_holt_winters(y)[0]) < 0.9 * sse(y, fc.fit_holt_winters(y, start="means")[0])
+
+
+def test_start_is_recovered_and_optimal():
+    m, params = 6, np.array([[0.3, 0.1, 0.2]])
+    rng = np.random.default_rng(1)
+    level, trend, season = 40.0, 0.5, rng.normal(0, 5, m)
+    season -= season.mean()
+    y, parts, lev, tr = [], season.copy(), level, trend
+    for t in range(90):  # a series without errors follows its start
+        y.append(lev + tr + parts[t % m])
+        lev, tr = lev + tr, tr
+    found, starts = fc.least_squares_start(np.array(y), m, params)
+    assert found[0] < 1e-6 and np.allclose(np.r_[starts[0][:2], starts[0][2]], np.r_[level, trend, season], atol=1e-4)
+    noisy = np.array(y) + rng.normal(0, 3, 90)
+    found, starts = fc.least_squares_start(noisy, m, params)
+    c = np.r_[starts[0][0], starts[0][1], starts[0][2][:-1]]
+    error = lambda c: fc._smooth(noisy, m, params, (c[0], c[1], np.r_[c[2:], -c[2:].sum()]))[0][0]
+    assert np.isclose(error(c), found[0])
+    for i in range(len(c)):
+        for step in (0.05, -0.05):
+            assert error(c + step * (np.arange(len(c)) == i)) > found[0]
+
+
+def test_start_of_odd_series(spark):
+    out = fc.holt_winters_start(frame(spark, {"a": [1.0] * 3, "flat": [5.0] * 12, "null": [2.0] * 12}).withColumn("demand", F.expr("if(key = 'null' and hour(bin) = 3, null, demand)")), "key", 0.4, 0.2, 0.3, season=4).toPandas()
+    assert sorted(out["key"]) == ["flat", "null"] and out[out["key"] == "flat"].sse.iloc[0] < 1e-9 and np.isfinite(out.sse).all()
+    assert fc.holt_winters_start(spark.createDataFrame([], "key string, bin timestamp_ntz, demand double"), "key", 0.4, 0.2, 0.3).count() == 0
+
+
 def test_feature_never_leaks_the_actual(spark):
     out = fc.add_holt_winters_feature(frame(spark, {"a": seasonal(), "short": seasonal(40)}), "key").toPandas().sort_values(["key", "bin"])
     short = out[out.key == "short"]

@@ -21,12 +21,21 @@ from tidegrid.operators.features import lag_array
 SEASON = 24
 
 
-def _smooth(y: np.ndarray, m: int, params: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Level and trend before the first value, and the first season's seasonal parts.
+Start = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _mean_start(y: np.ndarray, m: int) -> Start:
+    """A start from the means of the first two seasons."""
+    return y[:m].mean(), (y[m : 2 * m].mean() - y[:m].mean()) / m, y[:m] - y[:m].mean()
+
+
+def _smooth(y: np.ndarray, m: int, params: np.ndarray, start: Start | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Squared error, one-step fits, and last level, trend and seasons of each row (alpha, beta, gamma) of ``params``."""
     alpha, beta, gamma = params.T
-    level = np.full(len(params), y[:m].mean())
-    trend = np.full(len(params), (y[m : 2 * m].mean() - y[:m].mean()) / m)
-    season = np.repeat((y[:m] - y[:m].mean())[:, None], len(params), axis=1)
+    level0, trend0, season0 = _mean_start(y, m) if start is None else start
+    level, trend = np.full(len(params), level0), np.full(len(params), trend0)
+    season = np.repeat(np.asarray(season0)[:, None], len(params), axis=1)
     fits = np.empty((len(y), len(params)))
     sse = np.zeros(len(params))
     for t, v in enumerate(y):
@@ -40,16 +49,91 @@ def _smooth(y: np.ndarray, m: int, params: np.ndarray) -> tuple[np.ndarray, np.n
     return sse, fits, level, trend, season
 
 
-def fit_holt_winters(y: np.ndarray, m: int = SEASON) -> tuple[np.ndarray, float, float, np.ndarray]:
-    """One-step fits and the final state for the best smoothing parameters: a grid, then two finer ones around its best."""
+def _grid_search(y: np.ndarray, m: int) -> np.ndarray:
+    """The best smoothing parameters from a start of means: a grid, then two finer ones around its best."""
     centre, width, steps = np.array([0.4, 0.2, 0.3]), np.array([0.39, 0.19, 0.29]), 5
     for _ in range(3):
         axes = [np.unique(np.clip(np.linspace(c - w, c + w, steps), 0.0, 0.99)) for c, w in zip(centre, width, strict=True)]
         grid = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, 3)
-        sse, fits, level, trend, season = _smooth(y, m, grid)
-        k = int(np.nan_to_num(sse, nan=np.inf).argmin())
+        k = int(np.nan_to_num(_smooth(y, m, grid)[0], nan=np.inf).argmin())
         centre, width = grid[k], width / steps * 1.5
-    return fits[:, k], float(level[k]), float(trend[k]), season[:, k]
+    return centre
+
+
+def least_squares_start(y: np.ndarray, m: int, params: np.ndarray) -> tuple[np.ndarray, list[Start]]:
+    """For each row of ``params`` the start with the least squared error, and that error.
+
+    At given parameters the one-step errors are linear in the start: they are those of a start of zeros plus
+    multiples of what each part of the start alone adds. Only the products of these summed over the series are
+    kept, so memory doesn't grow with its length. Seasonal parts sum to 0, since the level holds their mean.
+    """
+    n, k = len(params), m + 2
+    alpha, beta, gamma = (p[:, None] for p in params.T)
+    # Columns: the series from a start of zeros, then level, trend and all seasonal parts but the last alone.
+    level, trend, season = np.zeros((n, k)), np.zeros((n, k)), np.zeros((m, n, k))
+    level[:, 1] = trend[:, 2] = 1.0
+    for i in range(m - 1):
+        season[i, :, 3 + i], season[m - 1, :, 3 + i] = 1.0, -1.0
+    products = np.zeros((n, k, k))
+    value = np.zeros((1, k))
+    for t, v in enumerate(y):
+        value[0, 0] = v
+        s = season[t % m]
+        error = value - level - trend - s
+        products += error[:, :, None] * error[:, None, :]
+        grown = alpha * (value - s) + (1 - alpha) * (level + trend)
+        trend = beta * (grown - level) + (1 - beta) * trend
+        season[t % m] = gamma * (value - grown) + (1 - gamma) * s
+        level = grown
+    sse, starts = np.full(n, np.inf), []
+    for i, p in enumerate(products):
+        # Parts that hardly show in the series stay near 0.
+        c = np.linalg.lstsq(p[1:, 1:], -p[1:, 0], rcond=1e-12)[0] if np.isfinite(p).all() else np.zeros(k - 1)
+        starts.append((c[0], c[1], np.r_[c[2:], -c[2:].sum()]))
+        sse[i] = max(p[0, 0] + 2 * c @ p[1:, 0] + c @ p[1:, 1:] @ c, 0.0) if np.isfinite(p).all() else np.inf
+    return sse, starts
+
+
+def fit_holt_winters(y: np.ndarray, m: int = SEASON, start: str = "best") -> tuple[np.ndarray, float, float, np.ndarray]:
+    """One-step fits and the final state for the best smoothing parameters.
+
+    ``start``: ``means``; ``estimated``, where the parameters found from means are refined together with the start that
+    fits best at each; or ``best``, the one of lower information criterion, as an estimated start has ``m + 1``
+    more free numbers. Neither has a larger squared error than ``means``.
+    """
+    best = _grid_search(y, m)
+    found = [(best, None)]
+    if start != "means":
+        width = np.array([0.3, 0.15, 0.25])
+        for _ in range(4):
+            axes = [np.unique(np.clip([c - w, c, c + w], 0.0, 0.99)) for c, w in zip(best, width, strict=True)]
+            grid = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, 3)
+            sse, starts = least_squares_start(y, m, grid)
+            k = int(sse.argmin())
+            best, width = grid[k], width / 2.5
+            found.append((best, starts[k]))
+    runs = [_smooth(y, m, p[None], s) for p, s in found]
+    errors = np.nan_to_num([r[0][0] for r in runs], nan=np.inf)
+    k = int(errors.argmin())
+    if start == "best" and len(y) * np.log(max(errors[0], 1e-300) / max(errors[k], 1e-300)) <= 2 * (m + 1):
+        k = 0
+    _, fits, level, trend, season = runs[k]
+    return fits[:, 0], float(level[0]), float(trend[0]), season[:, 0]
+
+
+def holt_winters_start(panel: DataFrame, key: str, alpha: float, beta: float, gamma: float, ts: str = "bin", value: str = "demand", season: int = SEASON) -> DataFrame:
+    """The start with the least squared error at given smoothing parameters: key, level, trend, season, sse; shorter than two seasons: none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values(ts)[value].fillna(0.0).to_numpy(float)
+        if len(y) < 2 * season:
+            return pd.DataFrame({key: pdf[key].iloc[:0], "level": [], "trend": [], "season": pd.Series([], dtype=object), "sse": []})
+        sse, starts = least_squares_start(y, season, np.array([[alpha, beta, gamma]]))
+        level, trend, parts = starts[0]
+        return pd.DataFrame({key: pdf[key].iloc[:1], "level": level, "trend": trend, "season": [parts.tolist()], "sse": sse})
+
+    kinds = dict(panel.dtypes)
+    return panel.select(key, ts, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, level double, trend double, season array<double>, sse double")
 
 
 def forecast_ahead(level: float, trend: float, season: np.ndarray, start: int, n: int) -> np.ndarray:

@@ -38,14 +38,14 @@ def _lines(spark, sf_dir):
 leaves as (select node, -sum(g) / (count(*) + 1) as value, count(*)::double as n from b where f = 0 group by node),
 tops as (select node, -sum(g) / (count(*) + 1) as value, count(*)::double as n from x where f = 0 group by node union all select node, -sum(g) / (count(*) + 1), count(*)::double from a where f = 0 group by node),
 splits as (select * from a_s union all select * from b_s)
-select t.node::int as node, feature, cut, ml as missing_left, round(gain / sq, 8) as gain, round(value, 3) as value, t.n as rows from tops t join splits using (node) join names using (f), sq
-union all select node::int, null, null, false, 0.0, round(value, 3), n from leaves""")
+select t.node::int as node, feature, cut, ml as missing_left, round(gain / sq, 8) as gain, round(value, 3) + 0.0 as value, t.n as rows from tops t join splits using (node) join names using (f), sq
+union all select node::int, null, null, false, 0.0, round(value, 3) + 0.0, n from leaves""")
 def boosted_tree(spark, sf_dir):
     """The splits, ways for missing rows and leaf values of one tree of two levels."""
     rows = _lines(spark, sf_dir)
     model = bo.fit(rows, LINE_INPUTS, "l_extendedprice", bo.Settings(trees=1, depth=2, rate=1.0, missing=0.0))
     squares = rows.agg((F.var_pop("l_extendedprice") * F.count(F.lit(1))).alias("sq")).scalar()
-    return bo.nodes(spark, model).select("node", "feature", "cut", F.coalesce("missing_left", F.lit(False)).alias("missing_left"), F.round(F.col("gain") / squares, 8).alias("gain"), r("value", 3).alias("value"), "rows")
+    return bo.nodes(spark, model).select("node", "feature", "cut", F.coalesce("missing_left", F.lit(False)).alias("missing_left"), F.round(F.col("gain") / squares, 8).alias("gain"), (r("value", 3) + 0.0).alias("value"), "rows")
 
 
 @query(f"""with {_LINES}, {_level("x", "a")},

@@ -122,6 +122,22 @@ def smoothed(spark, sf_dir):
     return fc.smoothed(panel(spark, sf_dir), "event_type", 0.4, 0.2, 0.3).withColumn("fit", r("fit"))
 
 
+@query(f"""with recursive {PANEL_SQL[5:]}, y as (select event_type, list(demand order by bin) as y from d group by 1),
+h as (select event_type, y, r, 0 as t, (r = 1)::int::double as level, (r = 2)::int::double as trend, (r = 3)::int::double as s_now, -(r = 3)::int::double as s_next, 0.0::double as e from y, range(4) x(r)
+  union all
+  select event_type, y, r, t + 1, grown, 0.2 * (grown - level) + 0.8 * trend, s_next, 0.3 * (v - grown) + 0.7 * s_now, v - level - trend - s_now
+  from (select *, 0.4 * (v - s_now) + 0.6 * (level + trend) as grown from (select *, case when r = 0 then y[t + 1] else 0 end as v from h where t < len(y)))),
+e as (select event_type, t, sum(e) filter (r = 0) as e0, sum(e) filter (r = 1) as e1, sum(e) filter (r = 2) as e2, sum(e) filter (r = 3) as e3 from h where t > 0 group by 1, 2),
+q as (select event_type, sum(e1*e1) as a, sum(e1*e2) as b, sum(e1*e3) as c, sum(e2*e2) as d, sum(e2*e3) as f, sum(e3*e3) as g, -sum(e0*e1) as u, -sum(e0*e2) as v, -sum(e0*e3) as w, sum(e0*e0) as z from e group by 1),
+x as (select *, a*(d*g-f*f) - b*(b*g-f*c) + c*(b*f-d*c) as det from q),
+s as (select *, (u*(d*g-f*f) - b*(v*g-f*w) + c*(v*f-d*w)) / det as l, (a*(v*g-f*w) - u*(b*g-f*c) + c*(b*w-v*c)) / det as k, (a*(d*w-v*f) - b*(b*w-v*c) + u*(b*f-d*c)) / det as p from x)
+select event_type, round(l, 5) as level, round(k, 5) as trend, round(p, 5) as season_1, round(-p, 5) as season_2, round(z - l*u - k*v - p*w, 4) as sse from s""")
+def holt_winters_start(spark, sf_dir):
+    """The start of level, trend and a season of two bins that fits best at given parameters."""
+    out = fc.holt_winters_start(panel(spark, sf_dir), "event_type", 0.4, 0.2, 0.3, season=2)
+    return out.select("event_type", r("level", 5).alias("level"), r("trend", 5).alias("trend"), F.round(F.col("season")[0], 5).alias("season_1"), F.round(F.col("season")[1], 5).alias("season_2"), r("sse", 4).alias("sse"))
+
+
 ROWS_SQL = PANEL_SQL + ", f as (select *, row_number() over (partition by event_type order by bin) - 24 as rn, count(*) over (partition by event_type) - 24 as n from d), "
 
 
