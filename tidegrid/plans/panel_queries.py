@@ -299,6 +299,26 @@ def scaled_sequences(spark, sf_dir):
     return back.select(BY, "bin", F.size("scaled").alias("steps"), r(step(0), 5).alias("first_step"), r(step(23), 5).alias("last_step"), r(total, 4).alias("total"))
 
 
+@query(PANEL_SQL + """, q as (select event_type, bin, demand, list(demand) over w as s, count(*) over w as n from d window w as (partition by event_type order by bin rows between 23 preceding and current row))
+select case when bin < timestamp '2024-01-20' then 'train' else 'test' end as split, event_type, epoch(bin)::bigint as bin_s, demand::double as demand, 24::int as steps, s[1]::double as first_step, list_sum(s)::double as total from q where n = 24""")
+def tfrecord_sequences(spark, sf_dir):
+    """Sequences written as TFRecord, a folder for each split, and read back."""
+    from tidegrid.functions.timebins import epoch
+    from tidegrid.sources import io, tfrecord
+
+    tfrecord.register(spark)
+    split = F.when(F.col("bin") < F.lit("2024-01-20").cast("timestamp_ntz"), "train").otherwise("test")
+    rows = ft.sequence_windows(panel(spark, sf_dir), ["demand"], 24, by_type(), include_current=True)
+    rows = rows.select(split.alias("split"), BY, epoch("bin").cast("long").alias("bin_s"), F.col("demand").cast("double").alias("demand"), F.flatten("sequence").alias("sequence"))
+    out, root = None, io.scratch(spark, "tfrecords")
+    for name in ("train", "test"):
+        rows.where(F.col("split") == name).drop("split").write.format("tfrecord").option("maxRecordsPerFile", 1000).mode("append").save(f"{root}/{name}")
+        back = spark.read.format("tfrecord").schema(f"{BY} string, bin_s long, demand double, sequence array<double>").load(f"{root}/{name}")
+        part = back.select(F.lit(name).alias("split"), BY, "bin_s", "demand", F.size("sequence").alias("steps"), F.col("sequence")[0].alias("first_step"), F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x).alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(NATIONS_SQL + """, a as (select n_nationkey as zone, n_regionkey as grp from nation), t as (select zone, avg(demand) as zone_mean, stddev_samp(demand) as zone_std from s group by 1),
 g as (select grp, bin, avg(demand) as group_mean from s join a using (zone) group by 1, 2)
 select s.zone, a.grp, s.bin, round(t.zone_mean, 6) as zone_mean, round(t.zone_std, 6) as zone_std, round(g.group_mean, 6) as group_mean from s join a using (zone) join t using (zone) join g on g.grp = a.grp and g.bin = s.bin""")
