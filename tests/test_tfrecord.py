@@ -27,7 +27,7 @@ def test_sums():
     assert tf.masked_sums([b"123456789"])[0] == (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
     rng = np.random.default_rng(0)
     parts = [rng.bytes(int(n)) for n in rng.integers(0, 60, 40)] + [b""]
-    assert tf.masked_sums(parts).tolist() == [tf.masked_sums([p])[0] for p in parts] and tf.masked_sums([]).tolist() == []
+    assert tf.masked_sums(parts).tolist() == [tf.masked_sums([p])[0] for p in parts] and tf.masked_sums([]).tolist() == [] and [tf.masked_sum(p) for p in parts] == tf.masked_sums(parts).tolist()
 
 
 def test_bytes_of_a_known_example():

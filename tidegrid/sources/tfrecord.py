@@ -45,6 +45,11 @@ def _table() -> np.ndarray:
     return c
 
 
+@cache
+def _table_list() -> list[int]:
+    return _table().tolist()
+
+
 def masked_sums(parts: list[bytes]) -> np.ndarray:
     """Masked CRC-32C of each part; one numpy step takes a byte of every part."""
     sizes = np.array([len(p) for p in parts], np.int64)
@@ -60,6 +65,15 @@ def masked_sums(parts: list[bytes]) -> np.ndarray:
     return (((out >> 15) | (out << 17)) + np.uint32(_MASK)).astype(np.uint32)
 
 
+def masked_sum(part: bytes) -> int:
+    """Masked CRC-32C of a short part."""
+    table, c = _table_list(), 0xFFFFFFFF
+    for b in part:
+        c = table[(c ^ b) & 0xFF] ^ (c >> 8)
+    c ^= 0xFFFFFFFF
+    return (((c >> 15) | (c << 17)) + _MASK) & 0xFFFFFFFF
+
+
 def _varint(n: int) -> bytes:
     n &= (1 << 64) - 1
     out = bytearray()
@@ -176,10 +190,10 @@ def frame(payloads: list[bytes]) -> bytes:
 
 def unframe(stream, name: str) -> Iterator[bytes]:
     """Payloads of a file's records, whose sums are checked some thousand at a time."""
-    at, heads, payloads, sums, places = 0, [], [], [], []
+    at, payloads, sums, places = 0, [], [], []
 
     def checked() -> Iterator[bytes]:
-        ok = (masked_sums(payloads) == np.array([s for _, s in sums], np.uint32)) & (masked_sums(heads) == np.array([s for s, _ in sums], np.uint32))
+        ok = masked_sums(payloads) == np.array(sums, np.uint32)
         for good, place, payload in zip(ok.tolist(), places, payloads, strict=True):
             if not good:
                 raise ValueError(f"{name}: damaged record at byte {place}")
@@ -189,22 +203,21 @@ def unframe(stream, name: str) -> Iterator[bytes]:
         head = stream.read(12)
         if len(head) == 0 or len(payloads) == _TOGETHER:
             yield from checked()
-            heads, payloads, sums, places = [], [], [], []
+            payloads, sums, places = [], [], []
             if not head:
                 return
         if len(head) < 12:
             raise ValueError(f"{name}: damaged record at byte {at}")
         size, head_sum = struct.unpack("<QI", head)
-        if masked_sums([head[:8]])[0] != head_sum:  # a wrong length would read far too much
+        if masked_sum(head[:8]) != head_sum:  # a wrong length would read far too much
             yield from checked()
             raise ValueError(f"{name}: damaged record at byte {at}")
         payload, tail = stream.read(size), stream.read(4)
         if len(payload) < size or len(tail) < 4:
             yield from checked()
             raise ValueError(f"{name}: damaged record at byte {at}")
-        heads.append(head[:8])
         payloads.append(payload)
-        sums.append((head_sum, struct.unpack("<I", tail)[0]))
+        sums.append(struct.unpack("<I", tail)[0])
         places.append(at)
         at += 16 + size
 
