@@ -104,6 +104,42 @@ def test_arrival_that_died_is_added_again(spark, tmp_path, monkeypatch):
     assert exact_dedup.exact_dedup(rows, index, arrival="tuesday").where("kept").count() == 0
 
 
+def test_two_arrivals_at_once(spark, tmp_path, monkeypatch):
+    """Both decide what is new before either has appended; the text stays once, and later arrivals see one row of it."""
+    index = exact_dedup.DigestIndex(spark, path=f"file://{tmp_path}/index", buckets=2)
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    whole, inner = exact_dedup.DigestIndex._append, []
+
+    def append(self, df):
+        if not inner:
+            inner.append(None)
+            inner[0] = exact_dedup.exact_dedup(docs((5, "same"), (6, "b")), exact_dedup.DigestIndex(spark, path=f"file://{tmp_path}/index"), arrival="second").collect()
+        whole(self, df)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_append", append)
+    outer = exact_dedup.exact_dedup(docs((9, "same"), (10, "c")), index, arrival="first").collect()
+    monkeypatch.undo()
+    kept = sorted((r.doc_id, r.keep_id) for r in [*outer, *inner[0]] if r.kept)
+    assert kept == [(5, 5), (6, 6), (10, 10)] and [r.keep_id for r in outer if r.doc_id == 9] == [5]
+    later = exact_dedup.exact_dedup(docs((20, "same")), index).collect()
+    assert [(r.keep_id, r.kept) for r in later] == [(5, False)] and index.entries().count() == 3
+
+
+def test_compaction_keeps_every_text(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, path=f"file://{tmp_path}/index", buckets=2)
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    for k in range(4):
+        exact_dedup.exact_dedup(docs(*[(10 * k + i, f"t{k + i}") for i in range(5)]), index, arrival=f"a{k}").collect()
+    before = sorted(map(str, index.entries().collect()))
+    files = lambda: len(list((tmp_path / "index").glob("*.parquet")))
+    many = files()
+    index.compact()
+    assert files() > many  # young files stay for those who read them
+    index.compact(min_age_s=0)
+    assert files() <= 2 and sorted(map(str, index.entries().collect())) == before and len(before) == 8
+    assert exact_dedup.exact_dedup(docs((99, "t0"), (98, "new")), index).where("kept").count() == 1
+
+
 def test_near_odd_texts(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = near_dedup.near_dedup(odd_docs).collect()

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,6 +133,33 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def commit_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file at once, as a finished draft's new name; False where ``path`` exists. Relies on a store whose renames are atomic, as HDFS's are."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    final = jvm.org.apache.hadoop.fs.Path(path)
+    draft = jvm.org.apache.hadoop.fs.Path(final.getParent(), f".draft-{uuid.uuid4().hex}")
+    fs = final.getFileSystem(conf)
+    write_text(spark, draft.toString(), text)
+    try:
+        if not fs.exists(final):
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(draft, final, none)
+            return True
+    except Py4JJavaError:
+        if not fs.exists(final):  # not a lost race
+            raise
+    finally:
+        fs.delete(draft, False)
+    return False
+
+
+def list_folder(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, time of change in ms) of each file in a folder, none where there is no folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(p) if s.isFile()] if fs.exists(p) else []
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """``names`` with as many underscores as it takes for none of them to be a column, in any case."""
     taken, mark = {c.lower() for c in df.columns}, "_"

@@ -5,9 +5,15 @@ reduced to one row for each digest with map-side aggregation, a sort-merge anti-
 finds the digests that are new, and those are appended to it. The number of buckets stands in a small file
 beside the data, so any later session opens the index by its path.
 
-An arrival has a name, and rows of the index say which one brought them. An arrival that died while it was
-appended and is added again under its name finds its own rows, gives the decisions it would have given, and
-appends what is missing; so no text is lost to a crash between decision and append.
+An arrival has a name, and rows of the index say which one brought them. Once its rows are appended it commits
+the next free version, by a rename that must not replace anything. Only then is it decided: of the committed
+arrivals that brought a text the one of the lowest version has it. All of lower versions had appended before, so
+two arrivals at once never both keep a text, and none waits for another. Rows of an arrival that hasn't committed hold
+back nobody's; if it died and is added again under its name, it appends and commits as if for the first time. An
+arrival that has committed gives the same decisions when it is added again. Two writers at once must not use one name.
+
+Every arrival adds a file to a bucket. ``compact`` writes one for each bucket again and deletes the files before it that are
+older than ``min_age_s``, which has to be longer than any arrival or reader takes.
 
 Defined results: a null text counts as empty; equal texts are byte-identical; of equal texts in one
 arrival the largest doc_id stays; a text that an earlier arrival brought stays with that arrival's row.
@@ -19,14 +25,17 @@ writes no data; opening a name with another path or number of buckets than it ha
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Scratch, fresh_names, materialize, read_text, remove_path, scratch_path, write_text
+from tidegrid.llm.common import Scratch, commit_text, fresh_names, list_folder, materialize, read_text, remove_path, scratch_path, write_text
 
-_ABOUT = "_index.json"
+_ABOUT, _VERSIONS = "_index.json", "_versions"
+#: The version of rows whose arrival hasn't committed.
+_NOT_YET = (1 << 63) - 1
 
 
 class DigestIndex:
@@ -55,9 +64,33 @@ class DigestIndex:
         # Dealt by the bucket's own hash, each task writes one bucket.
         df.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
-    def entries(self) -> DataFrame:
+    def _rows(self) -> DataFrame:
+        """All rows, with the version of their arrival."""
         self.spark.catalog.refreshTable(self.name)
-        return self.spark.table(self.name)
+        versions = list_folder(self.spark, f"{self.path}/{_VERSIONS}")
+        rows = self.spark.table(self.name)
+        if not versions:
+            return rows.withColumn("version", F.lit(_NOT_YET))
+        known = self.spark.read.schema("arrival string, version long").json([f"{self.path}/{_VERSIONS}/{n}" for n, _ in versions]).groupBy("arrival").agg(F.min("version").alias("version"))
+        return rows.join(known, "arrival", "left").withColumn("version", F.coalesce("version", F.lit(_NOT_YET)))
+
+    def entries(self, committed: bool = False) -> DataFrame:
+        """(digest, keep_id, arrival, version): one row for each text, its lowest version; ``committed``: of committed arrivals only."""
+        rows = self._rows()
+        rows = rows.where(F.col("version") < _NOT_YET) if committed else rows
+        first = F.min(F.struct("version", "arrival", "keep_id")).alias("r")
+        return rows.groupBy("digest").agg(first).select("digest", "r.keep_id", "r.arrival", "r.version")
+
+    def _commit(self, arrival: str) -> None:
+        """Take the next free version, unless the arrival has one."""
+        folder = f"{self.path}/{_VERSIONS}"
+        version = 0
+        for name, _ in sorted(list_folder(self.spark, folder)):
+            version = int(name[1:-5])
+            if json.loads(read_text(self.spark, f"{folder}/{name}"))["arrival"] == arrival:
+                return
+        while not commit_text(self.spark, f"{folder}/v{version + 1:012d}.json", json.dumps({"arrival": arrival, "version": version + 1})):
+            version += 1
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", arrival: str | None = None) -> DataFrame:
         """Append what is new in ``docs``; return (digest, keep_id, group_size, is_new) of each distinct text in it."""
@@ -65,14 +98,19 @@ class DigestIndex:
         arrived = docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest")).groupBy("digest").agg(F.max("id").alias("last_id"), F.count(F.lit(1)).alias("group_size"))
         with Scratch(self.spark) as scratch:
             arrived = scratch.put(arrived, "digest-arrival", gather=False)
-            known = self.entries()
-            fresh = arrived.join(known.hint("merge"), "digest", "left_anti")
-            fresh = fresh.select("digest", F.col("last_id").alias("keep_id"), "group_size", F.lit(True).alias("is_new"), F.lit(True).alias("missing"))
-            # Rows of this arrival are there only if it is added again.
-            old = arrived.join(known.hint("merge"), "digest").select("digest", "keep_id", "group_size", (F.col("arrival") == arrival).alias("is_new"), F.lit(False).alias("missing"))
-            groups = materialize(fresh.unionByName(old), "digest-groups")
-        self._append(groups.where("missing").select("digest", "keep_id", F.lit(arrival).alias("arrival")))
-        return groups.drop("missing")
+            fresh = arrived.join(self.entries(committed=True).hint("merge"), "digest", "left_anti")
+            self._append(fresh.select("digest", F.col("last_id").alias("keep_id"), F.lit(arrival).alias("arrival")))
+            self._commit(arrival)
+            found = arrived.join(self.entries(committed=True).hint("merge"), "digest")
+            return materialize(found.select("digest", "keep_id", "group_size", (F.col("arrival") == arrival).alias("is_new")), "digest-groups")
+
+    def compact(self, min_age_s: float = 24 * 3600) -> None:
+        """One file a bucket of all that is committed; files before it go once they are old enough."""
+        before = [n for n, changed in list_folder(self.spark, self.path) if n.endswith(".parquet") and changed <= (time.time() - min_age_s) * 1000]
+        self._append(self.entries(committed=True).select("digest", "keep_id", "arrival"))
+        for name in before:
+            remove_path(self.spark, f"{self.path}/{name}")
+        self.spark.catalog.refreshTable(self.name)
 
     def drop(self) -> None:
         """Forget the index and delete its data."""
