@@ -126,3 +126,17 @@ def test_arrivals_in_flight_and_changed_columns(spark, tmp_path):
     with pytest.raises(sharding.MissingFiles):
         store._commit(base, [*base["files"], *lost], base["schema"])
     assert store.read().count() == 4
+
+
+def test_nested_types_in_appends(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/n", fan_in=2)
+    store.append(spark.sql("select 1L as id, array('a') as tags, map('k', named_struct('x', 1)) as m, named_struct('y', array(1L)) as s"))
+    wide = spark.createDataFrame([(2, ["b", None], {"k": (None,)}, ([None],)), (3, None, None, None)], "id long, tags array<string>, m map<string, struct<x: int>>, s struct<y: array<bigint>>")
+    store.append(wide)
+    store.append(spark.sql("select 4L as id, cast(array() as array<string>) as tags"))
+    store.compact()
+    got = {r.id: r.asDict(recursive=True) for r in store.read().collect()}
+    assert got[1] == {"id": 1, "tags": ["a"], "m": {"k": {"x": 1}}, "s": {"y": [1]}} and got[2]["tags"] == ["b", None] and got[2]["m"] == {"k": {"x": None}}
+    assert got[3]["tags"] is None and got[4]["tags"] == [] and got[4]["m"] is None
+    with pytest.raises(ValueError):
+        store.append(spark.sql("select 5L as id, array(1) as tags"))

@@ -4,13 +4,14 @@ Arrivals are written as small immutable Parquet files. ``compact`` puts the live
 a tier that has ``fan_in`` files or more is merged into files of about ``target_bytes``, tiers of files
 that have reached the target are left alone. A reader sees the files that one manifest lists and nothing
 else: a version is committed by renaming a finished file to a name that must not exist yet, so a job that
-dies, or loses a race, leaves the last version as it was. A version is committed only if its new files
+dies, or loses a race, leaves the last version as it was. This relies on a store whose renames are atomic, as
+HDFS's and local ones are; object stores' aren't. A version is committed only if its new files
 are there. ``vacuum`` deletes files that no kept version lists once they are older than ``min_age_s``, which
 has to be longer than any writer takes; so the files of an arrival in flight stay.
 
 Defined results: every row of every arrival is read back exactly once, with nulls, empty and very long
 texts, repeats and extra columns as they came; columns that an arrival lacks are null; a column whose name
-differs from a known one in case only is that column; one of another type than before raises ValueError
+differs from a known one in case only is that column; types are compared, and stored, with nulls allowed at every depth; one of another type than before raises ValueError
 before anything is written; an empty arrival commits a version without files.
 """
 
@@ -34,6 +35,17 @@ class MissingFiles(RuntimeError):
     """Files that a version would list aren't there."""
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """``kind`` with nulls allowed at every depth, as it is stored and compared."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan_in: int = 4, shard_rows: int = 0):
         self.spark, self.path, self.target_bytes, self.fan_in, self.shard_rows = spark, path.rstrip("/"), target_bytes, fan_in, shard_rows
@@ -109,10 +121,10 @@ class ShardStore:
         known = {f.name.lower(): f for f in old.fields}
         for f in df.schema.fields:
             has = known.get(f.name.lower())
-            if has and has.dataType != f.dataType:
+            if has and nullable(has.dataType) != nullable(f.dataType):
                 raise ValueError(f"{f.name} is {f.dataType.simpleString()}, it was {has.dataType.simpleString()}")
         df = df.select(*[F.col(f"`{f.name}`").alias(known[f.name.lower()].name if f.name.lower() in known else f.name) for f in df.schema.fields])
-        new = T.StructType([*old.fields, *[T.StructField(f.name, f.dataType) for f in df.schema.fields if f.name.lower() not in known]])
+        new = T.StructType([*old.fields, *[T.StructField(f.name, nullable(f.dataType)) for f in df.schema.fields if f.name.lower() not in known]])
         return self._commit(base, [*base["files"], *self._write(df)], new.json())
 
     def plan(self, files: list[dict]) -> list[list[dict]]:
