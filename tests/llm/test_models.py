@@ -2,6 +2,7 @@ import collections
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -188,6 +189,42 @@ def test_short_items_between_word_boundaries():
     assert got == [(0, 1, 0, 3, 0), (0, 2, 14, 17, 0), (0, 3, 19, 34, 0), (2, 4, 0, 2, 0), (4, 6, 4, 6, 0)]
 
 
+def test_items_of_every_length():
+    """Edits a tenth of the characters from 10 on, with no other rule; without edits as whole words."""
+    rng = random.Random(8)
+    letters = "abcdef gh"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(m, "x" + word(m - 2).replace("  ", "ab") + "y" if m > 1 else "q") for m in range(1, 121)]
+    index = decontaminate.build_index(items)
+    assert all(len(plain(t)) == len(c) for (_, t), c in zip(items, index.codes, strict=True))
+    rows, want = [], []
+    for m, t in items:
+        for edits in (0, m // 10, m // 10 + 1, m // 10 + 2):
+            y = list(t)
+            for p in rng.sample(range(len(y)), min(edits, len(y))):
+                y[p] = "Z"
+            rows.append(f"{word(40)}{rng.choice([' ', 'k', ', '])}{''.join(y)}{rng.choice([' ', 'k', '.'])}{word(30)}")
+            want.append(m)
+    got = {(r, i): e for r, i, _, _, e in decontaminate.matches(index, rows)}
+    for r, (text, own) in enumerate(zip(rows, want, strict=True)):
+        for m in {own, max(1, own - 1), 12, 23, 24, 79, 80}:
+            item = plain(items[m - 1][1])
+            if m < 10:
+                found = 0 if re.search(rf"(?<![a-z0-9]){re.escape(item)}(?![a-z0-9])", plain(text)) else None
+            else:
+                d = edit_distance_within(item, plain(text))
+                found = d if d <= m // 10 else None
+            assert got.get((r, m)) == found, (r, m, text)
+
+
+def test_equal_items_cost_as_one():
+    items = [(i, "Same short  text") for i in range(1000)] + [(2000, "same short text"), (2001, "tiny"), (2002, "tiny")]
+    index = decontaminate.build_index(items)
+    assert len(index.codes) == 2 and len(index.ids) == 1003
+    got = decontaminate.matches(index, ["a same short text b tiny", "none"])
+    assert [g[1] for g in got] == [*range(1000), 2000, 2001, 2002] and {g[0] for g in got} == {0} and len(decontaminate.matches(index, ["same shortt text"])) == 1001
+
+
 def test_items_that_share_a_template(monkeypatch):
     rng = random.Random(4)
     w = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(n))

@@ -4,9 +4,10 @@ Texts and items are lower-cased, runs of white space count as one space. An item
 occurs with at most ``e`` edits only where ``m + 1 - q (e + 1)`` of its q-grams lie on ``e + 1``
 neighbouring diagonals. Shared q-grams are counted in bands of ``2 (e + 1)`` diagonals that overlap by half,
 bands that meet the count are retained, and a banded semi-global alignment confirms each, many at a time.
-``e`` is a tenth of the characters, or as many as leave the lemma one q-gram to ask for (``m // q - 1``).
-Items below ``MIN_CHARS`` characters occur only as they are, between characters that are no letters or
-digits; they are found by hashes of their whole length.
+``e`` is a tenth of the characters, whatever the length. ``q`` is ``Q``, or for a short item the largest that
+leaves the lemma one q-gram to ask for (``m // (e + 1)``, 5 or more), so items have an index for each q.
+An item whose tenth is no edit occurs only as it is, between characters that are no letters or digits;
+it is found by hashes of its whole length.
 
 The item side is a stated query set. It is read in blocks of at most ``BLOCK_CHARS`` characters, each sent
 to all tasks at that bounded size and held against all texts. What one block finds, or leaves, is written
@@ -16,6 +17,7 @@ held doesn't grow with their number.
 
 Defined results: null and empty texts match nothing; a null item or one without characters isn't searched;
 of several occurrences of one item in a text the one with the fewest edits, then the first, is reported;
+items with equal text are searched once and each reported;
 repeated rows are each judged; empty tables give no matches (and keep all texts).
 """
 
@@ -35,7 +37,6 @@ from tidegrid.llm.toxicity import lowered
 
 Q = 8
 ERROR_RATE = 0.1
-MIN_CHARS = 24
 BLOCK_CHARS = 1_000_000
 CHUNK_CHARS = 1_000_000
 #: Shared q-grams, or cells of alignments, that are held at once.
@@ -47,19 +48,28 @@ _SPAN, _ORIGIN = 1 << 40, 1_000_000_000
 
 def edit_budget(m: int) -> int:
     """Edits that an item of ``m`` characters may have."""
-    return 0 if m < MIN_CHARS else max(0, min(int(m * ERROR_RATE), m // Q - 1))
+    return int(m * ERROR_RATE)
 
 
-def gram_hashes(codes: np.ndarray) -> np.ndarray:
+def gram_size(m: int) -> int:
+    """Characters of an item's q-grams, 0 where it has no edits and needs none."""
+    e = edit_budget(m)
+    return min(Q, m // (e + 1)) if e else 0
+
+
+def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
     """Hash of the q-gram that begins at each position; doubled from 1 to 2, 4 and 8 characters."""
-    if len(codes) < Q:
+    if q != Q:
+        h = window_hashes(codes, q)
+    elif len(codes) < Q:
         return np.zeros(0, np.uint64)
-    h, mul = codes.astype(np.uint64) + np.uint64(1), int(_MUL)
-    step = 1
-    while step < Q:
-        h = h[:-step] * np.uint64(mul) + h[step:]
-        mul = mul * mul & (2**64 - 1)
-        step *= 2
+    else:
+        h, mul = codes.astype(np.uint64) + np.uint64(1), int(_MUL)
+        step = 1
+        while step < Q:
+            h = h[:-step] * np.uint64(mul) + h[step:]
+            mul = mul * mul & (2**64 - 1)
+            step *= 2
     h ^= h >> np.uint64(32)
     h *= _MUL
     return h
@@ -100,46 +110,70 @@ def _word_characters() -> np.ndarray:
 
 
 @dataclass
-class ItemIndex:
-    """q-grams of a block of items: sorted hashes, and the (item, offset) pairs of each; short items by length."""
+class GramIndex:
+    """q-grams of the items of one ``q``: sorted hashes, and the (item, offset) pairs of each."""
 
-    ids: list[int]
-    codes: list[np.ndarray]
+    q: int
     grams: np.ndarray
     first: np.ndarray
     item: np.ndarray
     offset: np.ndarray
     shift: int
     present: np.ndarray
+
+
+@dataclass
+class ItemIndex:
+    """The different texts of a block of items, with the ids of each; q-grams by size, items without edits by length."""
+
+    names: list[list[int]]
+    codes: list[np.ndarray]
     lengths: np.ndarray
     budget: np.ndarray
+    sizes: np.ndarray
+    grams: list[GramIndex]
     short: list[tuple[int, np.ndarray, np.ndarray]]
 
+    @property
+    def ids(self) -> list[int]:
+        return [i for names in self.names for i in names]
 
-def build_index(items: list[tuple[int, str]]) -> ItemIndex:
-    ids, codes = [], []
-    for i, t in sorted(set(items)):
-        c = normal(codes_of(lowered(t.strip())))[0]
-        if len(c):
-            ids.append(i)
-            codes.append(c)
-    lengths = np.array([len(c) for c in codes], np.int64)
-    hashes = [gram_hashes(c) if len(c) >= MIN_CHARS else np.zeros(0, np.uint64) for c in codes]
-    all_h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    item = np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
-    offset = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+
+def _gram_index(codes: list[np.ndarray], of: np.ndarray, q: int) -> GramIndex:
+    hashes = [gram_hashes(codes[k], q) for k in of.tolist()]
+    all_h = np.concatenate(hashes)
+    item = np.repeat(of, [len(h) for h in hashes])
+    offset = np.concatenate([np.arange(len(h)) for h in hashes])
     order = np.argsort(all_h, kind="stable")
     grams, first = np.unique(all_h[order], return_index=True)
     bits = min(24, max(16, int(len(grams) * 16).bit_length()))
     present = np.zeros(1 << bits, bool)
     present[(grams >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return GramIndex(q, grams, np.append(first, len(all_h)), item[order], offset[order], 64 - bits, present)
+
+
+def build_index(items: list[tuple[int, str]]) -> ItemIndex:
+    names: dict[bytes, list[int]] = {}
+    codes: list[np.ndarray] = []
+    for i, t in sorted(set(items)):
+        c = normal(codes_of(lowered(t.strip())))[0]
+        if not len(c):
+            continue
+        own = names.setdefault(c.tobytes(), [])
+        if not own:
+            codes.append(c)
+        if i not in own[-1:]:  # ids ascend, so one that is there is last
+            own.append(i)
+    lengths = np.array([len(c) for c in codes], np.int64)
+    sizes = np.array([gram_size(m) for m in lengths.tolist()], np.int64)
+    grams = [_gram_index(codes, np.flatnonzero(sizes == q), q) for q in np.unique(sizes[sizes > 0]).tolist()]
     short = []
-    for size in np.unique(lengths[lengths < MIN_CHARS]).tolist():
+    for size in np.unique(lengths[sizes == 0]).tolist():
         of = np.flatnonzero(lengths == size)
         h = np.array([window_hashes(codes[k], size)[0] for k in of.tolist()], np.uint64)
         by = np.argsort(h, kind="stable")
         short.append((size, h[by], of[by]))
-    return ItemIndex(ids, codes, grams, np.append(first, len(all_h)), item[order], offset[order], 64 - bits, present, lengths, np.array([edit_budget(m) for m in lengths.tolist()], np.int64), short)
+    return ItemIndex(list(names.values()), codes, lengths, np.array([edit_budget(m) for m in lengths.tolist()], np.int64), sizes, grams, short)
 
 
 def align_all(items: list[np.ndarray], regions: list[np.ndarray], lows: list[int], widths: list[int], budgets: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,21 +230,21 @@ def _find(code: np.ndarray, text: np.ndarray) -> int:
     return at // 4 if at >= 0 else -1
 
 
-def _bands(index: ItemIndex, flat: np.ndarray) -> np.ndarray:
-    """Keys (item, band) whose shared q-grams meet the lemma's count, in order."""
-    h = gram_hashes(flat)
-    some = np.flatnonzero(index.present[(h >> np.uint64(index.shift)).astype(np.int64)])
-    g = np.minimum(np.searchsorted(index.grams, h[some]), len(index.grams) - 1)
-    hit = index.grams[g] == h[some]
+def _bands(index: ItemIndex, own: GramIndex, flat: np.ndarray) -> np.ndarray:
+    """Keys (item, band) of the items of ``own`` whose shared q-grams meet the lemma's count, in order."""
+    h = gram_hashes(flat, own.q)
+    some = np.flatnonzero(own.present[(h >> np.uint64(own.shift)).astype(np.int64)])
+    g = np.minimum(np.searchsorted(own.grams, h[some]), len(own.grams) - 1)
+    hit = own.grams[g] == h[some]
     some, g = some[hit], g[hit]
-    n_each = index.first[g + 1] - index.first[g]
-    need = index.lengths + 1 - Q * (index.budget + 1)
+    n_each = own.first[g + 1] - own.first[g]
+    need = index.lengths + 1 - own.q * (index.budget + 1)
     upto = np.cumsum(n_each)
     kept, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     i = 0
     while i < len(some):
         j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE_HITS, side="right")))
-        keys, n = _counted(index, some[i:j], g[i:j], n_each[i:j], need, whole=i == 0 and j == len(some))
+        keys, n = _counted(index, own, some[i:j], g[i:j], n_each[i:j], need, whole=i == 0 and j == len(some))
         # A band that a slice cuts through has its parts' counts added up.
         both = np.concatenate([kept, keys])
         kept, inverse = np.unique(both, return_inverse=True)
@@ -219,14 +253,14 @@ def _bands(index: ItemIndex, flat: np.ndarray) -> np.ndarray:
     return kept[counts >= need[kept >> 40]] if len(kept) else kept
 
 
-def _counted(index: ItemIndex, some: np.ndarray, g: np.ndarray, n_each: np.ndarray, need: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+def _counted(index: ItemIndex, own: GramIndex, some: np.ndarray, g: np.ndarray, n_each: np.ndarray, need: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """Keys (item, band) of a slice of shared q-grams, and how many different q-grams each has in it."""
     total = int(n_each.sum())
-    entry = np.repeat(index.first[g] - (np.cumsum(n_each) - n_each), n_each) + np.arange(total)
-    item = index.item[entry]
-    band = (np.repeat(some, n_each) - index.offset[entry] + _ORIGIN) // (index.budget + 1)[item]
+    entry = np.repeat(own.first[g] - (np.cumsum(n_each) - n_each), n_each) + np.arange(total)
+    item = own.item[entry]
+    band = (np.repeat(some, n_each) - own.offset[entry] + _ORIGIN) // (index.budget + 1)[item]
     keys = np.concatenate([item * _SPAN + band, item * _SPAN + band - 1])
-    offsets = np.concatenate([index.offset[entry]] * 2)
+    offsets = np.concatenate([own.offset[entry]] * 2)
     if whole:  # a hashed count first: it is never below the true one, and nearly all shared q-grams end here
         size = 1 << int(4 * len(keys)).bit_length()
         slot = ((keys.view(np.uint64) * _MUL) >> np.uint64(65 - size.bit_length())).astype(np.int64)
@@ -241,7 +275,7 @@ def _counted(index: ItemIndex, some: np.ndarray, g: np.ndarray, n_each: np.ndarr
 
 
 def _short_matches(index: ItemIndex, flat: np.ndarray, begins: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
-    """First occurrence of each short item in each row, as it is and between word boundaries."""
+    """First occurrence of each item without edits in each row, between word boundaries."""
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     word = _word_characters()[np.minimum(flat, 0xFFFF)]
     edge = np.ones(len(flat) + 1, bool)
@@ -260,7 +294,7 @@ def _short_matches(index: ItemIndex, flat: np.ndarray, begins: np.ndarray) -> di
 
 def matches(index: ItemIndex, rows: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(row, item, begin, end, edits) of the best occurrence of each item in each row."""
-    if not index.ids or not rows:
+    if not index.codes or not rows:
         return []
     lows = [lowered(t) for t in rows]
     begins = np.zeros(len(rows) + 1, np.int64)
@@ -275,7 +309,7 @@ def matches(index: ItemIndex, rows: list[str]) -> list[tuple[int, int, int, int,
             found[r, k] = got
 
     doubtful: list[tuple[int, int, int, int, int, int]] = []
-    for key in _bands(index, flat).tolist() if len(index.grams) else ():
+    for key in (key for own in index.grams for key in _bands(index, own, flat).tolist()):
         k, b = key >> 40, key & (_SPAN - 1)
         e, m, code = int(index.budget[k]), int(index.lengths[k]), index.codes[k]
         lo = b * (e + 1) - _ORIGIN - e
@@ -310,8 +344,8 @@ def matches(index: ItemIndex, rows: list[str]) -> list[tuple[int, int, int, int,
     out = []
     origin = at[begins[:-1]]
     for (r, k), (b, e_at, edits) in sorted(found.items()):
-        out.append((r, index.ids[k], int(at[b] - origin[r]), int(at[e_at - 1] + 1 - origin[r]), edits))
-    return out
+        out += [(r, i, int(at[b] - origin[r]), int(at[e_at - 1] + 1 - origin[r]), edits) for i in index.names[k]]
+    return sorted(out)
 
 
 def _row_groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
