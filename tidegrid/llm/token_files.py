@@ -61,8 +61,9 @@ def _encode(path: str, end_id: int, segment_ids: int):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = range_coder.SEGMENT_IDS) -> None:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # By id and text, so that one repeated id doesn't make a part of its own too large.
-    order = ["doc_id", F.xxhash64("text")]
+    # By id; with repeats by text too, so that one id doesn't make a part too large. Texts are read once more then, for the parts' bounds.
+    repeated = bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).collect())
+    order = ["doc_id", F.xxhash64("text")] if repeated else ["doc_id"]
     rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_encode(tokenizer_path, end_id, segment_ids), SCHEMA).write.parquet(path)
 
 

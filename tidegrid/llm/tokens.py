@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_PIECES = 400_000
+MEMO_PIECES = 800_000
 #: Pieces whose ids are gathered at a time, which keeps their places in a processor's cache.
 _TAKEN = 100_000
 
