@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.metrics import all_metrics
 from tidegrid.operators.features import lag_array
+from tidegrid.sources.io import scratch
 
 SEASON = 24
 
@@ -288,19 +289,19 @@ def chronological(rows: DataFrame, key: str, train: float = 0.8, ts: str = "bin"
 
 def cluster_forecast(series: DataFrame, cluster: str, value: str, n: int = 12, ts: str = "bin", trees: int = 20, depth: int = 6) -> DataFrame:
     """One forest over scaled lags for each cluster; whole, non-negative predictions of the last fifth of its rows."""
-    rows = chronological(lag_dataset(series, cluster, value, n, ts), cluster, ts=ts).cache()
+    made = chronological(lag_dataset(series, cluster, value, n, ts), cluster, ts=ts)
+    path = scratch(series.sparkSession, "cluster-lags")
+    made.write.parquet(path)  # once, for all clusters' fits and for whoever reads the forecast
+    rows = series.sparkSession.read.schema(made.schema).parquet(path)
     assembler = VectorAssembler(inputCols=[f"l{k}" for k in range(1, n + 1)], outputCol="raw")
     out = None
-    try:
-        for name in sorted(r[0] for r in rows.select(cluster).distinct().collect()):  # clusters are few by their making
-            own = rows.where(F.col(cluster) == name)
-            forest = RandomForestRegressor(featuresCol="features", labelCol=value, numTrees=trees, maxDepth=depth, seed=42)
-            model = Pipeline(stages=[assembler, MinMaxScaler(inputCol="raw", outputCol="features"), forest]).fit(own.where("split = 'train'"))
-            got = model.transform(own.where("split = 'test'")).select(cluster, ts, F.col(value).alias("actual"), F.greatest(F.round("prediction"), F.lit(0.0)).alias("prediction"))
-            out = got if out is None else out.unionByName(got)
-        return out
-    finally:
-        rows.unpersist()
+    for name in sorted(r[0] for r in rows.select(cluster).distinct().collect()):  # clusters are few by their making
+        own = rows.where(F.col(cluster) == name)
+        forest = RandomForestRegressor(featuresCol="features", labelCol=value, numTrees=trees, maxDepth=depth, seed=42)
+        model = Pipeline(stages=[assembler, MinMaxScaler(inputCol="raw", outputCol="features"), forest]).fit(own.where("split = 'train'"))
+        got = model.transform(own.where("split = 'test'")).select(cluster, ts, F.col(value).alias("actual"), F.greatest(F.round("prediction"), F.lit(0.0)).alias("prediction"))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def stitch(history: DataFrame, predicted: DataFrame, cluster: str, value: str, ts: str = "bin") -> DataFrame:

@@ -32,10 +32,10 @@ def densify(counts: DataFrame, key: str, seconds: int, value: str = "demand", ke
 
 def active_by_span(counts: DataFrame, key: str, seconds: int, least: float = 0.05) -> DataFrame:
     """Keys observed in at least ``least`` of the bins between the first and the last bin of all."""
-    ends = counts.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).first()
-    span = 1 if ends["lo"] is None else int((ends["hi"] - ends["lo"]).total_seconds()) // seconds + 1
-    n = F.count_distinct("bin")
-    return counts.groupBy(key).agg(n.alias("n_bins"), (n / F.lit(float(span))).alias("active_ratio")).where(F.col("active_ratio") >= least)
+    span = F.floor((epoch("hi") - epoch("lo")) / seconds) + 1
+    ends = counts.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).select(span.alias("n"))
+    found = counts.groupBy(key).agg(F.count_distinct("bin").alias("n_bins"))
+    return found.withColumn("active_ratio", F.col("n_bins") / ends.scalar()).where(F.col("active_ratio") >= least)
 
 
 def active_in_train(dense: DataFrame, key: str, cut: Column, value: str = "demand", least: float = 0.05) -> DataFrame:
@@ -46,8 +46,8 @@ def active_in_train(dense: DataFrame, key: str, cut: Column, value: str = "deman
 
 def active_by_mean(counts: DataFrame, key: str, least: float, value: str = "demand") -> DataFrame:
     """Keys whose total over the distinct observed bins of all keys is at least ``least``."""
-    n = counts.select("bin").distinct().count()
-    return counts.groupBy(key).agg((F.sum(value) / F.lit(float(max(n, 1)))).alias("mean_demand")).where(F.col("mean_demand") >= least)
+    bins = counts.agg(F.count_distinct("bin")).scalar()
+    return counts.groupBy(key).agg(F.sum(value).alias("total")).select(key, (F.col("total") / bins).alias("mean_demand")).where(F.col("mean_demand") >= least)
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -55,8 +55,8 @@ def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, stratum: str, order: Sequence[Column], n: int, total: int) -> DataFrame:
-    """About ``n`` of ``total`` rows, from each stratum its share; ``order`` decides which."""
+    """About ``n`` of ``total`` rows, from each stratum its share and at least one; ``order`` decides which."""
     w = Window.partitionBy(stratum)
     size = F.count(F.lit(1)).over(w)
     rn = F.row_number().over(w.orderBy(*order))
-    return df.withColumns({"_size": size, "_rn": rn}).where(F.col("_rn") <= F.floor(F.col("_size") * (n / max(total, 1)))).drop("_size", "_rn")
+    return df.withColumns({"_size": size, "_rn": rn}).where(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_size") * (n / max(total, 1))))).drop("_size", "_rn")

@@ -59,13 +59,11 @@ def kmeans_zones(spark, sf_dir):
 
 
 def dense_nations(spark, sf_dir):
-    from tidegrid.operators.panel import pivot_sum
-
+    """Each nation's months from the first to the last of all, without orders 0."""
     s = nation_series(spark, sf_dir)
-    zones = sorted(x[0] for x in s.select("zone").distinct().collect())
-    wide = pivot_sum(s, ["bin"], "zone", zones, "demand")
-    pairs = ", ".join(f"{z}, `{z}`" for z in zones)
-    return wide.selectExpr("bin", f"stack({len(zones)}, {pairs}) as (zone, demand)")
+    lo, hi = s.agg(F.min("bin")).scalar(), s.agg(F.max("bin")).scalar()
+    grid = s.select("zone").distinct().select("zone", F.explode(F.sequence(lo, hi, F.expr("interval 1 month"))).alias("bin"))
+    return grid.join(s.select("zone", "bin", "demand"), ["zone", "bin"], "left").select("bin", "zone", F.coalesce("demand", F.lit(0.0)).alias("demand"))
 
 
 @query()

@@ -142,8 +142,7 @@ def active_mean(spark, sf_dir):
 @query(PANEL_SQL + ", i as (select event_type, bin, date_diff('hour', min(bin) over (), bin) as time_idx from d) select event_type, bin, time_idx, (time_idx >= 5)::int as has_lag5, (time_idx >= 24)::int as has_day, (time_idx >= 60)::int as has_ewma, (time_idx >= 168)::int as has_week, (time_idx < 24)::int as cold_start, (time_idx >= 168)::int as ready from i")
 def readiness_flags(spark, sf_dir):
     rows = panel(spark, sf_dir)
-    lo = rows.agg(F.min("bin")).first()[0]
-    rows = rows.select(BY, "bin", time_index("bin", F.lit(lo).cast("timestamp_ntz"), HOUR).alias("time_idx"))
+    rows = rows.select(BY, "bin", time_index("bin", rows.agg(F.min("bin")).scalar(), HOUR).alias("time_idx"))
     return rows.withColumns(ft.readiness(F.col("time_idx"), day=24, week=168))
 
 

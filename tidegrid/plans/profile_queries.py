@@ -14,10 +14,10 @@ from tidegrid.plans.registry import TRIPS_SQL, query, r, table, trips
 from tidegrid.sources import io
 
 
-@query("with b as (select quantile_cont(epoch(ts)::double, 0.25) as q1, quantile_cont(epoch(ts)::double, 0.75) as q3 from events where value > 20) select event_id, ts from events, b where epoch(ts) between q1 - 0.25 * (q3 - q1) and q3 + 0.25 * (q3 - q1)")
+@query("with b as (select quantile_cont(epoch(ts)::double, 0.25) as q1, quantile_cont(epoch(ts)::double, 0.75) as q3 from events) select event_id, ts from events, b where epoch(ts) between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)")
 def iqr_fence(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("s", epoch("ts").cast("double"))
-    lo, hi = cl.tukey_bounds(events.where("value > 20"), "s", k=0.25, least_iqr=1.0)
+    lo, hi = cl.tukey_bounds(events, "s", least_iqr=1.0)
     return events.where(F.col("s").between(lo, hi)).select("event_id", "ts")
 
 
@@ -216,8 +216,8 @@ def idxmax_by_group(spark, sf_dir):
 @query("select hour(ts)::int as hour, round(count(*)::double / (select count(distinct ts::date) from events), 6) as per_day from events group by 1")
 def per_day_hourly_rate(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    days = events.agg(F.count_distinct(F.to_date("ts"))).first()[0] or 1
-    return events.groupBy(F.hour("ts").alias("hour")).agg(r(F.count(F.lit(1)) / F.lit(float(days))).alias("per_day"))
+    days = events.agg(F.count_distinct(F.to_date("ts"))).scalar()
+    return events.groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n")).select("hour", r(F.col("n") / days).alias("per_day"))
 
 
 @query(TRIPS_SQL + "select round(avg(fare), 4) as fare, round(avg(tip), 4) as tip, round(avg(tolls), 4) as tolls, round(avg(fare + tip + tolls), 4) as total, round(avg(fare) * 100 / avg(fare + tip + tolls), 6) as fare_pct, round(avg(tip) * 100 / avg(fare + tip + tolls), 6) as tip_pct from t")
@@ -236,12 +236,16 @@ def tip_rate(spark, sf_dir):
 @query(TRIPS_SQL + "select year(pickup)::int as year, round(median(fare / nullif(distance, 0)), 6) as fare_per_mile, round(median(case when minutes > 0 then fare / minutes end), 6) as fare_per_minute, round(avg(case when minutes > 0 then distance / (minutes / 60) end), 8) as speed from t group by 1")
 def unit_prices(spark, sf_dir):
     c = F.col
-    rows = trips(spark, sf_dir).withColumn("year", F.year("pickup"))
-    out = rows.groupBy("year").agg(r(F.avg(ratio(c("distance"), c("minutes") / 60)), 8).alias("speed"))
-    for name, by in (("fare_per_mile", "distance"), ("fare_per_minute", "minutes")):
-        median = cl.grouped_quantiles(rows, ratio(c("fare"), c(by)), [0.5], ["year"])
-        out = out.join(median.select("year", r(c("q")[0]).alias(name)), "year", "left")
-    return out.select("year", "fare_per_mile", "fare_per_minute", "speed")
+    measures = {"fare_per_mile": ratio(c("fare"), c("distance")), "fare_per_minute": ratio(c("fare"), c("minutes")), "speed": ratio(c("distance"), c("minutes") / 60)}
+    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), m.alias("value")) for n, m in measures.items()])).alias("m")
+    # The join is made once; medians and means read what it wrote.
+    path = io.scratch(spark, "unit-prices")
+    trips(spark, sf_dir).select(F.year("pickup").alias("year"), stacked).select("year", "m.*").write.parquet(path)
+    rows = spark.read.schema("year int, measure string, value double").parquet(path)
+    medians = cl.grouped_quantiles(rows.where("measure <> 'speed'"), c("value"), [0.5], ["year", "measure"])
+    out = rows.where("measure = 'speed'").groupBy("year").agg(r(F.avg("value"), 8).alias("speed"))
+    of = lambda name: F.max(F.when(c("measure") == name, r(c("q")[0]))).alias(name)
+    return out.join(medians.groupBy("year").agg(of("fare_per_mile"), of("fare_per_minute")), "year", "left").select("year", "fare_per_mile", "fare_per_minute", "speed")
 
 
 @query(TRIPS_SQL + ", c as (select year(pickup)::int as year, case payment when 'A' then 'card' when 'N' then 'cash' else 'other' end as payment_type, count(*) as n from t group by 1, 2) select *, round(n * 100.0::double / sum(n) over (partition by year), 6) as row_pct from c")
@@ -262,7 +266,7 @@ def mode_value(spark, sf_dir):
     return counts.groupBy("l_returnflag").agg(F.max_by("l_linenumber", F.struct("n", -F.col("l_linenumber"))).alias("mode_line"))
 
 
-@query("select event_type, event_id from (select event_type, event_id, count(*) over (partition by event_type) as size, row_number() over (partition by event_type order by event_id * 7919 % 10007, event_id) as rn from events) where rn <= floor(size * (1000.0::double / (select count(*) from events)))")
+@query("select event_type, event_id from (select event_type, event_id, count(*) over (partition by event_type) as size, row_number() over (partition by event_type order by event_id * 7919 % 10007, event_id) as rn from events) where rn <= greatest(1, floor(size * (1000.0::double / (select count(*) from events))))")
 def stratified_sample(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     return strata(events, "event_type", [F.col("event_id") * 7919 % 10_007, F.col("event_id")], 1000, events.count()).select("event_type", "event_id")
