@@ -53,6 +53,24 @@ def tuned_regressor(spark, sf_dir):
     return spark.createDataFrame(weights, "feature string, importance double")
 
 
+@query()
+def sequence_model(spark, sf_dir):
+    """Demand from the 24 bins before, scaled by the train rows' moments, by a causal convolution and a dense layer."""
+    from tidegrid.operators import sequence_model as sm
+    from tidegrid.operators.features import sequence_windows
+
+    rows = rank_split(sequence_windows(panel(spark, sf_dir), ["demand"], 24, by_time("event_type")), "event_type")
+    known = rows.where("split = 'train'").agg(F.avg("demand").alias("m"), F.stddev_pop("demand").alias("s"))
+    mean, deviation = known.select("m").scalar(), known.select("s").scalar()
+    rows = rows.select("event_type", "bin", "demand", "split", F.transform(F.flatten("sequence"), lambda v: (v - mean) / deviation).alias("sequence"), ((F.col("demand") - mean) / deviation).alias("scaled"))
+    path = io.scratch(spark, "sequences")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    model = sm.fit(rows.withColumn("held", F.col("split") == "test"), "sequence", "scaled", "held", 24, 1, filters=8, epochs=12, rate=0.02)
+    ahead = sm.predict(rows.where("split = 'test'"), model, "sequence")
+    return ahead.select("event_type", "bin", "demand", F.greatest(F.col("prediction") * deviation + mean, F.lit(0.0)).alias("prediction"))
+
+
 @query()
 def kmeans_zones(spark, sf_dir):
     return cu.kmeans(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("zone")), ["zone"], k=5)

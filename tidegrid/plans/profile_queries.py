@@ -409,3 +409,50 @@ def hashed_sample(spark, sf_dir):
 def per_day_average(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), F.to_date("l_shipdate").alias("d")).agg(F.sum("l_extendedprice").alias("v"))
     return rows.groupBy("year", "month").agg(r(F.sum("v") / F.count("d"), 4).alias("per_day"))
+
+
+@query("select o_orderpriority as priority, count(*) as n, round(sum(o_totalprice), 2) as total, min(o_orderdate)::date as first_day, 'bigint,double,timestamp_ntz,string,string' as kinds from orders group by 1")
+def csv_inferred(spark, sf_dir):
+    """Orders as CSV files that drift (whole prices here, decimals there, other columns in another order), read with one inferred type a column."""
+    from tidegrid.sources import delimited
+
+    path = io.scratch(spark, "csv")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), "o_orderpriority", F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("code"))
+    whole = F.col("o_totalprice") == F.floor("o_totalprice")
+    orders.where(whole).withColumn("o_totalprice", F.col("o_totalprice").cast("long")).write.option("header", True).csv(f"{path}/a")
+    orders.where(~whole).select("code", "o_orderpriority", "o_orderdate", "o_totalprice", "o_orderkey").write.option("header", True).csv(f"{path}/b")
+    rows = delimited.read_inferred(spark, io.list_files(spark, f"{path}/*/*.csv"))
+    kinds = dict(rows.dtypes)
+    shown = ",".join(kinds[c] for c in ("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority", "code"))
+    return rows.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("o_totalprice"), 2).alias("total"), F.min("o_orderdate").cast("date").alias("first_day")).withColumn("kinds", F.lit(shown))
+
+
+def _damage(spark, path) -> None:
+    """Overwrite a small file with its middle half inverted, as a fault to test readers with."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    stream = fs.open(p)
+    data = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    stream.close()
+    n = len(data)
+    data[n // 4 : 3 * n // 4] = bytes(b ^ 0xFF for b in data[n // 4 : 3 * n // 4])
+    out = fs.create(p, True)
+    out.write(data)
+    out.close()
+
+
+@query("select l_linenumber::int as line, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem where l_linenumber <> 3 group by 1")
+def damaged_files(spark, sf_dir):
+    """Lines in a file for each number; one file's pages are damaged behind a sound footer, the others are read whole."""
+    path = io.scratch(spark, "damaged")
+    lines = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity", "l_orderkey", "l_extendedprice")
+    for k in range(1, 8):
+        lines.where(F.col("l_linenumber") == k).coalesce(1).write.parquet(f"{path}/{k}")
+    (hit,) = io.list_files(spark, f"{path}/3/*.parquet")
+    _damage(spark, hit)
+    whole, lost = io.read_whole_files(spark, io.list_files(spark, f"{path}/*/*.parquet"))
+    named = lost.where(F.col("n_read") < F.col("n_footer")).select("file").collect()
+    if [row["file"] for row in named] != [hit]:
+        raise ValueError("the damaged file isn't the one listed")
+    return whole.groupBy(F.col("l_linenumber").cast("int").alias("line")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("l_quantity"), 2).alias("quantity"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,19 +118,24 @@ def file_profile(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("n_rows"), F.max("_metadata.file_size").alias("n_bytes"))
 
 
+def _footer(spark: SparkSession, path: str) -> tuple:
+    """A Parquet file's row of ``footer_profile``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(p, conf))
+    try:
+        blocks = list(reader.getFooter().getBlocks())
+        columns = reader.getFooter().getFileMetaData().getSchema().getFieldCount()
+        return p.getName(), sum(b.getRowCount() for b in blocks), columns, len(blocks), sum(b.getCompressedSize() for b in blocks), sum(b.getTotalByteSize() for b in blocks)
+    finally:
+        reader.close()
+
+
 def footer_profile(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """file_name, n_rows, n_columns, n_row_groups, compressed and uncompressed bytes of Parquet files, from their footers alone."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    rows = []
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(p, conf))
-        try:
-            blocks = list(reader.getFooter().getBlocks())
-            columns = reader.getFooter().getFileMetaData().getSchema().getFieldCount()
-            rows.append((p.getName(), sum(b.getRowCount() for b in blocks), columns, len(blocks), sum(b.getCompressedSize() for b in blocks), sum(b.getTotalByteSize() for b in blocks)))
-        finally:
-            reader.close()
+    # The driver waits on stores, not on itself, so several footers are read at a time.
+    with ThreadPoolExecutor(16) as pool:
+        rows = list(pool.map(lambda path: _footer(spark, path), paths))
     return spark.createDataFrame(rows, "file_name string, n_rows long, n_columns int, n_row_groups int, compressed_bytes long, uncompressed_bytes long")
 
 
@@ -170,3 +177,40 @@ def keep_distinct_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def add_missing(df: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:
     new = {k: v for k, v in defaults.items() if k not in df.columns}
     return df.withColumns(new) if new else df
+
+
+def read_whole_files(spark: SparkSession, paths: Sequence[str], schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of the files that can be read to their end, and (file, n_footer, n_read) of each that can't.
+
+    A file's footer may be sound and its pages not, which would end a job that reads them. Here all columns of all
+    files are decoded once with damaged files cut short, and files that gave fewer rows than their footer says, or whose
+    footer can't be read (n_footer is null), are listed and left out. The schema is ``schema``, or that of the first sound footer.
+
+    Defined results: an empty file is sound; without any sound file there are no rows, and ``schema`` is needed.
+    """
+    footers, broken = {}, []
+    for path in paths:
+        try:
+            footers[path] = _footer(spark, path)[1]
+        except Py4JJavaError:  # not a Parquet file
+            broken.append(path)
+    kinds = spark.read.schema(schema).parquet(*footers).schema if schema and footers else spark.read.parquet(next(iter(footers))).schema if footers else spark.createDataFrame([], schema or T.StructType()).schema
+    listed = [(p, None, 0) for p in broken]
+    good = list(footers)
+    if footers:
+        rows = spark.read.option("ignoreCorruptFiles", "true").schema(kinds).parquet(*footers)
+        decoded = rows.select(F.col("_metadata.file_path").alias("file"), F.xxhash64(*[f"`{f.name}`" for f in kinds.fields]).alias("h"))
+        # The hash of all columns makes the scan decode all of them.
+        found = decoded.groupBy("file").agg(F.count("h").alias("n"), F.bit_xor("h").alias("h"))
+        n_read = {_file_name(spark, r["file"]): r["n"] for r in found.collect()}  # one row a file
+        lost = {p: n_read.get(_file_name(spark, p), 0) for p, n in footers.items() if n_read.get(_file_name(spark, p), 0) < n}
+        listed += [(p, footers[p], n) for p, n in lost.items()]
+        good = [p for p in footers if p not in lost]
+    whole = spark.read.schema(kinds).parquet(*good) if good else spark.createDataFrame([], kinds)
+    return whole, spark.createDataFrame(listed, "file string, n_footer long, n_read long")
+
+
+def _file_name(spark: SparkSession, path: str) -> str:
+    """A path with its store, as Spark's file metadata has it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
