@@ -60,8 +60,7 @@ def sequence_model(spark, sf_dir):
     from tidegrid.operators.features import sequence_windows
 
     rows = rank_split(sequence_windows(panel(spark, sf_dir), ["demand"], 24, by_time("event_type")), "event_type")
-    known = rows.where("split = 'train'").agg(F.avg("demand").alias("m"), F.stddev_pop("demand").alias("s"))
-    mean, deviation = known.select("m").scalar(), known.select("s").scalar()
+    mean, deviation = rows.where("split = 'train'").agg(F.avg("demand"), F.stddev_pop("demand")).first()
     rows = rows.select("event_type", "bin", "demand", "split", F.transform(F.flatten("sequence"), lambda v: (v - mean) / deviation).alias("sequence"), ((F.col("demand") - mean) / deviation).alias("scaled"))
     path = io.scratch(spark, "sequences")
     rows.write.parquet(path)
