@@ -156,6 +156,45 @@ def holt_winters_start(spark, sf_dir):
 ROWS_SQL = PANEL_SQL + ", f as (select *, row_number() over (partition by event_type order by bin) - 24 as rn, count(*) over (partition by event_type) - 24 as n from d), "
 
 
+def _ridge_sql(rows: str, name: str, penalty: float) -> str:
+    """SQL of ridge regression of y on x1 and x2 over ``rows``, by its normal equations; the penalty is on inputs and label of deviation 1."""
+    return f"""{name}_m as (select count(*)::double as n, avg(x1) as a1, avg(x2) as a2, avg(y) as ay, var_pop(x1) as v1, var_pop(x2) as v2, stddev_pop(y) as sy from {rows}),
+{name}_c as (select sum((x1 - a1) * (x1 - a1)) / any_value(n) + {penalty} / any_value(sy) * any_value(v1) as s11, sum((x2 - a2) * (x2 - a2)) / any_value(n) + {penalty} / any_value(sy) * any_value(v2) as s22, sum((x1 - a1) * (x2 - a2)) / any_value(n) as s12, sum((x1 - a1) * (y - ay)) / any_value(n) as b1, sum((x2 - a2) * (y - ay)) / any_value(n) as b2 from {rows}, {name}_m),
+{name} as (select (b1 * s22 - b2 * s12) / (s11 * s22 - s12 * s12) as w1, (b2 * s11 - b1 * s12) / (s11 * s22 - s12 * s12) as w2 from {name}_c),
+{name}_w as (select w1, w2, ay - w1 * a1 - w2 * a2 as w0 from {name}, {name}_m)"""
+
+
+_PAIR_SQL = PANEL_SQL + """, f as (select event_type, bin, demand as y, lag(demand, 1) over w as x1, lag(demand, 24) over w as x2, row_number() over w - 24 as rn, count(*) over (partition by event_type) - 24 as n from d window w as (partition by event_type order by bin)),
+pr as (select event_type, bin, y, x1, x2, case when rn / n <= 0.6 then 'train' when rn / n <= 0.8 then 'validation' else 'test' end as split from f where rn > 0),
+v as (select * from pr where split = 'validation'), """
+
+
+@query(_PAIR_SQL + _ridge_sql("t", "q", 0.1).replace("q_m as", "t as (select * from pr where split = 'train'), q_m as", 1) + " select round(w0, 5) as intercept, round(w1, 6) as lag_1, round(w2, 6) as lag_24 from q_w")
+def linear_weights(spark, sf_dir):
+    """The linear learner's weights on two lags."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = _pair_rows(spark, sf_dir).where("split = 'train'")
+    model = fc.regressors("demand")["linear"].fit(VectorAssembler(inputCols=["lag_1", "lag_24"], outputCol="features").transform(rows))
+    w = [float(x) for x in model.coefficients]
+    return spark.createDataFrame([(round(float(model.intercept), 5), round(w[0], 6), round(w[1], 6))], "intercept double, lag_1 double, lag_24 double")
+
+
+@query(_PAIR_SQL + _ridge_sql("v", "q", 1.0) + " select event_type, bin, split, round(greatest(w0 + w1 * x1 + w2 * x2, 0), 5) as prediction, split = 'validation' as in_sample from pr, q_w")
+def stacked_lags(spark, sf_dir):
+    """Two base forecasts, the demand a bin and a season ago, stacked by ridge regression on the validation rows."""
+    rows = _pair_rows(spark, sf_dir)
+    first, second = (rows.withColumn("prediction", F.col(c)) for c in ("lag_1", "lag_24"))
+    out = fc.stack(first, second, ["event_type", "bin"], "demand", fit_on="validation")
+    return out.select("event_type", "bin", "split", r("prediction", 5).alias("prediction"), "in_sample")
+
+
+def _pair_rows(spark, sf_dir):
+    rows = feature_rows(spark, sf_dir)
+    idx = F.col("rn") / F.col("n_key")
+    return rows.select("event_type", "bin", "demand", "lag_1", "lag_24", F.when(idx <= 0.6, "train").when(idx <= 0.8, "validation").otherwise("test").alias("split"))
+
+
 @query(ROWS_SQL + "x as (select count(*) as n from f where rn > floor(n * 0.7)) select unnest(['linear', 'forest', 'boosted', 'sampled']) as model, n, true as sound from x")
 def regressors_facts(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)
