@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import cluster as cu
 from tidegrid.operators import forecast as fc
+from tidegrid.operators import kshape as ks
 
 
 def seasonal(n=240, level=20.0, slope=0.05):
@@ -84,6 +85,43 @@ def test_kshape_groups_shifted_waves():
     assert best == 3
 
 
+def waves():
+    t, rng = np.arange(48), np.random.default_rng(0)
+    x = [np.sin(2 * np.pi * (t + s) / 24) for s in range(5)] + [np.where((t + s) % 12 < 2, 1.0, 0.0) for s in range(5)] + [(t + s) / 48.0 for s in range(5)]
+    return np.array(x) + 0.02 * rng.normal(size=(15, 48))
+
+
+def test_kshape_over_partitions(spark):
+    x = waves()
+    df = frame(spark, {f"s{i:02d}": v for i, v in enumerate(x)})
+    found = [{r.key: r.cluster_id for r in ks.kshape(df.repartition(n), "key", 3, seed).collect()} for n, seed in ((1, 1), (7, 1), (3, 2), (3, 3), (3, 4))]
+    assert found[0] == found[1]
+    whole = max(sum(len({f[f"s{i:02d}"] for i in range(a, a + 5)}) == 1 for a in (0, 5, 10)) for f in found)
+    assert whole == 3
+
+
+def test_kshape_round_sums_equal_those_of_all_series(spark):
+    x = waves()
+    rows = spark.createDataFrame([([float(a) for a in v], f"s{i:02d}", i % 3) for i, v in enumerate(x)], "v array<double>, name string, first long").repartition(4)
+    z = cu.standardise(x)
+    centres = z[[0, 5, 10]]
+    sums, sizes, far = ks._round(rows, 3, 48, centres)
+    dist = np.stack([cu._aligned(z, c)[0] for c in centres], axis=1)
+    for j in range(3):
+        own = cu.standardise(cu._aligned(z[dist.argmin(axis=1) == j], centres[j])[1])
+        assert np.allclose(sums[j, :48], own.T @ own) and np.allclose(sums[j, 48], own.sum(axis=0)) and sizes[j] == len(own)
+    assert np.allclose(far, z[dist.min(axis=1).argmax()])
+
+
+def test_kshape_of_odd_series(spark):
+    df = frame(spark, {"flat": np.ones(12), "a": np.arange(12.0), "b": np.arange(12.0) * 3})
+    found = {r.key: r.cluster_id for r in ks.kshape(df, "key", 9).collect()}
+    assert set(found) == {"flat", "a", "b"} and found["a"] == found["b"] and all(0 <= v < 3 for v in found.values())
+    assert ks.kshape(df.where("false"), "key").count() == 0
+    with pytest.raises(ValueError):
+        ks.kshape(frame(spark, {"a": np.ones(3), "b": np.ones(4)}), "key").count()
+
+
 def test_kernel_pca_separates_opposites():
     t = np.arange(48)
     x = np.array([np.sin(t / 4 + 0.01 * i) for i in range(5)] + [-np.sin(t / 4 + 0.01 * i) for i in range(5)])

@@ -1,7 +1,7 @@
 """Grouping of series: k-means, K-Shape, correlation kernels with kernel PCA, busy scores.
 
-The series that K-Shape and kernel PCA take are first brought to at most ``MAX_CELLS`` cells by
-resampling, whose size is checked before anything is gathered.
+The series that kernel PCA takes are first brought to at most ``MAX_CELLS`` cells by
+resampling, whose size is checked before anything is gathered. K-Shape over any number of series is in ``kshape``.
 """
 
 from __future__ import annotations
@@ -103,14 +103,6 @@ def kshape_labels(x: np.ndarray, k: int = 3, seed: int = 42, rounds: int = 50) -
     return labels
 
 
-def kshape(dense: DataFrame, key: str, k: int = 3, seed: int = 42, value: str = "demand") -> DataFrame:
-    """(key, cluster_id) of each series."""
-    keys, x = series_matrix(dense, key, value)
-    labels = kshape_labels(x, k, seed) if len(keys) else []
-    kind = dict(dense.dtypes)[key]
-    return dense.sparkSession.createDataFrame([(a, int(b)) for a, b in zip(keys, labels, strict=True)], f"`{key}` {kind}, cluster_id int")
-
-
 def correlation_kernel(x: np.ndarray) -> np.ndarray:
     """exp(-d2 / L) over distances between the rows of 1 - r; a constant series correlates with nothing."""
     z = standardise(x)

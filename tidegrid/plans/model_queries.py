@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import cluster as cu
 from tidegrid.operators import forecast as fc
+from tidegrid.operators import kshape as ks
 from tidegrid.operators.features import by_time, ewma, lags, trailing
 from tidegrid.operators.splits import rank_split
 from tidegrid.plans.panel_queries import NATIONS_SQL, nation_series
@@ -85,7 +86,7 @@ def dense_nations(spark, sf_dir):
 
 @query()
 def kshape(spark, sf_dir):
-    return cu.kshape(dense_nations(spark, sf_dir), "zone", k=3)
+    return ks.kshape(dense_nations(spark, sf_dir), "zone", k=3)
 
 
 @query()
