@@ -274,6 +274,42 @@ def test_contradicting_and_repeated_labels(spark):
     assert all(got[i] == i % 2 for i in range(400)) and toxicity.toxicity(docs, labels).count() == 800
 
 
+def test_naive_bayes_scores_in_plain_python(spark):
+    """Posterior of every text, held out or not, from hashed counts smoothed by 0.1, without numpy or the module's own steps."""
+    rng = random.Random(6)
+    syllables = {"en": ["th", "ing", "er", "on"], "de": ["sch", "ung", "ei", "ü"], "fr": ["eau", "ê", "tion", "ou"]}
+    rows = [(i, " ".join("".join(rng.choice(syllables[y]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 12))) + rng.choice(["!", " 12", ""]), y) for i in range(60) for y in [rng.choice(list(syllables))]]
+    rows += [(90, "Ünder THE Eau", None), (91, "ß𐐀", "de"), (92, "", "fr")]
+
+    def grams(text):
+        codes = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+        out = []
+        for n in (1, 2, 3):
+            for k in range(len(codes) - n + 1):
+                run = codes[k : k + n]
+                if any(run):
+                    h = 0
+                    for c in run:
+                        h = (h * 0x9E3779B1 + c + 1) & 0xFFFFFFFF
+                    h = h * 0x85EBCA6B & 0xFFFFFFFF
+                    h = (h ^ h >> 15) * 0xC2B2AE35 & 0xFFFFFFFF
+                    out.append((n, h >> 17))
+        return out
+
+    learned = [(t, y) for i, t, y in rows if y and zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = {y: collections.Counter(g for t, z in learned if z == y for g in grams(t)) for y in syllables}
+    sums = {y: {n: sum(v for (m, _), v in c.items() if m == n) for n in (1, 2, 3)} for y, c in counts.items()}
+    prior = collections.Counter(y for _, y in learned)
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for i, t, _ in rows:
+        log = {y: math.log(prior[y] / len(learned)) + sum(math.log((counts[y][g] + 0.1) / (sums[y][g[0]] + 0.1 * 2**15)) for g in grams(t)) for y in syllables}
+        best = max(sorted(log), key=log.get)
+        if any(c.isalpha() for c in t):
+            assert got[i].lang_pred == best and abs(got[i].score - 1 / sum(math.exp(v - log[best]) for v in log.values())) < 1e-9
+        else:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+
+
 def test_naive_bayes_by_definition(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("the house of the king", "en"), ("la maison du roi", "fr"), ("der hund und die katze", "de"), ("das haus des koenigs", "de")] * 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

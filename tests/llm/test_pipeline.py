@@ -25,6 +25,32 @@ def test_stages_keep_columns_and_take_effect(spark, odd_docs, tmp_path):
     assert ids(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))) == left
 
 
+def test_run_on_odd_documents(spark, odd_docs, tmp_path):
+    """Nulls, empty and very long texts, repeats and clashing columns go through all stages; what is left is packed whole."""
+    extra = spark.createDataFrame([(None, "some words of no one's document at all", "en", "s", 1, "x", 1, 2, 3, 4, True, 5, 6), (70, "repeated as it is with seven words", None, None, None, None, None, None, None, None, None, None, None)], odd_docs.schema)
+    odd_docs.unionByName(extra).unionByName(extra.where("doc_id = 70")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "repeated passages"), (2, None), (None, "x"), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in out}
+    # With one language learned only texts without letters go; of "one two" the larger id stays, of equal words the smaller.
+    assert ids & {0, 1, 2, 8} == set() and {None, 4, 5, 6, 9, 70} <= ids and not ids & {3, 7}
+    assert sum(r.doc_id == 70 for r in out) == 2 and all(r.offset + r.length <= 4096 for r in out)
+    taken = {}
+    for r in out:
+        taken.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in taken.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+
+
+def test_run_on_an_empty_table(spark, no_docs, tmp_path):
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_all_are_registered():
     names = entry.queries()
-    assert set(QUERIES) | {"pipeline"} <= set(names) and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLE_SQL) <= set(entry.oracle_sql())
+    assert set(QUERIES) | {"pipeline"} <= set(names) and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(ORACLE_SQL) <= set(entry.oracle_sql())
