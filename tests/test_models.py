@@ -164,3 +164,33 @@ def test_series_are_checked_before_a_kernel(spark):
     uneven = frame(spark, {"a": seasonal(30), "b": seasonal(20)})
     with pytest.raises(ValueError):
         cu.series_matrix(uneven, "key")
+
+
+def test_search_takes_the_setting_of_least_error(spark):
+    rng = np.random.default_rng(0)
+    rows = [(float(a), float(b), float(3 * (a > 0.5) + 2 * (b > 0.3))) for a, b in rng.uniform(size=(300, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    model, best, tried = fc.search(df, ["a", "b"], "y", "forest", {"maxDepth": [1, 4], "numTrees": [8]}, folds=2)
+    assert best == {"maxDepth": 4, "numTrees": 8} and tried == 2 and model.stages[-1].getOrDefault("maxDepth") == 4
+    error = {d: fc.search(df, ["a", "b"], "y", "forest", {"maxDepth": [d], "numTrees": [8]}, folds=2)[0].transform(df).selectExpr("avg(power(prediction - y, 2))").first()[0] for d in (1, 4)}
+    assert error[4] < error[1]
+
+
+def test_metrics_come_best_first_and_kmeans_rows_are_nearest(spark):
+    df = spark.createDataFrame([(i, float(i + 1)) for i in range(20)], "id int, y double")
+    frames = {name: df.withColumn("prediction", F.col("y") * f) for name, f in (("far", 2.0), ("near", 1.1), ("mid", 1.5))}
+    assert [r.model for r in fc.model_metrics(frames, "y").collect()] == ["near", "mid", "far"]
+    rng = np.random.default_rng(1)
+    points = spark.createDataFrame([(float(c + rng.normal()), float(-c + rng.normal())) for c in (0, 20, 40) for _ in range(40)], "a double, b double")
+    got = cu.kmeans(points, ["a", "b"], k=3).toPandas()
+    x, label = got[["a", "b"]].to_numpy(), got.cluster_id.to_numpy()
+    centres = np.stack([x[label == j].mean(axis=0) for j in range(3)])
+    assert (((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1) == label).all()
+
+
+def test_rank_split_keeps_its_least_sides(spark):
+    from tidegrid.operators.splits import rank_split
+
+    df = frame(spark, {"long": np.zeros(100), "short": np.zeros(50), "tiny": np.zeros(3)})
+    cut = {r.key: r.cut for r in rank_split(df, "key", least_train=48, least_test=1).groupBy("key").agg(F.max("train_cut").alias("cut")).collect()}
+    assert cut == {"long": 70, "short": 48, "tiny": 2}
