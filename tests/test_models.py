@@ -105,12 +105,12 @@ def test_kshape_round_sums_equal_those_of_all_series(spark):
     rows = spark.createDataFrame([([float(a) for a in v], f"s{i:02d}", i % 3) for i, v in enumerate(x)], "v array<double>, name string, first long").repartition(4)
     z = cu.standardise(x)
     centres = z[[0, 5, 10]]
-    sums, sizes, far = ks._round(rows, 3, 48, centres)
+    sums, sizes = ks._round(rows, 3, 48, centres)
     dist = np.stack([cu._aligned(z, c)[0] for c in centres], axis=1)
     for j in range(3):
         own = cu.standardise(cu._aligned(z[dist.argmin(axis=1) == j], centres[j])[1])
         assert np.allclose(sums[j, :48], own.T @ own) and np.allclose(sums[j, 48], own.sum(axis=0)) and sizes[j] == len(own)
-    assert np.allclose(far, z[dist.min(axis=1).argmax()])
+    assert np.allclose(ks.farthest(rows, 48, centres), z[dist.min(axis=1).argmax()])
 
 
 def test_kshape_of_odd_series(spark):
@@ -154,6 +154,45 @@ def test_multi_output_forest_shares_splits():
     assert (fc.multi_forest(np.ones((5, 2)), np.ones((5, 3)), np.ones((2, 2)), 3, 3) == 1).all()
 
 
+def test_forest_from_products_equals_splits_on_outputs():
+    """Splits by the outputs themselves, one tree without bagging, in plain recursion."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(40, 3)), rng.normal(size=(40, 5))
+    y[:, 0] += 4 * (x[:, 1] > 0)
+
+    def best(rows):
+        errors = {}
+        for f in range(3):
+            for cut in sorted(x[rows, f])[:-1]:
+                left, right = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                errors[f, float(cut)] = sum(((y[part] - y[part].mean(axis=0)) ** 2).sum() for part in (left, right))
+        return min(errors.items(), key=lambda e: e[1])
+
+    tree = fc._grow(x, y @ y.T, np.arange(40), type("All", (), {"permutation": lambda self, n: np.arange(n)})(), 1, 1)
+    rows = np.arange(40)
+    of_first = {k: v for k, v in [best(rows)]}  # the first third of three inputs is the first one alone
+    own = min(((cut, sum(((y[p] - y[p].mean(axis=0)) ** 2).sum() for p in (rows[x[:, 0] <= cut], rows[x[:, 0] > cut]))) for cut in sorted(x[:, 0])[:-1]), key=lambda e: e[1])
+    assert tree[0] == 0 and (x[:, 0] <= tree[1]).sum() == (x[:, 0] <= own[0]).sum() and next(iter(of_first))[0] == 1
+    w = fc.forest_weights(x, y @ y.T, x[:4], trees=5, depth=4)
+    assert np.allclose(w.sum(axis=1), 1) and np.allclose(w @ y, fc.multi_forest(x, y, x[:4], 5, 4))
+
+
+def test_disaggregate_equals_one_forest_a_cluster(spark):
+    rng = np.random.default_rng(5)
+    series = {k: np.round(seasonal(60, slope=0.0) * (1 + i) + rng.normal(0, 1, 60)) for i, k in enumerate("abc")}
+    keys = frame(spark, series).withColumn("cluster", F.lit("c")).where("not (key = 'b' and hour(bin) = 5)").repartition(5)
+    total = frame(spark, {"c": sum(series.values())}).withColumnRenamed("key", "cluster")
+    got = {(r.key, r.bin): (r.actual, r.prediction) for r in fc.disaggregate(keys, total, "key", "cluster", "demand", n=4, trees=7, depth=5).collect()}
+    whole = sum(series.values())
+    x = np.array([whole[i - 4 : i][::-1] for i in range(4, 60)])
+    hours = np.arange(4, 60) % 24
+    y = np.column_stack([np.where((hours == 5) & (k == "b"), 0.0, series[k][4:]) for k in "abc"])
+    cut = int(56 * 0.8)
+    want = np.maximum(np.round(fc.multi_forest(x[:cut], y[:cut], x[cut:], 7, 5)), 0)
+    start = datetime(2024, 1, 1)
+    assert got == {(k, start + timedelta(hours=4 + i)): (series[k][4 + i], want[i - cut, j]) for j, k in enumerate("abc") for i in range(cut, 56) if not (k == "b" and hours[i] == 5)}
+
+
 def test_long_series_are_fitted_whole(spark):
     y = np.r_[np.full(1500, 5.0), np.full(1500, 50.0)] + seasonal(3000, 0, 0)
     out = fc.holt_winters(frame(spark, {"a": y}), "key").toPandas()

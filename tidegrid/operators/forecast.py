@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
@@ -310,64 +311,134 @@ def stitch(history: DataFrame, predicted: DataFrame, cluster: str, value: str, t
     return history.join(p, [cluster, ts], "left").withColumn(value, F.coalesce("_p", F.col(value).cast("double"))).drop("_p")
 
 
-def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, least: int) -> tuple:
-    """A tree of (feature, cut, low, high) over leaves of mean vectors; a split lowers the summed squares of all outputs most."""
+def _grow(x: np.ndarray, gram: np.ndarray, drawn: np.ndarray, rng: np.random.Generator, depth: int, least: int) -> tuple:
+    """A tree of (feature, cut, low, high) over leaves, which are the rows of ``drawn`` in them; a split lowers the summed squares of all outputs most.
+
+    ``gram`` holds the outputs' products of each two rows, which is all that splits depend on.
+    """
     best = None
-    if depth and len(y) >= 2 * least and (y != y[0]).any():
-        total = y.sum(axis=0)
-        for f in rng.permutation(x.shape[1])[: max(1, x.shape[1] // 3)].tolist():
-            order = np.argsort(x[:, f], kind="stable")
-            v = x[order, f]
-            left = np.cumsum(y[order], axis=0)[:-1]
-            n = np.arange(1, len(y))
-            gain = (left**2).sum(axis=1) / n + ((total - left) ** 2).sum(axis=1) / (len(y) - n)
-            gain[(v[1:] == v[:-1]) | (n < least) | (len(y) - n < least)] = -np.inf
+    if depth and len(drawn) >= 2 * least:
+        own = gram[np.ix_(drawn, drawn)]
+        total = own.sum()
+        spread = np.diag(own).sum() - total / len(drawn)
+        for f in rng.permutation(x.shape[1])[: max(1, x.shape[1] // 3)].tolist() if spread > 1e-9 * max(abs(total), 1e-300) / len(drawn) else ():
+            order = np.argsort(x[drawn, f], kind="stable")
+            v = x[drawn[order], f]
+            sorted_ = own[np.ix_(order, order)]
+            upto = np.cumsum(2 * np.tril(sorted_).sum(axis=1) - np.diag(sorted_))[:-1]  # squares of the sums of the first rows
+            with_all = np.cumsum(sorted_.sum(axis=1))[:-1]
+            n = np.arange(1, len(drawn))
+            gain = upto / n + (total - 2 * with_all + upto) / (len(drawn) - n)
+            gain[(v[1:] == v[:-1]) | (n < least) | (len(drawn) - n < least)] = -np.inf
             k = int(gain.argmax())
             if np.isfinite(gain[k]) and (best is None or gain[k] > best[0]):
                 best = (gain[k], f, (v[k] + v[k + 1]) / 2)
     if best is None:
-        return (y.mean(axis=0),)
-    low = x[:, best[1]] <= best[2]
-    return (best[1], best[2], _grow(x[low], y[low], rng, depth - 1, least), _grow(x[~low], y[~low], rng, depth - 1, least))
+        return (drawn,)
+    low = x[drawn, best[1]] <= best[2]
+    return (best[1], best[2], _grow(x, gram, drawn[low], rng, depth - 1, least), _grow(x, gram, drawn[~low], rng, depth - 1, least))
 
 
-def _leaves(tree: tuple, x: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
+def _leaves(tree: tuple, x: np.ndarray, of: Callable[[np.ndarray], np.ndarray], out: np.ndarray, at: np.ndarray) -> None:
+    """Add to each row of ``out`` what ``of`` says of the learned rows in its leaf."""
     if len(tree) == 1:
-        out[at] += tree[0]
+        out[at] += of(tree[0])
         return
     low = x[at, tree[0]] <= tree[1]
-    _leaves(tree[2], x, out, at[low])
-    _leaves(tree[3], x, out, at[~low])
+    _leaves(tree[2], x, of, out, at[low])
+    _leaves(tree[3], x, of, out, at[~low])
 
 
-def multi_forest(x: np.ndarray, y: np.ndarray, ahead: np.ndarray, trees: int, depth: int, least: int = 1, seed: int = 42) -> np.ndarray:
-    """Mean prediction of ``trees`` bagged trees that share their splits among all columns of ``y``."""
-    rng, out = np.random.default_rng(seed), np.zeros((len(ahead), y.shape[1]))
+def _forest(x: np.ndarray, gram: np.ndarray, ahead: np.ndarray, of: Callable[[np.ndarray], np.ndarray], width: int, trees: int, depth: int, least: int, seed: int) -> np.ndarray:
+    rng, out = np.random.default_rng(seed), np.zeros((len(ahead), width))
     for _ in range(trees):
-        drawn = rng.integers(0, len(x), len(x))
-        _leaves(_grow(x[drawn], y[drawn], rng, depth, least), ahead, out, np.arange(len(ahead)))
+        _leaves(_grow(x, gram, rng.integers(0, len(x), len(x)), rng, depth, least), ahead, of, out, np.arange(len(ahead)))
     return out / trees
 
 
+def forest_weights(x: np.ndarray, gram: np.ndarray, ahead: np.ndarray, trees: int, depth: int, least: int = 1, seed: int = 42) -> np.ndarray:
+    """What each row of ``x`` counts for in the mean prediction of ``trees`` bagged trees for each row of ``ahead``, whatever the outputs' number."""
+    return _forest(x, gram, ahead, lambda leaf: np.bincount(leaf, minlength=len(x)) / len(leaf), len(x), trees, depth, least, seed)
+
+
+def multi_forest(x: np.ndarray, y: np.ndarray, ahead: np.ndarray, trees: int, depth: int, least: int = 1, seed: int = 42) -> np.ndarray:
+    """Mean prediction of ``trees`` bagged trees that share their splits among all columns of ``y``."""
+    return _forest(x, y @ y.T, ahead, lambda leaf: y[leaf].mean(axis=0), y.shape[1], trees, depth, least, seed)
+
+
+#: Cells of all clusters' matrices of products that are gathered.
+MAX_GRAM_CELLS = 12_000_000
+
+
 def disaggregate(keys: DataFrame, stitched: DataFrame, key: str, cluster: str, value: str, n: int = 12, ts: str = "bin", trees: int = 50, depth: int = 10) -> DataFrame:
     """Each key's value from its cluster's history: one multi-output forest for each cluster, learned on the first 80 % of its bins.
 
-    The history holds ``n`` cluster values newest first. Clusters are fitted in Arrow groups: one cluster's
-    rows are its keys times its bins, the size of its panel. A key without a row in a bin counts as 0 there
-    and gets no row.
+    The history holds ``n`` cluster values newest first. A forest's splits depend on its outputs, the keys, only by the products of
+    each two bins over all keys, and its predictions are the same weighted means of bins for every key. So one pass sums
+    each cluster's matrix of bins x bins, forests are grown from that, and a second pass applies their weights to each key's row.
+    No task holds more than a part of a cluster's keys, and what is gathered depends on the bins alone, of which there
+    may be as many as give ``MAX_GRAM_CELLS``. A key without a row in a bin counts as 0 there and gets no row.
     """
+    spark, kinds = keys.sparkSession, dict(keys.dtypes)
     past = lag_dataset(stitched, cluster, value, n, ts).select(cluster, ts, F.col("history").cast("array<double>").alias("history"))
     rows = keys.select(key, cluster, ts, F.col(value).cast("double").alias(value)).join(past, [cluster, ts])
-    kinds = dict(keys.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=ts, columns=key, values=value, aggfunc="sum", fill_value=0.0).sort_index()
-        history = pdf.drop_duplicates(ts).set_index(ts)["history"].loc[wide.index]
-        x, y = np.array(history.tolist(), float).reshape(len(wide), n), wide.to_numpy(float)
-        cut = int(len(wide) * 0.8)
-        got = np.maximum(np.round(multi_forest(x[:cut], y[:cut], x[cut:], trees, depth)), 0.0) if cut else np.zeros((len(wide), y.shape[1]))
-        predicted = pd.DataFrame(got, index=wide.index[cut:], columns=wide.columns).stack().rename("prediction").reset_index()
-        rest = pdf[[key, cluster, ts, value]].merge(predicted, on=[key, ts]).rename(columns={value: "actual"})
-        return rest[[key, cluster, ts, "actual", "prediction"]]
-
-    return rows.groupBy(cluster).applyInPandas(run, f"`{key}` {kinds[key]}, `{cluster}` {kinds[cluster]}, `{ts}` {kinds[ts]}, actual double, prediction double")
+    path = scratch(spark, "disaggregate")
+    rows.select(key, cluster, ts, F.coalesce(value, F.lit(0.0)).alias(value), "history").write.parquet(path)
+    rows = spark.read.parquet(path)
+    bins = rows.groupBy(cluster, ts).agg(F.first("history").alias("history"))
+    bins = bins.withColumn("at", F.row_number().over(Window.partitionBy(cluster).orderBy(ts)) - 1)
+    sizes = bins.groupBy(cluster).count().collect()  # clusters are few by their making
+    if sum(r["count"] ** 2 for r in sizes) > MAX_GRAM_CELLS:
+        raise ValueError("too many bins for matrices of bins x bins; resample first")
+    histories: dict = {}
+    for r in bins.orderBy(cluster, "at").collect():
+        histories.setdefault(r[cluster], []).append(r["history"])
+    pairs = rows.join(bins.select(cluster, ts, "at"), [cluster, ts]).groupBy(cluster, key, "at").agg(F.sum(value).alias("v"))
+    vectors = pairs.groupBy(cluster, key).agg(F.collect_list("at").alias("at"), F.collect_list("v").alias("v"))
+    path = scratch(spark, "disaggregate-rows")
+    vectors.write.parquet(path)
+    vectors = spark.read.schema(vectors.schema).parquet(path)
+    lengths = {c: len(h) for c, h in histories.items()}
+
+    def dense(batch: pa.RecordBatch) -> Iterator[tuple[int, object, np.ndarray]]:
+        for i, (c, at, v) in enumerate(zip(batch.column(cluster).to_pylist(), batch.column("at").to_pylist(), batch.column("v").to_pylist(), strict=True)):
+            row = np.zeros(lengths[c])
+            row[at] = v
+            yield i, c, row
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for _, c, row in dense(batch):
+                own = row[: int(lengths[c] * 0.8)]
+                sums.setdefault(c, np.zeros((len(own), len(own))))
+                sums[c] += np.outer(own, own)
+        flat = [(names.index(c), i, m[i]) for c, m in sums.items() for i in range(len(m))]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.int64()), pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.list_(pa.float64()))], ["c", "i", "row"])
+
+    names = list(histories)
+    found = vectors.mapInArrow(products, "c long, i long, row array<double>").select("c", "i", F.posexplode("row").alias("j", "v")).groupBy("c", "i", "j").agg(F.sum("v").alias("v")).toPandas()
+    weights = {}
+    for k, c in enumerate(names):
+        cut, x, own = int(lengths[c] * 0.8), np.array(histories[c], float).reshape(lengths[c], n), found[found["c"] == k]
+        gram = np.zeros((cut, cut))
+        gram[own["i"], own["j"]] = own["v"]
+        weights[c] = forest_weights(x[:cut], gram, x[cut:], trees, depth) if cut else np.zeros((lengths[c], 0))
+    sent = spark.sparkContext.broadcast(weights)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            origin, at, got = [], [], []
+            for i, c, row in dense(batch):
+                cut = int(lengths[c] * 0.8)
+                ahead = np.maximum(np.round(sent.value[c] @ row[:cut]), 0.0)
+                late = [a for a in batch.column("at")[i].as_py() if a >= cut]
+                origin += [i] * len(late)
+                at += late
+                got += ahead[np.array(late, np.int64) - cut].tolist()
+            take = pa.array(origin, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(take), batch.column(cluster).take(take), pa.array(at, pa.int64()), pa.array(got, pa.float64())], [key, cluster, "at", "prediction"])
+
+    predicted = vectors.select(key, cluster, F.col("at").cast("array<bigint>").alias("at"), "v").mapInArrow(apply, f"`{key}` {kinds[key]}, `{cluster}` {kinds[cluster]}, at long, prediction double")
+    named = predicted.join(bins.select(cluster, ts, F.col("at").cast("long").alias("at")), [cluster, "at"]).select(key, cluster, ts, "prediction")
+    return rows.join(named, [key, cluster, ts]).select(key, cluster, ts, F.col(value).alias("actual"), "prediction")

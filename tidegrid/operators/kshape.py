@@ -2,7 +2,7 @@
 
 A round is one Arrow pass over the series, a row each: every task assigns its own series to the centre at the least
 shape-based distance, shifts them to where they are most like it, and adds up the products of their steps, a
-matrix of length x length a cluster. The matrices are summed by row; the driver gets the sums alone, whose size
+matrix of length x length a cluster. The matrices are summed by place; the driver gets the sums alone, whose size
 doesn't depend on the number of series, and takes each one's leading direction as the new centre. The first round's
 clusters are hashes of the keys, so the result doesn't depend on how series are dealt.
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,18 +48,19 @@ def leading(products: np.ndarray, total: np.ndarray) -> np.ndarray:
     return standardise(vector[None])[0]
 
 
-def _round(rows: DataFrame, k: int, width: int, centres: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Product matrices and sums (the matrices' last row) of each cluster, its size, and the series that is farthest from its centre."""
+def _standard(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    return standardise(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width))
+
+
+def _round(rows: DataFrame, k: int, width: int, centres: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Product matrices and, as a last row, sums of each cluster's aligned series, and their number."""
     sent = rows.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, sizes, far = np.zeros((k, width + 1, width)), np.zeros(k, np.int64), (-1.0, "", None)
+        sums, sizes = np.zeros((k, width + 1, width)), np.zeros(k)
         for batch in batches:
-            x = standardise(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width))
-            if sent.value is None:
-                label, dist = batch.column("first").to_numpy(), np.zeros(len(x))
-            else:
-                label, dist = assign(x, sent.value)
+            x = _standard(batch, width)
+            label = batch.column("first").to_numpy() if sent.value is None else assign(x, sent.value)[0]
             for j in np.unique(label).tolist():
                 own = x[label == j]
                 if sent.value is not None and sent.value[j].any():
@@ -68,31 +68,32 @@ def _round(rows: DataFrame, k: int, width: int, centres: np.ndarray | None) -> t
                 sums[j, :width] += own.T @ own
                 sums[j, width] += own.sum(axis=0)
                 sizes[j] += len(own)
-            names = batch.column("name").to_pylist()
-            i = min(np.flatnonzero(dist == dist.max()), key=lambda i: names[i])
-            if dist[i] > far[0] or (dist[i] == far[0] and names[i] < far[1]):
-                far = (float(dist[i]), names[i], x[i])
-        flat = [(j, i, float(sizes[j]), "", sums[j, i]) for j in range(k) if sizes[j] for i in range(width + 1)]
-        if far[2] is not None:
-            flat.append((-1, 0, far[0], far[1], far[2]))
-        kinds = [("cluster", pa.int64()), ("i", pa.int64()), ("n", pa.float64()), ("name", pa.string()), ("row", pa.list_(pa.float64()))]
+        flat = [(j, i, sizes[j] if i == width else 0.0, sums[j, i]) for j in range(k) if sizes[j] for i in range(width + 1)]
+        kinds = [("cluster", pa.int64()), ("i", pa.int64()), ("n", pa.float64()), ("row", pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in flat], t) for c, (_, t) in enumerate(kinds)], [c for c, _ in kinds])
 
-    def add(parts: pd.DataFrame) -> pd.DataFrame:
-        if parts["cluster"].iloc[0] == -1:  # not a sum: the farthest of all
-            return parts.sort_values(["n", "name"], ascending=[False, True]).iloc[:1]
-        return parts.iloc[:1].assign(n=parts["n"].sum(), row=[np.stack(parts["row"].tolist()).sum(axis=0)])
-
-    schema = "cluster long, i long, n double, name string, row array<double>"
-    found = rows.mapInArrow(run, schema).groupBy("cluster", "i").applyInPandas(add, schema).toPandas()
+    parts = rows.mapInArrow(run, "cluster long, i long, n double, row array<double>").select("cluster", "i", "n", F.posexplode("row").alias("at", "v"))
+    found = parts.groupBy("cluster", "i", "at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas()
     sent.destroy()
-    sums, sizes, far = np.zeros((k, width + 1, width)), np.zeros(k), None
-    for r in found.itertuples():
-        if r.cluster < 0:
-            far = np.asarray(r.row)
-        else:
-            sums[r.cluster, r.i], sizes[r.cluster] = r.row, r.n
-    return sums, sizes, far
+    sums, sizes = np.zeros((k, width + 1, width)), np.zeros(k)
+    sums[found["cluster"], found["i"], found["at"]] = found["v"]
+    last = found[(found["i"] == width) & (found["at"] == 0)]
+    sizes[last["cluster"]] = last["n"]
+    return sums, sizes
+
+
+def farthest(rows: DataFrame, width: int, centres: np.ndarray | None) -> np.ndarray:
+    """The standardised series that is farthest from its centre, the smallest key's of equally far ones."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _standard(batch, width)
+            dist = np.zeros(len(x)) if sent.value is None else assign(x, sent.value)[1]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(-dist)], ["name", "near"])
+
+    far = rows.mapInArrow(run, "name string, near double").agg(F.min(F.struct("near", "name")).alias("r")).first()["r"]
+    return standardise(np.array([rows.where(F.col("name") == far["name"]).first()["v"]], float))[0]
 
 
 def kshape(dense: DataFrame, key: str, k: int = 3, seed: int = 42, value: str = "demand", rounds: int = 50) -> DataFrame:
@@ -115,8 +116,8 @@ def kshape(dense: DataFrame, key: str, k: int = 3, seed: int = 42, value: str =
     rows = rows.withColumn("first", F.col("first") % k)
     centres = None
     for _ in range(rounds):
-        sums, sizes, far = _round(rows, k, width, centres)
-        new = np.stack([leading(s[:width], s[width]) if size else far for s, size in zip(sums, sizes, strict=True)])
+        sums, sizes = _round(rows, k, width, centres)
+        new = np.stack([leading(s[:width], s[width]) if size else farthest(rows, width, centres) for s, size in zip(sums, sizes, strict=True)])
         done = centres is not None and np.abs(new - centres).max() < 1e-6
         centres = new
         if done:
@@ -125,8 +126,7 @@ def kshape(dense: DataFrame, key: str, k: int = 3, seed: int = 42, value: str =
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = standardise(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width))
-            found = assign(x, sent.value)[0] if batch.num_rows else np.zeros(0)
+            found = assign(_standard(batch, width), sent.value)[0]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.int32())], [key, "cluster_id"])
 
     return rows.mapInArrow(label, f"`{key}` {kind}, cluster_id int")
