@@ -329,3 +329,20 @@ def panel_with_stats(spark, sf_dir):
     rows = series.join(assigned, "zone")
     means = rows.groupBy("grp", "bin").agg(r(F.avg("demand")).alias("group_mean"))
     return rows.join(stats, "zone").join(means, ["grp", "bin"]).select("zone", "grp", "bin", "zone_mean", "zone_std", "group_mean")
+
+
+@query("""with c as (select event_type, time_bucket(interval '1 hour', ts) as bin, count(*)::double as demand from events group by all), e as (select event_type, min(bin) as lo from c group by 1),
+g as (select event_type, unnest(generate_series(lo, (select max(ts) from events), interval '1 hour')) as bin from e), d as (select g.event_type, g.bin, coalesce(demand, 0) as demand from g left join c using (event_type, bin))
+select event_type, bin, demand, lag(demand, 1) over w as lag_1, lag(demand, 24) over w as lag_24 from d where bin + interval '1 hour' <= (select max(ts) from events) - interval '1 hour' window w as (partition by event_type order by bin)""")
+def stream_features(spark, sf_dir):
+    """The dense panel with lags from a stream of all events: every bin that the watermark, an hour behind, has passed."""
+    from tidegrid.sources import io
+    from tidegrid.streaming.panel import stream_panel
+
+    path = io.scratch(spark, "stream")
+    table(spark, sf_dir, "events").select(BY, "ts").write.parquet(f"{path}/in")
+    events = spark.readStream.schema(f"{BY} string, ts timestamp_ntz").parquet(f"{path}/in")
+    out = stream_panel(events, BY, "ts", late="1 hour", lags=(1, 24))
+    run = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")

@@ -456,3 +456,21 @@ def damaged_files(spark, sf_dir):
     if [row["file"] for row in named] != [hit]:
         raise ValueError("the damaged file isn't the one listed")
     return whole.groupBy(F.col("l_linenumber").cast("int").alias("line")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("select count(*) as rows_read, 0::bigint as failed_tasks, true as done from lineitem")
+def status_probe(spark, sf_dir):
+    """What Spark's own tables say of a job over all lines."""
+    from uuid import uuid4
+
+    from tidegrid.sources import status
+
+    group = f"probe-{uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "status probe")
+    try:
+        table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum("l_quantity")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    found = status.stages(spark, group).where(F.col("status") != "SKIPPED")
+    return found.agg(F.sum("input_rows").alias("rows_read"), F.sum("failed_tasks").cast("long").alias("failed_tasks"), F.every(F.col("completed_tasks") == F.col("tasks")).alias("done"))

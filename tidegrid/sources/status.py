@@ -21,6 +21,7 @@ def executors(spark: SparkSession) -> DataFrame:
 def stages(spark: SparkSession, group: str | None = None) -> DataFrame:
     """One row for each attempt of each stage that Spark still remembers, or of those of a job group."""
     sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()  # what has ended is known
     store, jvm = sc._jsc.sc().statusStore(), sc._jvm
     found = store.stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
     wanted = None

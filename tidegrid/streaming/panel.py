@@ -46,7 +46,8 @@ def stream_panel(events: DataFrame, key: str, ts: str, seconds: int = 3600, late
         state.update((list(open_), list(open_.values()), following, history))
         if at is not None:
             state.setTimeoutTimestamp(max((at + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, "s", "demand", *names]).astype({n: "float64" for n in ["demand", *names]})
+        if out:
+            yield pd.DataFrame(out, columns=[key, "s", "demand", *names]).astype({n: "float64" for n in ["demand", *names]})
 
     kind = dict(events.dtypes)[key]
     rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
