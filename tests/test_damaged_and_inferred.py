@@ -58,3 +58,41 @@ def test_damaged_pages_are_listed(spark, tmp_path):
     got = {os.path.basename(os.path.dirname(r.file)): (r.n_footer, r.n_read < 20_000) for r in lost.collect()}
     assert got == {"b": (20_000, True), "c": (None, True)}
     assert io.read_whole_files(spark, [f"file://{paths['c']}"], "id long")[0].count() == 0
+
+
+def lineitem(spark, folder, n_third):
+    rows = spark.range(400_000 + n_third).selectExpr("if(id < 400000, id % 2 + 1, 3) as l_linenumber", "cast(id % 50 as double) as l_quantity", "xxhash64(id) as l_orderkey", "rand(3) as l_extendedprice")
+    rows.write.parquet(f"file://{folder}/lineitem.parquet")
+    return f"file://{folder}"
+
+
+@pytest.mark.parametrize("n_third", [0, 1, 300_000])
+def test_damage_of_any_size_stays_out_of_the_driver(spark, tmp_path, n_third):
+    import tracemalloc
+
+    from tidegrid.plans.profile_queries import damaged_files
+
+    sf_dir = lineitem(spark, tmp_path, n_third)
+    tracemalloc.start()
+    try:
+        got = {r.line: r.n for r in damaged_files(spark, sf_dir).collect()}
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == {1: 200_000, 2: 200_000}
+    assert most < 2_000_000  # the damaged files have 5 MB
+
+
+def test_pages_are_held_against_their_checksums(spark, tmp_path):
+    """Damage that decodes: a value of a page that is neither compressed nor encoded."""
+    rows = spark.range(1000).selectExpr("id * 1000003 as v").coalesce(1)
+    rows.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(f"file://{tmp_path}/t")
+    (name,) = (f for f in os.listdir(tmp_path / "t") if f.endswith(".parquet"))
+    path = tmp_path / "t" / name
+    data = bytearray(path.read_bytes())
+    at = data.index((500 * 1000003).to_bytes(8, "little"))
+    data[at] ^= 1
+    path.write_bytes(bytes(data))
+    os.remove(tmp_path / "t" / f".{name}.crc")
+    whole, lost = io.read_whole_files(spark, [f"file://{path}"])
+    assert whole.count() == 0 and [r.n_footer for r in lost.collect()] == [1000]

@@ -131,6 +131,18 @@ def _footer(spark: SparkSession, path: str) -> tuple:
         reader.close()
 
 
+def page_bytes(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Where a Parquet file's row groups begin, and how many bytes they take."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf))
+    try:
+        blocks = list(reader.getFooter().getBlocks())
+        begin = blocks[0].getStartingPos() if blocks else 4
+        return begin, blocks[-1].getStartingPos() + blocks[-1].getCompressedSize() - begin if blocks else 0
+    finally:
+        reader.close()
+
+
 def footer_profile(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """file_name, n_rows, n_columns, n_row_groups, compressed and uncompressed bytes of Parquet files, from their footers alone."""
     # The driver waits on stores, not on itself, so several footers are read at a time.
@@ -179,26 +191,34 @@ def add_missing(df: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def read_whole_files(spark: SparkSession, paths: Sequence[str], schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_whole_files(spark: SparkSession, paths: Sequence[str], schema: str | T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of the files that can be read to their end, and (file, n_footer, n_read) of each that can't.
 
     A file's footer may be sound and its pages not, which would end a job that reads them. Here all columns of all
-    files are decoded once with damaged files cut short, and files that gave fewer rows than their footer says, or whose
+    files are decoded once with damaged files cut short, pages are held against their checksums where they have any, and files that gave fewer rows than their footer says, or whose
     footer can't be read (n_footer is null), are listed and left out. The schema is ``schema``, or that of the first sound footer.
 
     Defined results: an empty file is sound; without any sound file there are no rows, and ``schema`` is needed.
     """
     footers, broken = {}, []
-    for path in paths:
+
+    def n_rows(path: str) -> int | None:
         try:
-            footers[path] = _footer(spark, path)[1]
+            return _footer(spark, path)[1]
         except Py4JJavaError:  # not a Parquet file
-            broken.append(path)
+            return None
+
+    with ThreadPoolExecutor(16) as pool:
+        for path, n in zip(paths, pool.map(n_rows, paths), strict=True):
+            if n is None:
+                broken.append(path)
+            else:
+                footers[path] = n
     kinds = spark.read.schema(schema).parquet(*footers).schema if schema and footers else spark.read.parquet(next(iter(footers))).schema if footers else spark.createDataFrame([], schema or T.StructType()).schema
     listed = [(p, None, 0) for p in broken]
     good = list(footers)
     if footers:
-        rows = spark.read.option("ignoreCorruptFiles", "true").schema(kinds).parquet(*footers)
+        rows = spark.read.option("ignoreCorruptFiles", "true").option("parquet.page.verify-checksum.enabled", "true").schema(kinds).parquet(*footers)
         decoded = rows.select(F.col("_metadata.file_path").alias("file"), F.xxhash64(*[f"`{f.name}`" for f in kinds.fields]).alias("h"))
         # The hash of all columns makes the scan decode all of them.
         found = decoded.groupBy("file").agg(F.count("h").alias("n"), F.bit_xor("h").alias("h"))
