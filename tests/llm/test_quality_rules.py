@@ -91,3 +91,31 @@ def test_odd_and_empty(spark, odd_docs, no_docs):
     assert qr.judge(no_docs, labels).collect() == [] and [r.kept for r in qr.judge(odd_docs, labels.where("quality > 5")).collect() if not r.base_failed] == [True]
     ids = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
     assert qr.judge(ids, labels).count() == 2
+
+
+def test_units_and_line_come_from_all_labelled_rows(spark):
+    """22,000 labelled rows, more than a fit used to take: units are numpy's quantiles of all good ones, and no other score is a better line."""
+    n = 22_000
+    counted = spark.range(0, 2 * n, 2).selectExpr("id as doc_id", "false as held_out", "100 + pmod(xxhash64(id), 900) as n_words").selectExpr(
+        "*", "n_words * 5 + pmod(xxhash64(doc_id, 1), 800) as word_chars", "pmod(xxhash64(doc_id, 2), 9) as n_symbols", "0L as n_dup_lines", "0L as n_repeat_words", "pmod(xxhash64(doc_id, 3), 200) as n_capitals", "pmod(xxhash64(doc_id, 4), 90) as n_digits",
+        "pmod(xxhash64(doc_id, 5), 150) + if(doc_id % 23 = 0, 200, 0) as n_marks", "0L as n_same_words", "5L as n_lines")
+    labels = spark.range(0, 2 * n, 2).selectExpr("id as doc_id", "int(id % 23 != 0) as quality")
+    forest = qr.fit(counted, labels)
+    found = counted.join(labels, "doc_id").toPandas()
+    rows, good = qr.shares(found[list(qr.COUNTS)].to_numpy()), found["quality"].to_numpy() > 0
+    low, middle, high = np.quantile(rows[good], [0.002, 0.5, 0.998], axis=0)
+    assert np.allclose(forest.middle, middle, atol=1e-12) and np.allclose(forest.unit, np.maximum((high - low) / 2, qr.LEAST_UNIT), atol=1e-12)
+    scores = qr.anomaly(forest, forest.scaled(rows))
+    lines = np.unique(scores)
+    lost = [1 - np.searchsorted(np.sort(scores[good == kind]), lines, side="right") / (good == kind).sum() for kind in (True, False)]
+    gains = lost[1] - qr.GOOD_WEIGHT * lost[0]
+    assert forest.line in lines and gains[np.searchsorted(lines, forest.line)] >= gains.max() - 1e-12
+
+
+def test_each_tree_draws_from_all_rows(spark):
+    known = spark.range(5000).selectExpr("id as doc_id", *[f"id as {c}" for c in qr.COUNTS])
+    drawn = qr.draw(known, 5000, trees=60, sample=64)
+    assert len(drawn) == 60 and all(len(set(x[:, 0])) == len(x) == 64 for x in drawn)
+    assert len(set(np.concatenate(drawn)[:, 0])) > 2300 and abs(np.concatenate(drawn)[:, 0].mean() - 2500) < 120
+    few = qr.draw(known.where("doc_id < 9"), 9, trees=3, sample=64)
+    assert [sorted(x[:, 0]) for x in few] == [list(range(9))] * 3

@@ -7,10 +7,10 @@ row is alone. A text whose path to its leaf is short on average is unlike the re
 texts; the line is calibrated on labelled rows: where the share of bad rows above it, less ``GOOD_WEIGHT``
 times that of good ones, is largest.
 
-Forest and line are fitted on at most about ``MAX_LABELLED`` labelled rows that pass the hard rules, chosen by
-a hash of the id; the held-out fold is never among them. The forest has ``TREES`` trees of at most
-``2 * SAMPLE`` nodes, so its size is bounded before it is sent to all tasks. Texts are counted and scored
-whole, in one Arrow pass each; the second reads only the counts.
+Shares' units and the line come from all labelled rows that pass the hard rules, but for the held-out fold. An isolation
+tree is by its definition grown over ``SAMPLE`` rows; each draws its own from all those rows, the ones whose hash of id and tree is
+least. The forest has ``TREES`` trees of at most ``2 * SAMPLE`` nodes, so its size is bounded before it is sent to all
+tasks. Texts are counted and scored whole, in one Arrow pass each; the second reads only the counts.
 
 Defined results: a null or wordless text has no words and fails; without labelled rows of either kind nothing but the hard rules
 drops a text; contradicting labels of one document count as bad; an id that is repeated is fitted once, with its smallest counts; repeated rows each get a row;
@@ -19,22 +19,22 @@ an empty table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import Scratch, held_out, texts
+from tidegrid.operators.clean import grouped_quantiles
 
 MIN_WORDS = 50
 #: Per cent of words in repeated windows that a text may have.
 MAX_REPEATED = 50
 WINDOW = 3
 TREES, SAMPLE = 200, 256
-MAX_LABELLED = 20_000
 #: How many bad rows' share a good row's is worth.
 GOOD_WEIGHT = 20
 #: A share's unit is half the span of this middle part of good rows, or ``LEAST_UNIT``; values count as far as ``FARTHEST`` units.
@@ -106,6 +106,13 @@ def shares(counts: np.ndarray) -> np.ndarray:
     )
 
 
+def share_columns() -> list[Column]:
+    """``shares`` as columns."""
+    c = F.col
+    words, chars, lines = (F.greatest(c(n), F.lit(1)) for n in ("n_words", "word_chars", "n_lines"))
+    return [c("word_chars") / words, c("n_symbols") / words, c("n_dup_lines") / lines, c("n_repeat_words") / words, c("n_capitals") / chars, c("n_digits") / chars, c("n_marks") / words, c("n_same_words") / words]
+
+
 @dataclass
 class Forest:
     """All trees' nodes one after the other; a leaf's ``feature`` is -1 and its ``value`` the path length that ends there."""
@@ -132,6 +139,11 @@ def usual_path(n: int) -> float:
 def grow(rows: np.ndarray, rng: np.random.Generator, trees: int = TREES, sample: int = SAMPLE) -> Forest:
     """Isolation trees over samples of ``rows``."""
     size = min(sample, len(rows))
+    return grow_each((rows[rng.choice(len(rows), size, replace=False)] for _ in range(trees)), size, rng)
+
+
+def grow_each(samples: Iterable[np.ndarray], size: int, rng: np.random.Generator) -> Forest:
+    """An isolation tree over each of ``samples``, of ``size`` rows."""
     limit = int(np.ceil(np.log2(max(size, 2))))
     feature, value, low, high, roots = [], [], [], [], []
 
@@ -150,8 +162,8 @@ def grow(rows: np.ndarray, rng: np.random.Generator, trees: int = TREES, sample:
                 low[at], high[at] = node(own[left], depth + 1), node(own[~left], depth + 1)
         return at
 
-    for _ in range(trees):
-        roots.append(node(rows[rng.choice(len(rows), size, replace=False)], 0))
+    for own in samples:
+        roots.append(node(own, 0))
     return Forest(np.array(feature, np.int32), np.array(value), np.array(low, np.int32), np.array(high, np.int32), np.array(roots, np.int32), max(usual_path(size), 1e-9))
 
 
@@ -171,27 +183,59 @@ def anomaly(forest: Forest, rows: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / len(forest.roots) / forest.usual) if len(forest.roots) else total
 
 
-def fit(counted: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Forest:
-    """Forest and line from labelled rows of ``counted`` that pass the hard rules and aren't held out."""
+def draw(known: DataFrame, n: int, trees: int = TREES, sample: int = SAMPLE) -> list[np.ndarray]:
+    """Counts of each tree's own ``sample`` of the ``n`` rows of ``known``, or of all rows where there are fewer."""
+    # Hashes up to a bound that leaves 10 standard deviations more than a sample; only those rows are sent.
+    bound = min(1.0, (sample + 10 * sample**0.5 + 20) / n) * (1 << 40)
+    dealt = known.select("doc_id", *COUNTS, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    dealt = dealt.withColumn("place", F.pmod(F.xxhash64("doc_id", "tree", F.lit("quality")), F.lit(1 << 40))).where(F.col("place") < F.lit(int(bound)))
+    found = dealt.orderBy("tree", "place", "doc_id").select("tree", *COUNTS).toArrow()
+    rows = np.stack([found.column(c).to_numpy() for c in COUNTS], axis=1)
+    firsts = np.searchsorted(found.column("tree").to_numpy(), np.arange(trees + 1))
+    return [rows[i : min(i + sample, j)] for i, j in zip(firsts[:-1], firsts[1:], strict=True)]
+
+
+def best_line(scratch: Scratch, scored: DataFrame, n_good: int, n_bad: int) -> float:
+    """The score above which the share of bad rows less ``GOOD_WEIGHT`` times that of good ones is largest; the lowest such one."""
+    counts = scratch.put(scored.groupBy("anomaly").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")), "quality-scores")
+    # By ranges of scores: rows are added up within a range, and the ranges' totals before it.
+    dealt = scratch.put(counts.repartitionByRange("anomaly").withColumn("part", F.spark_partition_id()), "quality-ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("part").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    starts = totals.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "gb"])
+    upto = Window.partitionBy("part").orderBy("anomaly").rowsBetween(Window.unboundedPreceding, 0)
+    share = lambda c, first, n: 1 - (F.sum(c).over(upto) + F.col(first)) / F.lit(n)
+    gains = dealt.join(starts, "part").select("anomaly", (share("bad", "b0", n_bad) - GOOD_WEIGHT * share("good", "g0", n_good)).alias("gain"))
+    return gains.orderBy(F.desc("gain"), "anomaly").first()["anomaly"]
+
+
+def fit(counted: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality") -> Forest:
+    """Forest and line from all labelled rows of ``counted`` that pass the hard rules and aren't held out."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(label_id).cast("long").alias("doc_id")).agg(F.min(label_col).alias("quality"))
     known = counted.where(~F.col("held_out") & ~hard_rules() & F.col("doc_id").isNotNull()).join(marks, "doc_id")
-    known = known.groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("c"))
-    share = min(1.0, max_labelled / max(known.count(), 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_003)) < share * 1_000_003)
-    chosen = known.orderBy("doc_id").select("quality", "c.*").toArrow()
-    rows = shares(np.stack([chosen.column(c).to_numpy() for c in COUNTS], axis=1)) if len(chosen) else np.zeros((0, 8))
-    good = chosen.column("quality").to_numpy() > 0
-    if not good.any() or good.all():
-        return Forest(*[np.zeros(0, np.int32)] * 5, 1.0)
-    low, middle, high = np.quantile(rows[good], [(1 - MIDDLE) / 2, 0.5, (1 + MIDDLE) / 2], axis=0)
-    unit = np.maximum((high - low) / 2, LEAST_UNIT)
-    rows = np.clip((rows - middle) / unit, -FARTHEST, FARTHEST)
-    forest = grow(rows, np.random.default_rng(SEED))
-    forest.middle, forest.unit = middle, unit
-    scores = anomaly(forest, rows)
-    lines = np.unique(scores)
-    lost = [1 - np.searchsorted(np.sort(scores[good == kind]), lines, side="right") / (good == kind).sum() for kind in (True, False)]
-    forest.line = float(lines[np.argmax(lost[1] - GOOD_WEIGHT * lost[0])])
+    known = known.groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("c")).select("doc_id", (F.col("quality") > 0).alias("good"), "c.*")
+    context = counted.sparkSession.sparkContext
+    with Scratch(counted.sparkSession) as scratch:
+        known = scratch.put(known, "quality-known")
+        n_good, n_bad = known.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+        if not n_good or not n_bad:
+            return Forest(*[np.zeros(0, np.int32)] * 5, 1.0)
+        stacked = known.where("good").select(F.explode(F.array(*[F.struct(F.lit(i).alias("share"), c.alias("value")) for i, c in enumerate(share_columns())])).alias("s")).select("s.*")
+        spans = grouped_quantiles(stacked, F.col("value"), [(1 - MIDDLE) / 2, 0.5, (1 + MIDDLE) / 2], ["share"])
+        low, middle, high = np.array([r["q"] for r in sorted(spans.collect(), key=lambda r: r["share"])]).T  # one row a share
+        shown = Forest(*[np.zeros(0, np.int32)] * 5, 1.0, middle=middle, unit=np.maximum((high - low) / 2, LEAST_UNIT))
+        samples = [shown.scaled(shares(counts)) for counts in draw(known, n_good + n_bad)]
+        forest = grow_each(samples, min(SAMPLE, n_good + n_bad), np.random.default_rng(SEED))
+        forest.middle, forest.unit = shown.middle, shown.unit
+        sent = context.broadcast(forest)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                score = anomaly(sent.value, sent.value.scaled(shares(np.stack([batch.column(c).to_numpy() for c in COUNTS], axis=1))))
+                yield pa.RecordBatch.from_arrays([pa.array(score), batch.column("good")], ["anomaly", "good"])
+
+        forest.line = best_line(scratch, known.mapInArrow(run, "anomaly double, good boolean"), n_good, n_bad)
+        sent.unpersist()
     return forest
 
 
