@@ -1,5 +1,8 @@
+import subprocess
+import sys
 import zlib
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -173,3 +176,38 @@ def test_plan_is_close_to_the_bound():
 def test_memo_fits_beside_the_heap():
     """At 800,000 pieces two workers and a heap of 1,800 MB took more than 3,000 MB; at 400,000 an executor peaked at 2,457."""
     assert tokens.MEMO_PIECES <= 400_000
+
+
+def test_long_pieces_are_not_remembered(monkeypatch):
+    """Texts that the library takes whole are cuts of the memo while they are encoded, but it keeps none of them."""
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 20_000)
+    path = tokenizer_file("byte_bpe_50k.json")
+    own, library = PieceTokenizer(path, False), Tokenizer.from_file(path)
+    for k in range(3):
+        many = [f"{i} {k} " + "word and " * 200 + f"n{i * k}" for i in range(40)] + ["a plain text"]
+        ids, n = own.encode(many)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == [e.ids for e in library.encode_batch(many, add_special_tokens=False)]
+        assert own._cuts.nbytes <= 20_000 and "word" not in "".join(own._cuts.to_pylist())
+
+
+_WORKER = """
+import ctypes, pyarrow as pa, random
+from tidegrid.llm import language
+from tidegrid.llm.common import tidied
+random.seed(1)
+words = ["".join(random.choices("abcdefgh ", k=9)) for _ in range(20_000)]
+batch = pa.record_batch({"lang": ["x"] * 10_000, "text": [" ".join(random.choices(words, k=400)) for _ in range(10_000)]})
+used = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("RssAnon")).split()[1]) / 1024
+ctypes.CDLL(None).malloc_trim(0)
+before = used()
+for _ in range(2):
+    for _ in tidied(language._counts)(iter([batch])):
+        pass
+print(used() - before)
+"""
+
+
+def test_a_worker_gives_its_memory_back():
+    """Workers are reused: what a task has freed, 41 MB here, was kept beside the next one's."""
+    got = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(got.stdout) < 10

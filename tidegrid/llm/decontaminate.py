@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import materialize, texts
+from tidegrid.llm.common import materialize, texts, tidied
 from tidegrid.llm.toxicity import lowered
 
 Q = 8
@@ -387,7 +387,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     ids = batch.column(0).take(pa.array([first + g[0] for g in got], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, *[pa.array([g[i] for g in got], t) for i, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))]], ["doc_id", "item_id", "begin", "end", "edits"])
 
-        found = rows.mapInArrow(run, schema)
+        found = rows.mapInArrow(tidied(run), schema)
         if not last:
             found = materialize(found, "contaminated")
             sent.destroy()
@@ -408,7 +408,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                     keep[[first + g[0] for g in matches(sent.value, group)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
         if not last:
             docs = materialize(docs, "uncontaminated")
             sent.destroy()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import held_out, texts
+from tidegrid.llm.common import held_out, slices, texts, tidied
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
@@ -119,7 +119,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = len(ORDERS) << BUCKET_BITS
     total: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         langs = np.array(batch.column(0).to_pylist(), object)
         for first, codes, begins in _groups(texts(batch.column(1))):
             n = len(begins) - 1
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return LanguageModel([], np.zeros((0, len(ORDERS) << BUCKET_BITS)), np.zeros(0))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, max_per_lang / sizes[lang]))])
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    found = chosen.select("lang", "text").mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = chosen.select("lang", "text").mapInArrow(tidied(_counts), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(langs), len(ORDERS) << BUCKET_BITS))
     row = {lang: i for i, lang in enumerate(langs)}
     at = np.array([row[x] for x in found.column("lang").to_pylist()], np.int64)
@@ -200,12 +200,12 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     model = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             langs, score = score_texts(model.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -217,11 +217,11 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     model, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             if not model.value.langs:
                 yield batch.filter(pa.array(has_letters(batch.column(at))))
                 continue
             langs, score = score_texts(model.value, batch.column(at))
             yield batch.filter(pa.array((np.array(langs, object) != UNKNOWN) & (score >= min_score)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Scratch, chunks, fresh_names, long_lists, texts, utf8
+from tidegrid.llm.common import Scratch, chunks, fresh_names, long_lists, texts, tidied, utf8
 from tidegrid.llm.components import components
 from tidegrid.llm.shingles import shingle_sets
 
@@ -128,7 +128,7 @@ def _listed(sets: DataFrame, column: str, enough, scratch: Scratch) -> DataFrame
 def _whole_sets(known: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, n, shingles) of the full sets of ``known`` (rep, class)."""
     ids = known.select(F.col("rep").alias("doc_id"), F.col("class").alias("own"))
-    whole = docs.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(_whole, "doc_id long, class binary, shingles array<long>")
+    whole = docs.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(tidied(_whole), "doc_id long, class binary, shingles array<long>")
     # A repeated id may also stand for another text; only the set of the class counts, and once.
     whole = whole.withColumnRenamed("class", "own").join(ids, ["doc_id", "own"], "left_semi")
     return whole.dropDuplicates(["doc_id", "own"]).select(F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("n"), "shingles")
@@ -223,7 +223,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with Scratch(docs.sparkSession) as scratch:
-        sketched = scratch.put(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, class binary, sketch array<long>"), "near-sketches")
+        sketched = scratch.put(docs.mapInArrow(tidied(_sketch), "doc_id long, n_shingles long, class binary, sketch array<long>"), "near-sketches")
         members = sketched.where("n_shingles > 0 and doc_id is not null")
         first = scratch.put(members.groupBy("class").agg(F.min("doc_id").alias("rep")), "near-first")
         classes = members.join(first.select(F.col("class").alias("c"), "rep"), (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["class", "doc_id"])

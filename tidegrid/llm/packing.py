@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import materialize, texts
-from tidegrid.llm.tokens import text_groups, worker_tokenizer
+from tidegrid.llm.common import materialize, slices, texts, tidied
+from tidegrid.llm.tokens import GROUP_BYTES, worker_tokenizer
 
 SEQUENCE = 4096
 #: Tokens that a pattern may leave empty.
@@ -165,15 +165,15 @@ def _pieces(path: str, end_id: int, size: int):
         tokenizer = worker_tokenizer(path, words=True)
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            for first, group in text_groups(texts(batch.column(1)).to_pylist()):
-                ids, counts = tokenizer.encode(group)
+            for group in slices(batch, 1, GROUP_BYTES):
+                ids, counts = tokenizer.encode(texts(group.column(1)).to_pylist())
                 ends = np.cumsum(counts)
                 out: list[tuple[int, int, int, int, int]] = []
                 for i, (end, n) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
                     own = np.append(ids[end - n : end], np.uint32(end_id))
                     for at in range(0, n + 1, size):
                         piece = own[at : at + size]
-                        out.append((first + i, at // size, at, len(piece), zlib.crc32(piece.astype("<u4", copy=False).tobytes())))
+                        out.append((i, at // size, at, len(piece), zlib.crc32(piece.astype("<u4", copy=False).tobytes())))
                 a = np.array(out, np.int64)
                 length = a[:, 3]
                 order = np.argsort(length, kind="stable")
@@ -183,7 +183,7 @@ def _pieces(path: str, end_id: int, size: int):
                 rank += seen[length]
                 seen += np.bincount(length, minlength=size + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(a[:, 0])), pa.array(a[:, 1].astype(np.int32)), pa.array(a[:, 2]), pa.array(length), pa.array(a[:, 4]), pa.array(np.full(len(a), part, np.int32)), pa.array(rank)],
+                    [group.column(0).take(pa.array(a[:, 0])), pa.array(a[:, 1].astype(np.int32)), pa.array(a[:, 2]), pa.array(length), pa.array(a[:, 4]), pa.array(np.full(len(a), part, np.int32)), pa.array(rank)],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
                 )
 
@@ -194,7 +194,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = SEQU
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Written first: ranks have to stay what they were if a task runs again.
-    pieces = materialize(rows.mapInArrow(_pieces(tokenizer_path, end_id, size), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"), "pack-pieces")
+    pieces = materialize(rows.mapInArrow(tidied(_pieces(tokenizer_path, end_id, size)), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"), "pack-pieces")
     counts = materialize(pieces.groupBy("part", "length").count(), "pack-counts")
     histogram = np.zeros(size + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most `size` rows
@@ -209,4 +209,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = SEQU
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = pieces.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidied(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import range_coder
-from tidegrid.llm.common import scratch_path, texts
-from tidegrid.llm.tokens import text_groups, worker_tokenizer
+from tidegrid.llm.common import scratch_path, slices, texts, tidied
+from tidegrid.llm.tokens import GROUP_BYTES, worker_tokenizer
 
 SCHEMA = "part int, segment int, at long, n_ids long, doc_ids array<long>, n_tokens array<long>, order0 binary, blocks array<binary>, sums array<long>"
 
@@ -41,12 +41,11 @@ def _encode(path: str, end_id: int, segment_ids: int):
             return pa.RecordBatch.from_arrays(columns, ["part", "segment", "at", "n_ids", "doc_ids", "n_tokens", "order0", "blocks", "sums"])
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for first, group in text_groups(texts(batch.column(1)).to_pylist()):
-                ids, n = tokenizer.encode(group)
+            for group in slices(batch, 1, GROUP_BYTES):
+                ids, n = tokenizer.encode(texts(group.column(1)).to_pylist())
                 if len(ids) and ids.max() > range_coder.MAX_ID:
                     raise ValueError("ids above 65535 can't be coded")
-                held.append((names[first : first + len(group)], n + 1, np.insert(ids, np.cumsum(n), np.uint32(end_id)).astype(np.uint16)))
+                held.append((group.column(0).to_pylist(), n + 1, np.insert(ids, np.cumsum(n), np.uint32(end_id)).astype(np.uint16)))
                 sizes = np.cumsum([len(g[2]) for g in held])
                 # A segment goes once another one can follow, so that a part's last one isn't short: numpy takes few blocks as long as many.
                 if sizes[-1] >= 2 * segment_ids:
@@ -64,7 +63,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     # By id; with repeats by text too, so that one id doesn't make a part too large. Texts are read once more then, for the parts' bounds.
     repeated = bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).collect())
     order = ["doc_id", F.xxhash64("text")] if repeated else ["doc_id"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_encode(tokenizer_path, end_id, segment_ids), SCHEMA).write.parquet(path)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidied(_encode(tokenizer_path, end_id, segment_ids)), SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -88,7 +87,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[e - k : e].tobytes()) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts.value[part] + at + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0, path: str | None = None) -> DataFrame:
